@@ -22,12 +22,23 @@ def keep_matching(df: DataFrame, keys: DataFrame, column: str, key: str | None =
     stays free to split a skewed join partition, and early limits or partial
     aggregates run before that exchange.
     """
-    wanted = keys.select(F.col(key or column).alias("_key")).distinct()
+    wanted = keys.select(F.col(key or column).alias("_key"))
+    wanted = wanted.withColumn("_hash", F.xxhash64("_key")).distinct()
     value = df[column]
-    on = (value == wanted["_key"]) & (F.xxhash64(value) == F.xxhash64(wanted["_key"]))
+    on = (value == wanted["_key"]) & (F.xxhash64(value) == wanted["_hash"])
     return df.join(wanted, on, "left_semi")
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, the greatest, where copies of a row may have landed.
+
+    The copies are merged inside each task before the exchange.
+    """
+    rest = [c for c in df.columns if c != key]
+    merged = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_row"))
+    return merged.select(key, "_row.*")
+
+
 def left_join_filled(left: DataFrame, right: DataFrame, column: str, key: str,
                      spread: str) -> DataFrame:
     """Left join in which rows with a null or empty ``column`` match nothing.

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storegrain.operators.keys import HotKeys, keep_matching, left_join_filled, top_n
+from storegrain.operators.keys import (
+    HotKeys,
+    keep_matching,
+    left_join_filled,
+    one_per_key,
+    top_n,
+)
 from storegrain.operators.nesting import (
     LIST_ROWS,
     attach,
@@ -15,6 +21,7 @@ from storegrain.operators.nesting import (
     nest_and_attach,
     part_column,
 )
+from storegrain.workspace import stage
 
 # How many latest orders a lookup returns unless told otherwise.
 RECENT_ORDERS = 10
@@ -81,11 +88,15 @@ def order_fees(orders: DataFrame, fees: DataFrame) -> DataFrame:
 
 def orders_by_email(orders: DataFrame, emails: DataFrame, products: DataFrame | None = None,
                     n: int = ORDERS_PER_EMAIL, *, list_rows: int = LIST_ROWS) -> DataFrame:
-    """The ``n`` latest orders placed under each email, with products if given."""
+    """The ``n`` latest orders placed under each email, with products if given.
+
+    With products the orders are used twice, so they go through a written table.
+    """
     mine = keep_matching(orders, emails, "email")
     latest = top_n(mine, "email", newest_first(), n, "recency")
     if products is None:
         return latest
+    latest = stage(latest, "latest-orders")
     return with_products(latest, products, few=True, list_rows=list_rows)
 
 
@@ -101,12 +112,15 @@ def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFr
                        hot: HotKeys | None = None) -> DataFrame:
     """Customers with ``recent_orders``, newest first, each holding its products.
 
+    The latest orders are used twice, so they go through a written table.
+
     A customer without orders keeps an empty list.  If an order has very many
     products the customer has one row per part of that product list.  ``hot``
     may pass in what :func:`~storegrain.operators.nesting.find_hot` gave for the
     product table, to save counting it again.
     """
     latest = recent_orders(keep_matching(orders, customers, "customer_id", "id"), n)
+    latest = stage(latest, "latest-orders")
     hot = hot or find_hot(products, "order_id", list_rows)
     full = with_products(latest, products, few=True, list_rows=list_rows, hot=hot)
     part = part_column("products")
@@ -163,12 +177,13 @@ def _order_keys(asked: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("id").alias("_id"), F.nullif("cart_id", F.lit("")).alias("cart_id"),
         F.lit(True).alias("known"),
     )
+    cart_of = one_per_key(cart_of, "_id")
     return asked.join(cart_of, asked["order_id"] == cart_of["_id"], "left").drop("_id")
 
 
 def _look_up_carts(keyed: DataFrame, carts: DataFrame, spread: str = "order_id") -> DataFrame:
     found = carts.withColumnsRenamed({c: f"cart_{c}" for c in carts.columns if c != "id"})
-    found = found.withColumnRenamed("id", "_cart")
+    found = one_per_key(found.withColumnRenamed("id", "_cart"), "_cart")
     joined = left_join_filled(keyed, found, "cart_id", "_cart", spread)
     outcome = (
         F.when(F.col("_cart").isNotNull(), FOUND)
