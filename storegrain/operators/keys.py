@@ -92,5 +92,6 @@ def hot_keys(df: DataFrame, key: str, limit: int) -> HotKeys | None:
         .agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > limit)
     )
-    table, count = stage_counted(counts, "hot-keys")
-    return HotKeys(table, count) if count else None
+    if counts.count() == 0:  # the usual case, without a table to write
+        return None
+    return HotKeys(*stage_counted(counts, "hot-keys"))

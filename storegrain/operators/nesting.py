@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from storegrain.operators.keys import HotKeys, hot_keys
 
 LIST_ROWS = 10_000
+# Into how many pieces a list's worth of equal rows is cut before it is spread.
+PIECES = 16
 
 
 def part_column(into: str) -> str:
@@ -29,9 +31,9 @@ def _parts(rows: Column, list_rows: int) -> Column:
 
 
 def _nest_whole(children: DataFrame, key: str, elements: list[str], into: str) -> DataFrame:
-    nested = children.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct(*elements))).alias(into)
-    )
+    # Collecting makes nothing smaller, so plain rows are shuffled, not partial lists.
+    grouped = children.where(F.col(key).isNotNull()).repartition(key).groupBy(key)
+    nested = grouped.agg(F.sort_array(F.collect_list(F.struct(*elements))).alias(into))
     return nested.select(key, F.lit(0).alias(part_column(into)), into)
 
 
@@ -40,20 +42,21 @@ def _nest_split(children: DataFrame, key: str, elements: list[str], into: str,
     """Nest by (key, part), the part taken from the row content.
 
     Equal rows would all fall into one part, so they are counted first and a
-    large count is cut into pieces.
+    large count is cut into pieces, small enough that parts come out even.
     """
+    size = max(1, list_rows // PIECES)
     if hot is not None:
         children = children.join(hot, key, "left_semi")
     copies = children.where(F.col(key).isNotNull()).groupBy(key, *elements).agg(
         F.count(F.lit(1)).alias("_copies")
     )
-    piece_count = F.ceil(F.col("_copies") / list_rows)
+    piece_count = F.ceil(F.col("_copies") / size)
     pieces = (
         copies.join(rows, key)
         .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), piece_count - 1)))
         .withColumn(
             "_copies",
-            F.least(F.lit(list_rows), F.col("_copies") - F.col("_piece") * list_rows).cast("int"),
+            F.least(F.lit(size), F.col("_copies") - F.col("_piece") * size).cast("int"),
         )
         .withColumn(
             part_column(into),

@@ -126,7 +126,8 @@ def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFr
     part = part_column("products")
     fields = ["recency", *[c for c in orders.columns if c != "customer_id"], "products"]
     # At most n orders per customer and part, so the list is bounded.
-    nested = full.groupBy("customer_id", part).agg(
+    keys = ["customer_id"] if hot is None else ["customer_id", part]
+    nested = full.repartition(*keys).groupBy("customer_id", part).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("recent_orders")
     )
     nested = nested.withColumnRenamed(part, part_column("recent_orders"))

@@ -73,16 +73,20 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two tables hold the same rows equally often."""
+    signed = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    balance = signed.groupBy(*left.columns).agg(F.sum("_n").alias("_n"))
+    return balance.where(F.col("_n") != 0).isEmpty()
+
+
 def save_registry(registry: DataFrame, root: str) -> bool:
     """Write ``registry`` as the next version; False if it equals the newest one."""
     spark = registry.sparkSession
     wanted = require_sound(registry.select(*schemas.REGISTRY_COLUMNS))
     versions = finished_folders(spark, root, VERSION)
-    if versions:
-        current = read_registry(spark, root)
-        changed = wanted.exceptAll(current).unionByName(current.exceptAll(wanted))
-        if changed.isEmpty():
-            return False
+    if versions and same_rows(wanted, read_registry(spark, root)):
+        return False
     number = max(versions, default=0) + 1
     wanted.write.mode("overwrite").json(f"{root}/{VERSION}{number}")
     return True
