@@ -42,12 +42,15 @@ class ExportResult:
     exported: bool
 
     def report(self) -> DataFrame:
-        return self.ids.sparkSession.createDataFrame(
-            [(self.matched, self.fetched, self.written, self.base_path,
-              self.clean_path, self.exported)],
-            "matched BIGINT, fetched BIGINT, written BIGINT, base_path STRING,"
-            " clean_path STRING, exported BOOLEAN",
-        )
+        cells = {
+            "matched": F.lit(self.matched).cast("bigint"),
+            "fetched": F.lit(self.fetched).cast("bigint"),
+            "written": F.lit(self.written).cast("bigint"),
+            "base_path": F.lit(self.base_path),
+            "clean_path": F.lit(self.clean_path),
+            "exported": F.lit(self.exported),
+        }
+        return self.ids.sparkSession.range(1).select(*[c.alias(n) for n, c in cells.items()])
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storegrain.workspace import path_exists
+from storegrain.workspace import empty_table, path_exists
 
 # A file with line breaks inside cells cannot be split on reading, so its size is bounded.
 ROWS_PER_FILE = 1_000_000
@@ -54,7 +54,7 @@ def column_values(spark: SparkSession, path: str, column: str) -> DataFrame:
         rows = read_csv(spark, path, trim=True)
         if column in rows.columns:
             return distinct_filled(rows, column)
-    return spark.createDataFrame([], T.StructType([T.StructField(column, T.StringType())]))
+    return empty_table(spark, f"`{column}` STRING")
 
 
 def distinct_filled(rows: DataFrame, column: str) -> DataFrame:

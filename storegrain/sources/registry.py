@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storegrain import schemas
 from storegrain.sources.landed import read_pages
-from storegrain.workspace import finished_folders, path_exists
+from storegrain.workspace import empty_table, finished_folders, path_exists
 
 VERSION = "version="
 
@@ -30,14 +30,10 @@ def require_sound(registry: DataFrame) -> DataFrame:
     )
 
 
-def empty_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.FIELD_REGISTRY)
-
-
 def read_registry_file(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
     """A ``{"formFields": [...]}`` file, or one entry per object; absent is empty."""
     if not path_exists(spark, path):
-        return empty_registry(spark)
+        return empty_table(spark, schemas.FIELD_REGISTRY)
     pages = read_pages(spark, path, multiline=multiline)
     is_entry = F.expr(
         "try_variant_get(page, '$.name', 'variant') is not null"
@@ -65,7 +61,7 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
     """The newest finished version under ``root``; none is an empty registry."""
     versions = finished_folders(spark, root, VERSION)
     if not versions:
-        return empty_registry(spark)
+        return empty_table(spark, schemas.FIELD_REGISTRY)
     return require_sound(
         spark.read.schema(schemas.FIELD_REGISTRY)
         .option("mode", "FAILFAST")

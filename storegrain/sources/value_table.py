@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from storegrain import schemas
 from storegrain.operators.values import last_writes, upsert_values
-from storegrain.workspace import finished_folders
+from storegrain.workspace import empty_table, finished_folders
 
 BASE, BATCH = "upto=", "batch="
 
@@ -31,7 +31,7 @@ def _newest_base(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
     bases = finished_folders(spark, f"{root}/base", BASE)
     schema = schemas.FORM_FIELD_VALUES
     if not bases:
-        return -1, spark.createDataFrame([], schema)
+        return -1, empty_table(spark, schema)
     upto = max(bases)
     return upto, spark.read.schema(schema).parquet(bases[upto])
 

@@ -137,7 +137,7 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(spark: SparkSession) -> DataFrame:
     """Four of the five event types; ``purchase`` lists its values, ``error`` is missing."""
     options = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda n: n.cast("string"))
-    names = spark.createDataFrame([("click",), ("view",), ("purchase",), ("signup",)], "name STRING")
+    names = spark.sql("SELECT * FROM VALUES ('click'), ('view'), ('purchase'), ('signup') AS t(name)")
     return names.select(
         "name",
         F.when(F.col("name") == "signup", "boolean").otherwise("number").alias("type"),

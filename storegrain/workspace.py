@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _fallback_roots: dict[str, str] = {}
 
@@ -48,6 +49,14 @@ def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+def empty_table(spark: SparkSession, ddl: str) -> DataFrame:
+    """No rows of the given columns, known to the planner as empty."""
+    columns = T.StructType.fromDDL(ddl).fields
+    return spark.range(0).select(
+        *[F.lit(None).cast(c.dataType).alias(c.name) for c in columns]
+    )
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
