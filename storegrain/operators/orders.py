@@ -1,4 +1,10 @@
-"""Order lookups: latest orders, products, fees, customers and carts."""
+"""Order lookups: latest orders, products, fees, customers and carts.
+
+Lookups take a table of keys.  Where the planner cannot know how many keys or
+hits there are, they go through a written table (``stage``): its size is known,
+so a small one is broadcast and the big tables are scanned without a shuffle,
+while a large one is joined by shuffling both sides.
+"""
 
 from __future__ import annotations
 
@@ -88,10 +94,7 @@ def order_fees(orders: DataFrame, fees: DataFrame) -> DataFrame:
 
 def orders_by_email(orders: DataFrame, emails: DataFrame, products: DataFrame | None = None,
                     n: int = ORDERS_PER_EMAIL, *, list_rows: int = LIST_ROWS) -> DataFrame:
-    """The ``n`` latest orders placed under each email, with products if given.
-
-    With products the orders are used twice, so they go through a written table.
-    """
+    """The ``n`` latest orders placed under each email, with products if given."""
     mine = keep_matching(orders, emails, "email")
     latest = top_n(mine, "email", newest_first(), n, "recency")
     if products is None:
@@ -104,6 +107,7 @@ def customers_by_order(order_ids: DataFrame, orders: DataFrame, customers: DataF
     """(``order_id``, customer columns) for each order of a known customer."""
     asked = with_customer(keep_matching(orders, order_ids, "id", "order_id"))
     owners = asked.select(F.col("id").alias("order_id"), F.col("customer_id").alias("_owner"))
+    owners = stage(owners, "owners")
     return owners.join(customers, owners["_owner"] == customers["id"]).drop("_owner")
 
 
@@ -112,14 +116,13 @@ def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFr
                        hot: HotKeys | None = None) -> DataFrame:
     """Customers with ``recent_orders``, newest first, each holding its products.
 
-    The latest orders are used twice, so they go through a written table.
-
     A customer without orders keeps an empty list.  If an order has very many
     products the customer has one row per part of that product list.  ``hot``
     may pass in what :func:`~storegrain.operators.nesting.find_hot` gave for the
     product table, to save counting it again.
     """
-    latest = recent_orders(keep_matching(orders, customers, "customer_id", "id"), n)
+    asked = stage(customers.select("id").distinct(), "searched")
+    latest = recent_orders(keep_matching(orders, asked, "customer_id", "id"), n)
     latest = stage(latest, "latest-orders")
     hot = hot or find_hot(products, "order_id", list_rows)
     full = with_products(latest, products, few=True, list_rows=list_rows, hot=hot)
@@ -143,7 +146,7 @@ def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFr
 
 def first_customers(customers: DataFrame, emails: DataFrame) -> DataFrame:
     """For each email the customer with the lowest id; unknown emails keep nulls."""
-    asked = emails.select("email").distinct()
+    asked = stage(emails.select("email").distinct(), "emails")
     mine = keep_matching(customers, asked, "email")
     first = top_n(mine, "email", [F.asc("id")], 1, "_rank").drop("_rank")
     return asked.join(first, "email", "left")
@@ -151,14 +154,13 @@ def first_customers(customers: DataFrame, emails: DataFrame) -> DataFrame:
 
 def carts_by_order(order_ids: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
     """The cart of each order id, with an ``outcome`` in place of an error."""
-    asked = order_ids.select("order_id").distinct()
-    keyed = _order_keys(asked, orders)
-    return _look_up_carts(keyed, carts)
+    asked = stage(order_ids.select("order_id").distinct(), "order-ids")
+    return _look_up_carts(_order_keys(asked, orders), carts, "order_id")
 
 
 def carts_by_key(keys: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
     """Carts for a mix of keys: all digits is an order id, anything else a cart id."""
-    asked = keys.select("key").distinct()
+    asked = stage(keys.select("key").distinct(), "cart-keys")
     digits = F.col("key").rlike("^[0-9]+$")
     by_order = _order_keys(
         asked.where(digits).withColumn("order_id", F.expr("try_cast(key as bigint)")), orders
@@ -170,7 +172,7 @@ def carts_by_key(keys: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFr
         F.lit(True).alias("known"),
     )
     keyed = by_order.select("key", "order_id", "cart_id", "known").unionByName(direct)
-    return _look_up_carts(keyed, carts, spread="key")
+    return _look_up_carts(keyed, carts, "key")
 
 
 def _order_keys(asked: DataFrame, orders: DataFrame) -> DataFrame:
@@ -178,13 +180,15 @@ def _order_keys(asked: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("id").alias("_id"), F.nullif("cart_id", F.lit("")).alias("cart_id"),
         F.lit(True).alias("known"),
     )
-    cart_of = one_per_key(cart_of, "_id")
+    cart_of = one_per_key(keep_matching(cart_of, asked, "_id", "order_id"), "_id")
     return asked.join(cart_of, asked["order_id"] == cart_of["_id"], "left").drop("_id")
 
 
-def _look_up_carts(keyed: DataFrame, carts: DataFrame, spread: str = "order_id") -> DataFrame:
+def _look_up_carts(keyed: DataFrame, carts: DataFrame, spread: str) -> DataFrame:
+    keyed = stage(keyed, "cart-ids")
     found = carts.withColumnsRenamed({c: f"cart_{c}" for c in carts.columns if c != "id"})
-    found = one_per_key(found.withColumnRenamed("id", "_cart"), "_cart")
+    found = keep_matching(found.withColumnRenamed("id", "_cart"), keyed, "_cart", "cart_id")
+    found = one_per_key(found, "_cart")
     joined = left_join_filled(keyed, found, "cart_id", "_cart", spread)
     outcome = (
         F.when(F.col("_cart").isNotNull(), FOUND)

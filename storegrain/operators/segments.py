@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storegrain.workspace import stage, stage_counted
+
 
 def field_match(field: str, value: str) -> Column:
     """Exact, case-sensitive match on field and value; only positive ids count."""
@@ -21,6 +23,15 @@ def segment_ids(values: DataFrame, field: str, value: str) -> DataFrame:
     return matches.select(F.col("customer_id").alias("id")).distinct()
 
 
+def find_segment(values: DataFrame, field: str, value: str) -> tuple[DataFrame, int]:
+    """:func:`segment_ids` as a written table, and how many there are.
+
+    The table's size is known, so a small segment is broadcast and the customers
+    are scanned without a shuffle.
+    """
+    return stage_counted(segment_ids(values, field, value), "segment")
+
+
 def customers_of(customers: DataFrame, ids: DataFrame) -> DataFrame:
     """Customer rows of the ids; an id without a customer vanishes."""
     return customers.join(ids, "id", "left_semi")
@@ -34,16 +45,17 @@ def not_exported(ids: DataFrame, exported: DataFrame, column: str) -> DataFrame:
 
 def segment_counts(values: DataFrame, customers: DataFrame, field: str, value: str) -> DataFrame:
     """One row: matching value rows, matched customers and customers found."""
-    per_id = (
+    per_id = stage(
         matching_values(values, field, value)
         .groupBy(F.col("customer_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.count(F.lit(1)).alias("rows")),
+        "segment",
     )
-    known = customers.select("id").withColumn("known", F.lit(1))
+    known = customers_of(customers.select("id"), per_id).distinct().withColumn("known", F.lit(1))
     return per_id.join(known, "id", "left").agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("matched_rows"),
-        F.count_distinct("id").alias("matched"),
-        F.count_distinct(F.when(F.col("known") == 1, F.col("id"))).alias("fetched"),
+        F.count(F.lit(1)).alias("matched"),
+        F.count("known").alias("fetched"),
     )
 
 

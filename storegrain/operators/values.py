@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storegrain.workspace import stage
+
 KEY = ("customer_id", "name")
 
 
@@ -37,12 +39,20 @@ def last_writes(changes: DataFrame) -> DataFrame:
 
 def upsert_values(current: DataFrame, changes: DataFrame) -> DataFrame:
     """``current`` with the last change of each key put in place of its row."""
-    applied = last_writes(changes).select(*KEY, "value")
+    return _replace(current, last_writes(changes).select(*KEY, "value"))
+
+
+def _replace(current: DataFrame, applied: DataFrame) -> DataFrame:
     kept = current.join(applied, list(KEY), "left_anti").select(*KEY, "value")
     return kept.unionByName(applied)
 
 
 def apply_updates(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(updated table, applied rows, rejected rows) for a table of changes."""
+    """(updated table, applied rows, rejected rows) for a table of changes.
+
+    The applied rows are a written table: if they are few, the current table is
+    not shuffled.
+    """
     sound, rejects = split_changes(changes)
-    return upsert_values(current, sound), last_writes(sound).select(*KEY, "value"), rejects
+    applied = stage(last_writes(sound).select(*KEY, "value"), "applied")
+    return _replace(current, applied), applied, rejects

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from storegrain.functions.cells import ID_COLUMN, ColumnList, cells, parse_columns, with_id
 from storegrain.functions.text import slug_of
 from storegrain.operators.fields import check_request
-from storegrain.operators.segments import customers_of, matching_values, not_exported
+from storegrain.operators.segments import customers_of, find_segment, not_exported
 from storegrain.sources.csv_files import distinct_filled, read_csv, write_csv
 from storegrain.workspace import list_folder, path_exists, stage_counted
 
@@ -160,10 +160,7 @@ def export_segment(values: DataFrame, customers: DataFrame, *, key: str, field:
     target = export_target(out_dir, key, prefix=prefix, run_date=run_date,
                            incremental=incremental, run=run)
     target = settle(values.sparkSession, target)
-    matches = matching_values(values, field, value)
-    ids, matched = stage_counted(
-        matches.select(F.col("customer_id").alias("id")).distinct(), "segment"
-    )
+    ids, matched = find_segment(values, field, value)
     return export_ids(ids, matched, customers, wanted, full, target, write)
 
 

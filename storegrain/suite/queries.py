@@ -26,7 +26,7 @@ from storegrain.streaming.export_feed import run_export_feed
 from storegrain.streaming.segment_feed import collect_segment
 from storegrain.streaming.value_feed import run_value_feed, stream_changes
 from storegrain.suite import standins as tables
-from storegrain.workspace import new_folder
+from storegrain.workspace import new_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -59,14 +59,14 @@ def money(column: Column) -> Column:
 
 @query
 def segment_export(spark, sf_dir):
-    ids = segments.segment_ids(tables.values(spark, sf_dir), FIELD, VALUE)
+    ids, _ = segments.find_segment(tables.values(spark, sf_dir), FIELD, VALUE)
     found = segments.customers_of(tables.customers(spark, sf_dir), ids)
     return export_rows(found, parse_columns(COLUMNS))
 
 
 @query
 def segment_export_dates(spark, sf_dir):
-    ids = segments.segment_ids(tables.values(spark, sf_dir), FIELD, VALUE)
+    ids, _ = segments.find_segment(tables.values(spark, sf_dir), FIELD, VALUE)
     found = segments.customers_of(tables.customers(spark, sf_dir, dates=True), ids)
     spec = "ID:email,ID:id,Created:date_created,Modified:date_modified,Region:form_field:region"
     return export_rows(found, parse_columns(spec))
@@ -75,7 +75,7 @@ def segment_export_dates(spark, sf_dir):
 @query
 def segment_export_incremental(spark, sf_dir):
     everyone = tables.customers(spark, sf_dir)
-    ids = segments.segment_ids(tables.values(spark, sf_dir), FIELD, VALUE)
+    ids, _ = segments.find_segment(tables.values(spark, sf_dir), FIELD, VALUE)
     base = everyone.where("id % 2 = 0").select(F.col("id").cast("string").alias("Customer ID"))
     new = segments.not_exported(ids, base, "Customer ID")
     return export_rows(segments.customers_of(everyone, new), parse_columns(COLUMNS))
@@ -253,8 +253,9 @@ def recent_orders_top10(spark, sf_dir):
 @query
 def orders_by_email(spark, sf_dir):
     hits = search_customers(tables.customers(spark, sf_dir), SearchFilters(company="BUILDING"))
+    emails = stage(hits.select("email"), "emails")
     full = orders.orders_by_email(
-        tables.orders(spark, sf_dir), hits, tables.products(spark, sf_dir), n=10
+        tables.orders(spark, sf_dir), emails, tables.products(spark, sf_dir), n=10
     )
     return full.groupBy("email", "id", F.col("recency").cast("bigint").alias("recency")).agg(
         F.sum(F.size("products")).alias("n_products")

@@ -74,3 +74,29 @@ def test_one_exchange_to_nest(spark):
     nested = orders.with_products(tables.orders(spark, SF_DIR), tables.products(spark, SF_DIR))
     text = plan(nested)
     assert "partial_collect_list" in text and "REPARTITION_BY_COL" in text
+
+
+def test_skewed_join_partition_is_split(spark, tmp_path):
+    """One email has nearly all rows: the join under the top-N is split at run time."""
+    held = spark.range(200_000).selectExpr(
+        "id", "if(id % 100 = 0, concat('m', id), 'hot') AS email",
+        "date_add(date'2024-01-01', cast(id % 300 as int)) AS date_created", "repeat('x', 50) AS note")
+    path = str(tmp_path / "orders")
+    held.repartition(16).write.parquet(path)
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB"}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        mine = keys.keep_matching(spark.read.parquet(path), spark.read.parquet(path), "email")
+        latest = keys.top_n(mine, "email", orders.newest_first(), 10, "recency")
+        rows = latest.where("email = 'hot'").collect()
+        latest.collect()
+        text = plan(latest)
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert len(rows) == 10
+    assert "skew=true" in text
