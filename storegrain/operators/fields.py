@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storegrain.functions.catalog import field_name, field_options, raw_type, registry_type
 from storegrain.functions.text import truthy
 from storegrain.operators.keys import top_n
+from storegrain.workspace import stage_counted
 
 UNKNOWN_FIELD, VALUE_NOT_ALLOWED = "unknown field", "value not allowed"
 
@@ -56,15 +57,17 @@ def check_request(registry: DataFrame, field: str, value: str) -> None:
 def field_violations(values: DataFrame, registry: DataFrame) -> DataFrame:
     """Value rows with an unknown field or a value outside its options.
 
-    One left join does both checks.  The registry is small, so the planner
-    broadcasts it by its size; there is no hint.
+    One left join does both checks.  Fields are few and each has very many
+    rows, so the registry goes through a written table: the planner knows its
+    size and broadcasts it, or splits the skewed fields if it is too large.
     """
-    if registry.isEmpty():
-        return values.withColumn("violation", F.lit(None).cast("string")).where(F.lit(False))
-    known = (
+    known, entries = stage_counted(
         registry.groupBy(F.col("name").alias("_name"))
-        .agg(F.min(F.struct("type", "options")).alias("_entry"))
+        .agg(F.min(F.struct("type", "options")).alias("_entry")),
+        "registry",
     )
+    if entries == 0:
+        return values.withColumn("violation", F.lit(None).cast("string")).where(F.lit(False))
     options = F.col("_entry.options")
     violation = F.when(F.col("_name").isNull(), UNKNOWN_FIELD).when(
         options.isNotNull() & ~F.coalesce(F.array_contains(options, F.col("value")), F.lit(False)),

@@ -14,19 +14,25 @@ BROADCAST_ROWS = 500_000
 EARLY_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
+def same_key(left: Column, right: Column) -> Column:
+    """Equality of two keys that leaves room for skew handling.
+
+    The hash is a second, redundant join key.  A side that is already
+    partitioned by the key alone is exchanged once more for the join, and so is
+    the result if it is grouped by the key.  That is what lets the adaptive
+    planner split a skewed partition: it does so only where both sides come
+    straight from an exchange and nothing above relies on the partitioning.
+    """
+    return (left == right) & (F.xxhash64(left) == F.xxhash64(right))
+
+
 def keep_matching(df: DataFrame, keys: DataFrame, column: str, key: str | None = None) -> DataFrame:
     """Rows whose ``column`` is among the keys (left semi join).
 
-    The hash is a second, redundant join key.  With it a later window or
-    grouping on ``column`` needs its own exchange, and so the adaptive planner
-    stays free to split a skewed join partition, and early limits or partial
-    aggregates run before that exchange.
+    Repeated keys are merged inside each task before they are exchanged.
     """
-    wanted = keys.select(F.col(key or column).alias("_key"))
-    wanted = wanted.withColumn("_hash", F.xxhash64("_key")).distinct()
-    value = df[column]
-    on = (value == wanted["_key"]) & (F.xxhash64(value) == wanted["_hash"])
-    return df.join(wanted, on, "left_semi")
+    wanted = keys.select(F.col(key or column).alias("_key")).distinct()
+    return df.join(wanted, same_key(df[column], wanted["_key"]), "left_semi")
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
@@ -47,8 +53,8 @@ def left_join_filled(left: DataFrame, right: DataFrame, column: str, key: str,
     meeting in the partition of the null key.
     """
     value = F.nullif(left[column], F.lit(""))
-    on = (F.coalesce(value, left[spread].cast("string")) == right[key]) & value.isNotNull()
-    return left.join(right, on, "left")
+    spread_value = F.coalesce(value, left[spread].cast("string"))
+    return left.join(right, same_key(spread_value, right[key]) & value.isNotNull(), "left")
 
 
 def top_n(df: DataFrame, key: str, order: list[Column], n: int, rank: str) -> DataFrame:

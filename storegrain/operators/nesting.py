@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storegrain.operators.keys import HotKeys, hot_keys
+from storegrain.operators.keys import HotKeys, hot_keys, same_key
 
 LIST_ROWS = 10_000
 # Into how many pieces a list's worth of equal rows is cut before it is spread.
@@ -51,8 +51,9 @@ def _nest_split(children: DataFrame, key: str, elements: list[str], into: str,
         F.count(F.lit(1)).alias("_copies")
     )
     piece_count = F.ceil(F.col("_copies") / size)
+    counts = rows.select(F.col(key).alias("_key"), "rows")
     pieces = (
-        copies.join(rows, key)
+        copies.join(counts, same_key(copies[key], counts["_key"]))
         .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), piece_count - 1)))
         .withColumn(
             "_copies",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storegrain.operators.keys import keep_matching
 from storegrain.workspace import stage, stage_counted
 
 
@@ -34,7 +35,7 @@ def find_segment(values: DataFrame, field: str, value: str) -> tuple[DataFrame,
 
 def customers_of(customers: DataFrame, ids: DataFrame) -> DataFrame:
     """Customer rows of the ids; an id without a customer vanishes."""
-    return customers.join(ids, "id", "left_semi")
+    return keep_matching(customers, ids, "id")
 
 
 def not_exported(ids: DataFrame, exported: DataFrame, column: str) -> DataFrame:
