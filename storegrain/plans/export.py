@@ -23,7 +23,7 @@ from storegrain.functions.text import slug_of
 from storegrain.operators.fields import check_request
 from storegrain.operators.segments import customers_of, find_segment, not_exported
 from storegrain.sources.csv_files import distinct_filled, read_csv, write_csv
-from storegrain.workspace import list_folder, path_exists, stage_counted
+from storegrain.workspace import finished_folders, matching_paths, stage_counted
 
 FULL, INCREMENTAL = "full", "incremental"
 RUN = "run="
@@ -103,13 +103,8 @@ def exported_ids(spark: SparkSession, target: ExportTarget, full: ColumnList) ->
 
     All runs of a base share one column list; the read fails if headers differ.
     """
-    runs = [
-        path
-        for name, path, _ in list_folder(spark, target.base)
-        if name.startswith(RUN)
-        and name != f"{RUN}{target.run}"
-        and path_exists(spark, f"{path}/_SUCCESS")
-    ]
+    finished = finished_folders(spark, target.base, RUN)
+    runs = [path for run, path in finished.items() if run != target.run]
     if not runs:
         return None
     rows = read_csv(spark, runs, trim=True, columns=list(dict(full)))
@@ -118,9 +113,10 @@ def exported_ids(spark: SparkSession, target: ExportTarget, full: ColumnList) ->
 
 def settle(spark: SparkSession, target: ExportTarget) -> ExportTarget:
     """Keep the run date of an earlier attempt of the same run, if there was one."""
-    for name, path, _ in list_folder(spark, f"{target.root}/clean"):
-        if path_exists(spark, f"{path}/mode={target.mode}/{RUN}{target.run}"):
-            return replace(target, run_date=date.fromisoformat(name.removeprefix("run_date=")))
+    own = f"{target.root}/clean/run_date=*/mode={target.mode}/{RUN}{target.run}"
+    for path in matching_paths(spark, own):
+        day = path.split("/run_date=")[1].split("/")[0]
+        return replace(target, run_date=date.fromisoformat(day))
     return target
 
 

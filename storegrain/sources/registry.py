@@ -57,9 +57,13 @@ def read_registry_file(spark: SparkSession, path: str, *, multiline: bool = True
     )
 
 
+def _versions(spark: SparkSession, root: str) -> dict[int, str]:
+    return {int(n): path for n, path in finished_folders(spark, root, VERSION).items()}
+
+
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
     """The newest finished version under ``root``; none is an empty registry."""
-    versions = finished_folders(spark, root, VERSION)
+    versions = _versions(spark, root)
     if not versions:
         return empty_table(spark, schemas.FIELD_REGISTRY)
     return require_sound(
@@ -80,7 +84,7 @@ def save_registry(registry: DataFrame, root: str) -> bool:
     """Write ``registry`` as the next version; False if it equals the newest one."""
     spark = registry.sparkSession
     wanted = require_sound(registry.select(*schemas.REGISTRY_COLUMNS))
-    versions = finished_folders(spark, root, VERSION)
+    versions = _versions(spark, root)
     if versions and same_rows(wanted, read_registry(spark, root)):
         return False
     number = max(versions, default=0) + 1

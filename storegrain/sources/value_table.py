@@ -27,8 +27,12 @@ def append_changes(changes: DataFrame, root: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/changes/{BATCH}{batch}")
 
 
+def _numbered(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    return {int(n): folder for n, folder in finished_folders(spark, path, prefix).items()}
+
+
 def _newest_base(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
-    bases = finished_folders(spark, f"{root}/base", BASE)
+    bases = _numbered(spark, f"{root}/base", BASE)
     schema = schemas.FORM_FIELD_VALUES
     if not bases:
         return -1, empty_table(spark, schema)
@@ -37,7 +41,7 @@ def _newest_base(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
 
 
 def _pending(spark: SparkSession, root: str, after: int) -> tuple[int, DataFrame | None]:
-    batches = finished_folders(spark, f"{root}/changes", BATCH)
+    batches = _numbered(spark, f"{root}/changes", BATCH)
     newer = {n: path for n, path in batches.items() if n > after}
     if not newer:
         return after, None

@@ -78,12 +78,21 @@ def list_folder(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
     ]
 
 
-def finished_folders(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
-    """``<prefix><number>`` sub-folders whose write finished, by number."""
-    found = {}
-    for name, full, _ in list_folder(spark, path):
-        number = name.removeprefix(prefix)
-        if name.startswith(prefix) and number.isdigit():
-            if path_exists(spark, f"{full}/_SUCCESS"):
-                found[int(number)] = full
-    return found
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern."""
+    fs, hadoop_path = _file_system(spark, pattern)
+    return [s.getPath().toString() for s in fs.globStatus(hadoop_path) or []]
+
+
+def finished_folders(spark: SparkSession, path: str, prefix: str) -> dict[str, str]:
+    """``<prefix><name>`` sub-folders whose write finished, by name."""
+    marks = matching_paths(spark, f"{path}/{prefix}*/_SUCCESS")
+    folders = [mark.removesuffix("/_SUCCESS") for mark in marks]
+    return {folder.rsplit("/", 1)[1].removeprefix(prefix): folder for folder in folders}
+
+
+def drop_staged(spark: SparkSession) -> bool:
+    """Delete what this application staged; call it when its results are no longer read."""
+    app = spark.sparkContext.applicationId
+    fs, hadoop_path = _file_system(spark, f"{shared_root(spark)}/storegrain/{app}")
+    return bool(fs.delete(hadoop_path, True))
