@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storegrain.functions.catalog import field_name, field_options, raw_type, registry_type
 from storegrain.functions.text import truthy
 from storegrain.operators.keys import top_n
-from storegrain.workspace import stage_counted
+from storegrain.workspace import stage, stage_counted
 
 UNKNOWN_FIELD, VALUE_NOT_ALLOWED = "unknown field", "value not allowed"
 
@@ -84,21 +84,31 @@ def field_violations(values: DataFrame, registry: DataFrame) -> DataFrame:
 def discover_fields(values: DataFrame, samples: int = 3, approximate: bool = False) -> DataFrame:
     """Per field: rows, customers, distinct values and the first few of them.
 
-    There are few fields and very many rows, so values are made distinct on
-    (field, value) before anything is gathered per field.
+    There are few fields and very many rows, so rows are first merged on
+    (field, value) and on (field, customer); only sums are taken per field.
+    ``approximate`` estimates the customers instead of counting them.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    counts = values.groupBy("name").agg(
-        F.count(F.lit(1)).alias("rows"),
-        distinct("customer_id").alias("customers"),
-        distinct("value").alias("distinct_values"),
+    per_value = stage(
+        values.groupBy("name", "value").agg(F.count(F.lit(1)).alias("rows")), "field-values"
     )
-    seen = values.where("value is not null").select("name", "value").distinct()
-    first = top_n(seen, "name", [F.asc("value")], samples, "_rank")
-    sample = first.groupBy(F.col("name").alias("_name")).agg(
-        F.sort_array(F.collect_list("value")).alias("samples")
+    counts = per_value.groupBy("name").agg(
+        F.sum("rows").alias("rows"), F.count("value").alias("distinct_values")
     )
-    joined = counts.join(sample, counts["name"].eqNullSafe(sample["_name"]), "left")
-    return joined.drop("_name").withColumn(
-        "samples", F.coalesce("samples", F.array().cast("array<string>"))
+    if approximate:
+        per_customer = values.groupBy("name")
+        holders = per_customer.agg(F.approx_count_distinct("customer_id").alias("customers"))
+    else:
+        per_customer = values.select("name", "customer_id").distinct().groupBy("name")
+        holders = per_customer.agg(F.count("customer_id").alias("customers"))
+    first = top_n(per_value.where("value is not null"), "name", [F.asc("value")], samples, "_rank")
+    sample = first.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+    joined = counts
+    for more in (holders, sample):
+        more = more.withColumnRenamed("name", "_name")
+        on = joined["name"].eqNullSafe(more["_name"])
+        joined = joined.join(more, on, "left").drop("_name")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        "name", "rows", "customers", "distinct_values",
+        F.coalesce("samples", none).alias("samples"),
     )

@@ -11,13 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storegrain.operators.keys import (
-    HotKeys,
-    keep_matching,
-    left_join_filled,
-    one_per_key,
-    top_n,
-)
+from storegrain.operators.keys import keep_matching, left_join_filled, one_per_key, top_n
 from storegrain.operators.nesting import (
     LIST_ROWS,
     attach,
@@ -65,20 +59,19 @@ def _product_columns(products: DataFrame) -> list[str]:
     return [c for c in products.columns if c != "order_id"]
 
 
-def with_products(orders: DataFrame, products: DataFrame, *, few: bool = False,
-                  list_rows: int = LIST_ROWS, hot: HotKeys | None = None) -> DataFrame:
+def with_products(orders: DataFrame, products: DataFrame, *,
+                  list_rows: int = LIST_ROWS) -> DataFrame:
     """Orders with their products nested in ``products``; none is an empty list.
 
-    An order with very many products has several rows, see ``nesting``.  With
-    ``few`` the orders are a small part of all, and products are cut to theirs
-    first.  ``hot`` may pass in what :func:`~storegrain.operators.nesting.find_hot`
-    gave for the product table, to save counting it again.
+    An order with very many products has several rows, see ``nesting``.
     """
-    hot = hot or find_hot(products, "order_id", list_rows)
-    mine = keep_matching(products, orders, "order_id", "id") if few else products
-    listed = nest(mine, "order_id", _product_columns(products), "products", hot, list_rows)
-    return attach(orders, "id", listed, "order_id", "products",
-                  hot_parts(hot, "order_id", list_rows))
+    return nest_and_attach(orders, "id", products, "order_id",
+                           _product_columns(products), "products", list_rows=list_rows)
+
+
+def products_of(orders: DataFrame, products: DataFrame) -> DataFrame:
+    """The products of some orders, cut out of the product table in one scan."""
+    return stage(keep_matching(products, orders, "order_id", "id"), "their-products")
 
 
 def with_fees(orders: DataFrame, fees: DataFrame, *, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -100,7 +93,7 @@ def orders_by_email(orders: DataFrame, emails: DataFrame, products: DataFrame |
     if products is None:
         return latest
     latest = stage(latest, "latest-orders")
-    return with_products(latest, products, few=True, list_rows=list_rows)
+    return with_products(latest, products_of(latest, products), list_rows=list_rows)
 
 
 def customers_by_order(order_ids: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -112,20 +105,20 @@ def customers_by_order(order_ids: DataFrame, orders: DataFrame, customers: DataF
 
 
 def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFrame,
-                       n: int = RECENT_ORDERS, *, list_rows: int = LIST_ROWS,
-                       hot: HotKeys | None = None) -> DataFrame:
+                       n: int = RECENT_ORDERS, *, list_rows: int = LIST_ROWS) -> DataFrame:
     """Customers with ``recent_orders``, newest first, each holding its products.
 
     A customer without orders keeps an empty list.  If an order has very many
-    products the customer has one row per part of that product list.  ``hot``
-    may pass in what :func:`~storegrain.operators.nesting.find_hot` gave for the
-    product table, to save counting it again.
+    products the customer has one row per part of that product list.
     """
     asked = stage(customers.select("id").distinct(), "searched")
     latest = recent_orders(keep_matching(orders, asked, "customer_id", "id"), n)
     latest = stage(latest, "latest-orders")
-    hot = hot or find_hot(products, "order_id", list_rows)
-    full = with_products(latest, products, few=True, list_rows=list_rows, hot=hot)
+    mine = products_of(latest, products)
+    hot = find_hot(mine, "order_id", list_rows)
+    listed = nest(mine, "order_id", _product_columns(products), "products", hot, list_rows)
+    full = attach(latest, "id", listed, "order_id", "products",
+                  hot_parts(hot, "order_id", list_rows))
     part = part_column("products")
     fields = ["recency", *[c for c in orders.columns if c != "customer_id"], "products"]
     # At most n orders per customer and part, so the list is bounded.
