@@ -79,7 +79,8 @@ class Rule:
 
     ``kind`` is ``string``, ``number``, ``text_or_list``, ``array`` or
     ``object``.  ``required`` says the key must be there, ``nullable`` that a
-    JSON null is fine.  ``items`` are the rules for the elements of an array.
+    JSON null is fine.  ``items`` are the rules for the elements of an array,
+    ``members`` those for the keys of an object.
     """
 
     path: str
@@ -87,6 +88,7 @@ class Rule:
     required: bool = True
     nullable: bool = False
     items: tuple["Rule", ...] = ()
+    members: tuple["Rule", ...] = ()
 
 
 CUSTOMER_RULES = (
@@ -112,7 +114,31 @@ FIELD_VALUE_RULES = (
     Rule("customer_id", "number"),
 )
 
+PAGE_COUNTS = ("total", "count", "per_page", "current_page", "total_pages")
+
 PAGE_RULES = (
     Rule("data", "array"),
-    Rule("meta", "object"),
+    Rule(
+        "meta",
+        "object",
+        members=(
+            Rule(
+                "pagination",
+                "object",
+                required=False,
+                members=tuple(Rule(name, "number") for name in PAGE_COUNTS),
+            ),
+            Rule(
+                "cursor_pagination",
+                "object",
+                required=False,
+                members=(
+                    Rule("count", "number"),
+                    Rule("per_page", "number"),
+                    Rule("end_cursor", "string"),
+                    Rule("links", "object", members=(Rule("next", "string", required=False),)),
+                ),
+            ),
+        ),
+    ),
 )

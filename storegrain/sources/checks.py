@@ -40,6 +40,8 @@ def _broken(row: Column, rule: Rule) -> Column:
         for inner in rule.items:
             bad_element = F.exists(elements, partial(_broken_element, inner))
             good = good & F.coalesce(~bad_element, F.lit(False))
+    for member in rule.members:
+        good = good & ~_broken(value, member)
     if rule.nullable:
         good = good | F.coalesce(F.schema_of_variant(value) == "VOID", F.lit(False))
     if not rule.required:

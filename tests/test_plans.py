@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from storegrain.operators import keys, orders, segments, values
@@ -76,27 +77,71 @@ def test_one_exchange_to_nest(spark):
     assert "partial_collect_list" in text and "REPARTITION_BY_COL" in text
 
 
-def test_skewed_join_partition_is_split(spark, tmp_path):
-    """One email has nearly all rows: the join under the top-N is split at run time."""
-    held = spark.range(200_000).selectExpr(
-        "id", "if(id % 100 = 0, concat('m', id), 'hot') AS email",
-        "date_add(date'2024-01-01', cast(id % 300 as int)) AS date_created", "repeat('x', 50) AS note")
-    path = str(tmp_path / "orders")
-    held.repartition(16).write.parquet(path)
-    small = {"spark.sql.autoBroadcastJoinThreshold": "-1",
-             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB"}
-    for name, value in small.items():
+SMALL_PARTITIONS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+}
+
+
+@pytest.fixture
+def small_partitions(spark):
+    for name, value in SMALL_PARTITIONS.items():
         spark.conf.set(name, value)
-    try:
-        mine = keys.keep_matching(spark.read.parquet(path), spark.read.parquet(path), "email")
-        latest = keys.top_n(mine, "email", orders.newest_first(), 10, "recency")
-        rows = latest.where("email = 'hot'").collect()
-        latest.collect()
-        text = plan(latest)
-    finally:
-        for name in small:
-            spark.conf.unset(name)
-    assert len(rows) == 10
-    assert "skew=true" in text
+    yield
+    for name in SMALL_PARTITIONS:
+        spark.conf.unset(name)
+
+
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    """Rows of which 99 in 100 share one id, email and cart."""
+    path = str(tmp_path_factory.mktemp("skewed") / "rows")
+    spark.range(300_000).selectExpr(
+        "id AS seq", "if(id % 100 = 0, id, 5) AS id", "if(id % 100 = 0, id, 5) AS customer_id",
+        "if(id % 100 = 0, id, 5) AS order_id",
+        "if(id % 100 = 0, concat('m', id), 'hot') AS email",
+        "if(id % 100 = 0, concat('c', id), 'hot') AS cart_id",
+        "date_add(date'2024-01-01', cast(id % 300 as int)) AS date_created",
+        "uuid() AS note").repartition(16).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def finished_plan(df) -> str:
+    df.collect()
+    return plan(df)
+
+
+def test_skew_below_a_top_n_is_split(spark, skewed, small_partitions):
+    mine = keys.keep_matching(skewed, skewed.select("email"), "email")
+    latest = keys.top_n(mine, "email", orders.newest_first(), 10, "recency")
+    assert "skew=true" in finished_plan(latest)
+    assert latest.where("email = 'hot'").count() == 10
+
+
+def test_skew_in_a_segment_is_split(spark, skewed, small_partitions):
+    found = segments.customers_of(skewed, spark.range(1, 1000))
+    assert "skew=true" in finished_plan(found)
+    assert found.where("id = 5").count() == 297_000
+
+
+def test_skew_in_fees_is_split(spark, skewed, small_partitions):
+    fees = orders.order_fees(spark.range(300_000).withColumn("x", F.uuid()), skewed)
+    assert "skew=true" in finished_plan(fees)
+
+
+def test_skew_in_order_owners_is_split(spark, skewed, small_partitions):
+    held = skewed.select(F.col("seq").alias("id"), "customer_id", "note")
+    asked = spark.range(300_000).select(F.col("id").alias("order_id"))
+    found = orders.customers_by_order(asked, held, spark.range(300_000).withColumn("x", F.uuid()))
+    assert "skew=true" in finished_plan(found)
+    assert found.where("id = 5").count() == 297_000
+
+
+def test_skew_in_cart_ids_is_split(spark, skewed, small_partitions):
+    keyed = skewed.select(F.col("seq").alias("order_id"), "cart_id", "note")
+    carts = keys.one_per_key(skewed.select(F.col("cart_id").alias("_cart"), "seq"), "_cart")
+    joined = keys.left_join_filled(keyed, carts, "cart_id", "_cart", "order_id")
+    assert "skew=true" in finished_plan(joined)
+    assert joined.count() == 300_000

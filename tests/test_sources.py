@@ -33,8 +33,9 @@ def put(folder: Path, name: str, content) -> str:
     return str(folder)
 
 
-def page(*rows):
-    return {"data": list(rows), "meta": {"pagination": {"total": len(rows)}}}
+def page(*rows, **meta):
+    counts = ("total", "count", "per_page", "current_page", "total_pages")
+    return {"data": list(rows), "meta": {"pagination": dict.fromkeys(counts, 1), **meta}}
 
 
 def test_customers_from_several_pages(spark, tmp_path):
@@ -82,6 +83,24 @@ def test_bad_pages(spark, tmp_path):
     assert rejects.count() == 2
 
 
+CURSOR = {"count": 1, "per_page": 250, "end_cursor": "abc", "links": {"next": "?after=abc"}}
+
+
+@pytest.mark.parametrize("meta, sound", [
+    ({}, True),
+    ({"pagination": {"total": 1}}, False),
+    ({"pagination": None}, False),
+    ({"cursor_pagination": CURSOR}, True),
+    ({"cursor_pagination": {**CURSOR, "links": {}}}, True),
+    ({"cursor_pagination": {**CURSOR, "links": {"next": 5}}}, False),
+    ({"cursor_pagination": {**CURSOR, "end_cursor": None}}, False),
+])
+def test_page_meta(spark, tmp_path, meta, sound):
+    path = put(tmp_path / "pages", "1.json", page(ANN, **meta))
+    good, rejects = landed.read_customers(spark, path, mode="quarantine")
+    assert (good.count(), rejects.count()) == ((1, 0) if sound else (0, 1))
+
+
 def test_mode_is_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="mode"):
         landed.read_customers(spark, str(tmp_path), mode="ignore")

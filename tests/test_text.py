@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,19 @@ def test_slug(spark, given, wanted):
     assert text.slug_of(given) == wanted
 
 
+def test_text_rules_on_random_text(spark):
+    rng = random.Random(3)
+    letters = "aZ9 -@@.\u00e9\u00df\u0130\u212a\u4e2d!_\n"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(400)]
+    assert column(spark, texts, text.slug) == [text.slug_of(t) for t in texts]
+
+    def masked(t):
+        local, domain = (t.split("@") + [""])[:2]
+        return "@".join(p[:2] + "*" * max(0, len(p) - 2) for p in (local, domain))
+
+    assert column(spark, texts, text.mask_email) == [masked(t) for t in texts]
+
+
 def test_truthy_by_type(spark):
     df = spark.sql("""
         SELECT * FROM VALUES
