@@ -56,16 +56,18 @@ def first_filled(*candidates: Column, default: str) -> Column:
 
 
 def truthy_variant(value: Column) -> Column:
-    """Truth of a JSON value: false for missing, null, ``false``, 0 and ``''``."""
-    kind = F.schema_of_variant(value)
-    return F.coalesce(
-        F.when(kind == "VOID", F.lit(False))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
-        .when(kind.rlike("^(ARRAY|OBJECT)"), F.lit(True))
-        .otherwise(F.try_variant_get(value, "$", "double") != 0),
-        F.lit(False),
+    """Truth of a JSON value: false for missing, null, ``false``, 0 and ``''``.
+
+    The kind of the value is looked up only where its text could mean false.
+    """
+    text = F.try_variant_get(value, "$", "string")
+    zero = F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False))
+    is_false = (
+        (text.startswith("0") | text.startswith("-0") | (text == "false"))
+        & (F.schema_of_variant(value) != "STRING")
+        & ((text == "false") | zero)
     )
+    return F.coalesce((text != "") & ~is_false, F.lit(False))
 
 
 def truthy(df: DataFrame, name: str) -> Column:

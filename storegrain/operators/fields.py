@@ -23,14 +23,15 @@ def visible_fields(catalog: DataFrame, include_built_in: bool = False) -> DataFr
 
 
 def catalog_summary(catalog: DataFrame, include_built_in: bool = False) -> DataFrame:
-    return visible_fields(catalog, include_built_in).select(
+    named = visible_fields(catalog, include_built_in).select(
         field_name().alias("name"),
-        registry_type(raw_type()).alias("type"),
         raw_type().alias("raw_type"),
         field_options().alias("options"),
         truthy(catalog, "private_id").alias("built_in"),
         truthy(catalog, "required").alias("required"),
     )
+    kind = registry_type(F.col("raw_type")).alias("type")
+    return named.select("name", kind, "raw_type", "options", "built_in", "required")
 
 
 def registry_entries(catalog: DataFrame, include_built_in: bool = False) -> DataFrame:

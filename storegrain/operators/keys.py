@@ -71,6 +71,48 @@ def top_n(df: DataFrame, key: str, order: list[Column], n: int, rank: str) -> Da
     return ranked.where(F.col(rank) <= n)
 
 
+@dataclass(frozen=True)
+class AskedKeys:
+    """Keys of a lookup in a written table (column ``_key``), counted."""
+
+    table: DataFrame
+    count: int
+
+    @property
+    def few(self) -> bool:
+        return self.count <= BROADCAST_ROWS
+
+
+def asked_keys(keys: DataFrame, key: str) -> AskedKeys:
+    """The distinct keys of a table, written and counted here."""
+    wanted = keys.select(F.col(key).alias("_key")).where(F.col(key).isNotNull())
+    return AskedKeys(*stage_counted(wanted.distinct(), "asked"))
+
+
+def narrowed(df: DataFrame, asked: AskedKeys, column: str) -> DataFrame:
+    """``df`` cut to a few keys by a broadcast; all of it if the keys are many.
+
+    For rows that are going to be joined to the keys anyhow.
+    """
+    if not asked.few:
+        return df
+    wanted = F.broadcast(asked.table)
+    return df.join(wanted, df[column] == wanted["_key"], "left_semi")
+
+
+def top_n_of(df: DataFrame, asked: AskedKeys, column: str, order: list[Column], n: int,
+             rank: str) -> DataFrame:
+    """:func:`top_n` of the keys asked for.
+
+    If the keys are many, the top-N of all keys comes first: it leaves at most
+    ``n`` rows per key, already partitioned for the join with the keys.
+    """
+    first = top_n(narrowed(df, asked, column), column, order, n, rank)
+    if asked.few:
+        return first
+    return first.join(asked.table, first[column] == asked.table["_key"]).drop("_key")
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """Keys with more rows than fit one nested value: (key, ``rows``)."""

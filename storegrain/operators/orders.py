@@ -11,7 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storegrain.operators.keys import keep_matching, left_join_filled, one_per_key, top_n
+from storegrain.operators.keys import (
+    AskedKeys,
+    asked_keys,
+    keep_matching,
+    left_join_filled,
+    narrowed,
+    one_per_key,
+    top_n,
+    top_n_of,
+)
 from storegrain.operators.nesting import (
     LIST_ROWS,
     attach,
@@ -21,7 +30,7 @@ from storegrain.operators.nesting import (
     nest_and_attach,
     part_column,
 )
-from storegrain.workspace import stage
+from storegrain.workspace import stage, stage_counted
 
 # How many latest orders a lookup returns unless told otherwise.
 RECENT_ORDERS = 10
@@ -88,8 +97,8 @@ def order_fees(orders: DataFrame, fees: DataFrame) -> DataFrame:
 def orders_by_email(orders: DataFrame, emails: DataFrame, products: DataFrame | None = None,
                     n: int = ORDERS_PER_EMAIL, *, list_rows: int = LIST_ROWS) -> DataFrame:
     """The ``n`` latest orders placed under each email, with products if given."""
-    mine = keep_matching(orders, emails, "email")
-    latest = top_n(mine, "email", newest_first(), n, "recency")
+    asked = asked_keys(emails, "email")
+    latest = top_n_of(orders, asked, "email", newest_first(), n, "recency")
     if products is None:
         return latest
     latest = stage(latest, "latest-orders")
@@ -111,9 +120,11 @@ def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFr
     A customer without orders keeps an empty list.  If an order has very many
     products the customer has one row per part of that product list.
     """
-    asked = stage(customers.select("id").distinct(), "searched")
-    latest = recent_orders(keep_matching(orders, asked, "customer_id", "id"), n)
-    latest = stage(latest, "latest-orders")
+    asked = asked_keys(customers, "id")
+    latest = stage(
+        top_n_of(with_customer(orders), asked, "customer_id", newest_first(), n, "recency"),
+        "latest-orders",
+    )
     mine = products_of(latest, products)
     hot = find_hot(mine, "order_id", list_rows)
     listed = nest(mine, "order_id", _product_columns(products), "products", hot, list_rows)
@@ -139,24 +150,25 @@ def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFr
 
 def first_customers(customers: DataFrame, emails: DataFrame) -> DataFrame:
     """For each email the customer with the lowest id; unknown emails keep nulls."""
-    asked = stage(emails.select("email").distinct(), "emails")
-    mine = keep_matching(customers, asked, "email")
-    first = top_n(mine, "email", [F.asc("id")], 1, "_rank").drop("_rank")
-    return asked.join(first, "email", "left")
+    wanted = emails.select("email").distinct()
+    asked = asked_keys(wanted, "email")
+    first = top_n_of(customers, asked, "email", [F.asc("id")], 1, "_rank").drop("_rank")
+    return wanted.join(first, "email", "left")
 
 
 def carts_by_order(order_ids: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
     """The cart of each order id, with an ``outcome`` in place of an error."""
-    asked = stage(order_ids.select("order_id").distinct(), "order-ids")
-    return _look_up_carts(_order_keys(asked, orders), carts, "order_id")
+    asked, count = stage_counted(order_ids.select("order_id").distinct(), "order-ids")
+    return _look_up_carts(_order_keys(asked, count, orders), carts, "order_id")
 
 
 def carts_by_key(keys: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
     """Carts for a mix of keys: all digits is an order id, anything else a cart id."""
-    asked = stage(keys.select("key").distinct(), "cart-keys")
+    asked, count = stage_counted(keys.select("key").distinct(), "cart-keys")
     digits = F.col("key").rlike("^[0-9]+$")
     by_order = _order_keys(
-        asked.where(digits).withColumn("order_id", F.expr("try_cast(key as bigint)")), orders
+        asked.where(digits).withColumn("order_id", F.expr("try_cast(key as bigint)")),
+        count, orders,
     )
     direct = asked.where(~digits).select(
         "key",
@@ -168,20 +180,22 @@ def carts_by_key(keys: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFr
     return _look_up_carts(keyed, carts, "key")
 
 
-def _order_keys(asked: DataFrame, orders: DataFrame) -> DataFrame:
+def _order_keys(asked: DataFrame, count: int, orders: DataFrame) -> DataFrame:
     cart_of = orders.select(
         F.col("id").alias("_id"), F.nullif("cart_id", F.lit("")).alias("cart_id"),
         F.lit(True).alias("known"),
     )
-    cart_of = one_per_key(keep_matching(cart_of, asked, "_id", "order_id"), "_id")
+    ids = AskedKeys(asked.select(F.col("order_id").alias("_key")), count)
+    cart_of = one_per_key(narrowed(cart_of, ids, "_id"), "_id")
     return asked.join(cart_of, asked["order_id"] == cart_of["_id"], "left").drop("_id")
 
 
 def _look_up_carts(keyed: DataFrame, carts: DataFrame, spread: str) -> DataFrame:
-    keyed = stage(keyed, "cart-ids")
+    keyed, count = stage_counted(keyed, "cart-ids")
+    ids = AskedKeys(keyed.select(F.col("cart_id").alias("_key")), count)
     found = carts.withColumnsRenamed({c: f"cart_{c}" for c in carts.columns if c != "id"})
-    found = keep_matching(found.withColumnRenamed("id", "_cart"), keyed, "_cart", "cart_id")
-    found = one_per_key(found, "_cart")
+    found = found.withColumnRenamed("id", "_cart")
+    found = one_per_key(narrowed(found, ids, "_cart"), "_cart")
     joined = left_join_filled(keyed, found, "cart_id", "_cart", spread)
     outcome = (
         F.when(F.col("_cart").isNotNull(), FOUND)

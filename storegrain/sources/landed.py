@@ -178,9 +178,8 @@ def read_carts(spark: SparkSession, path: str, *, multiline: bool = True) -> Dat
     )
 
 
-def _filled_text(path: str) -> Column:
-    """Text at ``path``; null where the JSON value counts as false."""
-    value = F.try_variant_get("row", f"$.{path}", "variant")
+def _filled_text(value: Column) -> Column:
+    """Text of a JSON value; null where it counts as false."""
     return F.when(truthy_variant(value), F.try_variant_get(value, "$", "string"))
 
 
@@ -201,19 +200,22 @@ def type_catalog(pages: DataFrame) -> DataFrame:
         F.try_variant_get("page", "$", "array<variant>"),
         F.try_variant_get("page", "$.data", "array<variant>"),
     )
-    rows = pages.select(F.explode(listed).alias("row"))
-    nested = F.try_variant_get("row", "$.extra_info.options", "variant")
-    given = nested.isNotNull() & ~F.is_variant_null(nested)
     names = ("name", "label", "field_name", "title", "type", "form_field_type", "field_type")
+    keys = (*names, "private_id", "required", "extra_info", "options")
+    taken = f"struct<{', '.join(f'{k} variant' for k in keys)}>"
+    rows = pages.select(F.explode(listed).alias("row")).select(
+        F.try_variant_get("row", "$", taken).alias("field")
+    )
+    nested = F.try_variant_get("field.extra_info", "$.options", "variant")
+    given = nested.isNotNull() & ~F.is_variant_null(nested)
+    none = F.array().cast("array<string>")
     return rows.select(
-        *[_filled_text(c).alias(c) for c in names],
-        F.try_variant_get("row", "$.private_id", "variant").alias("private_id"),
-        F.try_variant_get("row", "$.required", "variant").alias("required"),
-        F.struct(
-            F.when(given, F.coalesce(_texts(nested), F.array().cast("array<string>")))
-            .alias("options")
-        ).alias("extra_info"),
-        _texts(F.try_variant_get("row", "$.options", "variant")).alias("options"),
+        *[_filled_text(F.col(f"field.{name}")).alias(name) for name in names],
+        "field.private_id",
+        "field.required",
+        F.struct(F.when(given, F.coalesce(_texts(nested), none)).alias("options"))
+        .alias("extra_info"),
+        _texts(F.col("field.options")).alias("options"),
     )
 
 

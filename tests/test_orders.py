@@ -48,6 +48,11 @@ def newest(rows, key, n):
             for k, g in groups.items()}
 
 
+@pytest.fixture(params=[500_000, 0], ids=["few keys", "many keys"])
+def key_limit(request, monkeypatch):
+    monkeypatch.setattr(keys, "BROADCAST_ROWS", request.param)
+
+
 def test_guests_and_known(all_orders, order_rows):
     guests = {r[0] for r in order_rows if not r[1]}
     assert {r.id for r in orders.guest_orders(all_orders).collect()} == guests
@@ -94,7 +99,7 @@ def test_orders_with_fees(spark, all_orders):
     assert orders.order_fees(all_orders, fees).count() == 1
 
 
-def test_orders_by_email(spark, all_orders, order_rows, all_products, product_rows):
+def test_orders_by_email(key_limit, spark, all_orders, order_rows, all_products, product_rows):
     emails = spark.createDataFrame([("m1@x.y",), ("m2@x.y",), ("none@x.y",), ("m1@x.y",), (None,)], "email STRING")
     wanted = newest([r for r in order_rows if r[2] in ("m1@x.y", "m2@x.y")], lambda r: r[2], 3)
     for products in (None, all_products):
@@ -108,7 +113,7 @@ def test_orders_by_email(spark, all_orders, order_rows, all_products, product_ro
 
 
 @pytest.mark.parametrize("list_rows", [10_000, 20])
-def test_with_recent_orders(spark, all_orders, order_rows, all_products, product_rows, list_rows):
+def test_with_recent_orders(key_limit, spark, all_orders, order_rows, all_products, product_rows, list_rows):
     owner = {r[0]: r[1] for r in order_rows}
     hot = owner[7] or 1
     people = spark.createDataFrame([(hot, "hot"), (2, "b"), (99, "none")], "id BIGINT, email STRING")
@@ -127,7 +132,7 @@ def test_with_recent_orders(spark, all_orders, order_rows, all_products, product
         assert (len(rows) > 3) == (list_rows == 20)
 
 
-def test_first_customers(spark):
+def test_first_customers(key_limit, spark):
     people = spark.createDataFrame([(5, "a@x"), (3, "a@x"), (4, "b@x"), (1, None)], "id BIGINT, email STRING")
     asked = spark.createDataFrame([("a@x",), ("z@x",), ("a@x",), (None,)], "email STRING")
     found = [(r.email, r.id) for r in orders.first_customers(people, asked).collect()]
@@ -142,7 +147,7 @@ def test_customers_by_order(spark, all_orders, order_rows):
     assert {r.order_id: r.id for r in found} == wanted and len(found) == len(wanted)
 
 
-def test_carts(spark, all_orders, order_rows):
+def test_carts(key_limit, spark, all_orders, order_rows):
     carts = spark.createDataFrame([("cart-shared", 5), ("cart-10", 6), ("cart-10", 6), ("abc-def-123", 7)], "id STRING, customer_id BIGINT")
     known = {r[0]: r[3] for r in order_rows}
     alive = {"cart-shared", "cart-10", "abc-def-123"}
