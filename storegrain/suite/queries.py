@@ -13,7 +13,7 @@ from storegrain.functions.text import slug, truthy
 from storegrain.operators import fields, orders, segments, values
 from storegrain.operators.masking import mask_columns
 from storegrain.operators.nesting import part_column
-from storegrain.operators.search import SearchFilters, search_customers, sort_customers
+from storegrain.operators.search import SearchFilters, search_customers
 from storegrain.plans.export import export_segment
 from storegrain.plans.registry import publish_registry
 from storegrain.plans.status import run_report
@@ -461,10 +461,10 @@ def landed_customers(spark, sf_dir):
 @query
 def landed_customers_rejects(spark, sf_dir):
     rows = tables.customers(spark, sf_dir)
+    nowhere = F.array(F.struct(F.lit(None).cast("string").alias("country")))
     broken = rows.withColumns({
         "email": F.when(F.col("id") % 50 > 0, F.col("email")),
-        "addresses": F.when(F.col("id") % 50 == 1, F.array(F.struct(F.lit(None).cast("string").alias("country"))))
-        .otherwise(F.col("addresses")),
+        "addresses": F.when(F.col("id") % 50 == 1, nowhere).otherwise(F.col("addresses")),
     })
     path = tables.land(tables.customer_pages(broken), "customers")
     sound, rejects = landed.read_customers(spark, path, multiline=False, mode="quarantine")

@@ -150,7 +150,8 @@ def registry(spark: SparkSession) -> DataFrame:
 
 def page_of(row: Column) -> Column:
     """Envelope text around one row object."""
-    return F.to_json(F.struct(F.array(row).alias("data"), F.create_map().cast("map<string,string>").alias("meta")))
+    no_meta = F.create_map().cast("map<string,string>")
+    return F.to_json(F.struct(F.array(row).alias("data"), no_meta.alias("meta")))
 
 
 def land(lines: DataFrame, label: str) -> str:

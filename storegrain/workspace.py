@@ -15,11 +15,13 @@ _fallback_roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (unit tests) a temporary folder is made.
+    Only a local session that names none (unit tests) gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_roots:
         _fallback_roots[app] = tempfile.mkdtemp(prefix="storegrain-")

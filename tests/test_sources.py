@@ -7,6 +7,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from storegrain import schemas, workspace
 from storegrain.sources import landed
 from storegrain.sources.csv_files import column_values, read_csv, write_csv
 from storegrain.sources.registry import (
@@ -43,7 +44,9 @@ def test_customers_from_several_pages(spark, tmp_path):
     put(pages, "1.json", page(ANN, {**ANN, "id": 1, "form_fields": [{"name": "m", "value": ["a", "b"]}]}))
     put(pages, "2.json", page({**ANN, "id": 2, "form_fields": [{"name": "s"}]}))
     path = put(pages, "3.json", {"data": [], "meta": {}})
-    rows = landed.read_customers(spark, path).orderBy("id").collect()
+    customers = landed.read_customers(spark, path)
+    assert customers.dtypes == workspace.empty_table(spark, schemas.CUSTOMERS).dtypes
+    rows = customers.orderBy("id").collect()
     assert [r.id for r in rows] == [1, 2, 99]
     assert rows[0].form_fields == [("m", ["a", "b"])]
     assert rows[1].form_fields == [("s", None)]
