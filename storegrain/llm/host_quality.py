@@ -109,11 +109,14 @@ def host_counts(features: DataFrame) -> DataFrame:
     )
 
 
-def fit_priors(hosts: DataFrame, max_strength: float = 1000.0) -> dict[str, tuple[float, float]]:
+def fit_priors(
+    hosts: DataFrame, min_strength: float = 10.0, max_strength: float = 1000.0
+) -> dict[str, tuple[float, float]]:
     """Mean and strength (alpha + beta) of each rule's beta prior, by moments over the hosts.
 
     The spread of the rates less what chance alone adds for hosts of these sizes
-    gives the strength. No spread beyond chance, or fewer than two hosts: ``max_strength``.
+    gives the strength, held between the two bounds: a prior counts as ten documents
+    at least. No spread beyond chance, or fewer than two hosts: ``max_strength``.
     """
     sums = hosts.agg(
         F.count(F.lit(1)).alias("hosts"),
@@ -128,15 +131,13 @@ def fit_priors(hosts: DataFrame, max_strength: float = 1000.0) -> dict[str, tupl
         noise = mean * (1 - mean)
         spread = (sums[f"var_{rule}"] or 0.0) - noise * (sums["chance"] or 0.0)
         strength = noise / spread - 1 if spread > 0 else max_strength
-        priors[rule] = (mean, min(max(strength, 1.0), max_strength))
+        priors[rule] = (mean, min(max(strength, min_strength), max_strength))
     return priors
 
 
-def host_verdicts(
-    hosts: DataFrame, limits: dict[str, float], max_strength: float = 1000.0
-) -> DataFrame:
+def host_verdicts(hosts: DataFrame, limits: dict[str, float]) -> DataFrame:
     """Shrunk failure rates of each host, and whether one is over its limit."""
-    priors = fit_priors(hosts, max_strength)
+    priors = fit_priors(hosts)
     rates = {
         rule: (F.col(f"n_{rule}") + mean * strength) / (F.col("n_docs") + strength)
         for rule, (mean, strength) in priors.items()
@@ -153,7 +154,6 @@ def host_verdicts(
 def judge_documents(
     docs: DataFrame,
     limits: dict[str, float] | None = None,
-    max_strength: float = 1000.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
@@ -167,7 +167,7 @@ def judge_documents(
     """
     limits = {rule: 0.5 for rule in RULES} if limits is None else limits
     features = stage(document_features(docs, id_col, text_col, host_col), "host-features")
-    verdicts = host_verdicts(stage(host_counts(features), "host-counts"), limits, max_strength)
+    verdicts = host_verdicts(stage(host_counts(features), "host-counts"), limits)
     rejected = verdicts.where("host_failed").select("host", "host_failed")
     base_failed = F.expr(" OR ".join(f"({RULES[rule]})" for rule in BASE_RULES))
     return (

@@ -8,15 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storegrain.llm import host_quality, token_counts, token_frames
+from storegrain.llm import (
+    decontaminate,
+    host_quality,
+    oracles,
+    shard_shuffle,
+    token_counts,
+    token_frames,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_host_quality": oracles.OP1,
+    "op10_decontamination": oracles.OP10,
+}
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 END_ID = 2
+SHARDS = 24
 
 
 def query(job: Query) -> Query:
@@ -36,6 +47,20 @@ def op1_host_quality(spark, sf_dir):
     )
 
 
+@query
+def op2_shard_shuffle(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return shard_shuffle.shuffle_into_shards(docs, SHARDS, seed=17).select(
+        "record.doc_id",
+        "size",
+        F.crc32(F.coalesce("record.text", F.lit(""))).alias("text_crc32"),
+        F.lit(shard_shuffle.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op3_token_counts(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
@@ -50,3 +75,19 @@ def op9_token_frames(spark, sf_dir):
     index = token_frames.write_token_files(documents(spark, sf_dir), path, END_ID)
     read = token_frames.read_token_files(token_frames.with_starts(index))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    """One row a document: rows equal in id and text have one verdict."""
+    docs = documents(spark, sf_dir)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_contamination(docs, benchmark)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )

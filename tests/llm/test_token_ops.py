@@ -35,8 +35,11 @@ def docs(spark):
     ).repartition(5)
 
 
+LIBRARY = token_counts.load_tokenizer(PATH)
+
+
 def library_ids(text: str | None) -> list[int]:
-    return token_counts.load_tokenizer(PATH).encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_counts_are_those_of_the_tokenizer(docs):
@@ -48,8 +51,7 @@ def test_counts_are_those_of_the_tokenizer(docs):
 def test_proven_strings_are_one_token():
     proven = token_counts.whole_tokens(PATH)
     assert "Ġthe" in proven and "Ġthe of" not in proven
-    model = token_counts.load_tokenizer(PATH).model
-    assert all(len(model.tokenize(word)) == 1 for word in random.Random(1).sample(sorted(proven), 500))
+    assert all(len(LIBRARY.model.tokenize(word)) == 1 for word in random.Random(1).sample(sorted(proven), 500))
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
