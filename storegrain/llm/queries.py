@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from storegrain.llm import (
     decontaminate,
     host_quality,
+    jaccard_join,
     oracles,
     shard_shuffle,
     token_counts,
@@ -69,6 +70,13 @@ def op3_token_counts(spark, sf_dir):
     )
 
 
+@query
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_documents(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 @query
 def op9_token_frames(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
