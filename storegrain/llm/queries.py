@@ -14,6 +14,7 @@ from storegrain.llm import (
     jaccard_join,
     oracles,
     shard_shuffle,
+    suffix_dedup,
     token_counts,
     token_frames,
 )
@@ -77,6 +78,17 @@ def op4_jaccard_join(spark, sf_dir):
     )
 
 
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.coalesce(F.size("lows"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_token_frames(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
