@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storegrain.llm.components import connected_components
@@ -143,21 +143,33 @@ def class_links(docs: DataFrame, n_shingles: int | None, shingle: int = 5, perce
     needed = F.ceil(F.col("size") * percent / 100).cast("int")
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - needed + 1)
     members = found.withColumn("group", F.xxhash64("size", prefix))
-    closeness = F.size("tokens") / F.col("size")
     posts = members.groupBy("group").agg(
-        F.first(prefix).alias("prefix"), F.max(closeness).alias("closeness"), F.count(F.lit(1)).alias("members")
+        F.first(prefix).alias("prefix"), F.max(closeness()).alias("closeness"), F.count(F.lit(1)).alias("members")
     ).select("group", "closeness", "members", F.explode("prefix").alias("token"))
-    posts = stage(posts, "prefix-posts")
+    return links_at_hubs(stage(posts, "prefix-posts"), members, percent)
+
+
+def closeness() -> Column:
+    """The part of a set that others share: near 1 for what a group of copies has in common."""
+    return F.size("tokens") / F.col("size")
+
+
+def links_at_hubs(posts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Edges ``u, v`` that connect all members which link and meet at a token.
+
+    ``posts`` (``token, group, closeness, members``) says which groups hold a
+    token, ``members`` (``group, owner, size, tokens``) who belongs to a group.
+    Groups of a token gather at its closest group, the hub.
+    """
     hubs = posts.groupBy("token").agg(
         F.max_by("group", F.struct("closeness", "group")).alias("hub"), F.sum("members").alias("met")
     ).where("met > 1")
     stars = stage(posts.join(hubs, "token").select("hub", "group", "members").distinct(), "hub-groups")
     tiles = stars.groupBy("hub").agg(F.ceil(F.sum("members") / TILE).alias("tiles"), F.sum("members").alias("met"))
-    side = F.pmod(F.xxhash64("owner"), F.col("tiles"))
     met = (
         stars.join(tiles.where("met > 1").select("hub", "tiles"), "hub")
         .join(members, "group")
-        .withColumn("side", side)
+        .withColumn("side", F.pmod(F.xxhash64("owner"), F.col("tiles")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
         .select("hub", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"),
                 "owner", "size", "tokens")

@@ -12,11 +12,14 @@ from storegrain.llm import (
     decontaminate,
     host_quality,
     jaccard_join,
+    length_buckets,
     oracles,
+    paragraph_dedup,
     shard_shuffle,
     suffix_dedup,
     token_counts,
     token_frames,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +33,7 @@ TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 END_ID = 2
 SHARDS = 24
+TOXIC_FROM = 0.5
 
 
 def query(job: Query) -> Query:
@@ -89,6 +93,37 @@ def op5_suffix_dedup(spark, sf_dir):
     )
 
 
+@query
+def op6_paragraph_dedup(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cut = paragraph_dedup.remove_repeated_paragraphs(docs)
+    return cut.select(
+        "doc_id",
+        F.col("__paragraphs").alias("n_paragraphs"),
+        F.col("__removed").alias("n_removed"),
+        F.col("__first_docs").alias("first_docs"),
+        "text",
+    )
+
+
+@query
+def op7_toxicity_chain(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    chain = toxicity.train_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, chain).select(
+        "doc_id",
+        F.col("__p_quality").alias("p_quality"),
+        F.col("__p_toxic").alias("p_toxic"),
+        (F.col("__p_toxic") >= TOXIC_FROM).alias("toxic"),
+    )
+
+
+@query
+def op8_length_buckets(spark, sf_dir):
+    lengths = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return length_buckets.pack(lengths)
+
+
 @query
 def op9_token_frames(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
