@@ -67,11 +67,13 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     return sized.select("*", offsets).withColumn("hash", shingle_hash(words, F.col("offset"), F.col("size")))
 
 
-def shingle_matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], few: bool) -> DataFrame:
-    """Where documents hold one of the shingles: row key, ``n_words, pos, hash``.
+def shingle_matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], window: int, few: bool) -> DataFrame:
+    """Where documents hold one of the shingles: row key, ``n_words, hash, pos``.
 
     ``docs`` has the row key and ``words``. Hashes of all sizes are exploded as
-    one array, in which those of each size follow one another.
+    one array, in which those of each size follow one another. Next to a broadcast
+    table the rows also get the words ``around`` the shingle, from word ``begin``
+    on: the exploded rows share their document's words and are not copied.
     """
     n_words = F.size("words")
 
@@ -82,7 +84,7 @@ def shingle_matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], few:
 
     arrays = [hashes(size) for size in sizes]
     exploded = docs.select(
-        "doc_id", "text_hash", n_words.alias("n_words"),
+        "doc_id", "text_hash", n_words.alias("n_words"), *(["words"] if few else []),
         F.posexplode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("at", "hash"),
     )
     known = shingles.select("hash", "size").distinct()
@@ -90,8 +92,14 @@ def shingle_matches(docs: DataFrame, shingles: DataFrame, sizes: list[int], few:
     for size in sizes:
         skipped.append(F.when(F.col("size") == size, before))
         before = before + F.greatest(F.col("n_words") - size + 1, F.lit(0))
-    return exploded.join(F.broadcast(known) if few else known, "hash").select(
-        "doc_id", "text_hash", "n_words", "hash", (F.col("at") - F.coalesce(*skipped)).alias("pos")
+    pos = F.col("at") - F.coalesce(*skipped)
+    matched = exploded.join(F.broadcast(known) if few else known, "hash")
+    if not few:
+        return matched.select("doc_id", "text_hash", "n_words", "hash", pos.alias("pos"))
+    begin = F.greatest(pos - window, F.lit(0))
+    return matched.select(
+        "doc_id", "text_hash", "n_words", "hash", pos.alias("pos"), begin.alias("begin"),
+        F.array_join(F.slice("words", begin + 1, F.lit(2 * window)), " ").alias("around"),
     )
 
 
@@ -146,48 +154,42 @@ def find_contamination(
     shingles, n_shingles = stage_counted(window_shingles(windows, shingle), "item-shingles")
     few = n_shingles <= BROADCAST_ROWS
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # 1 to `shingle`
-    matches = stage(shingle_matches(worded, shingles, sizes or [shingle], few), "shingle-matches")
+    matches = stage(shingle_matches(worded, shingles, sizes or [shingle], window, few), "shingle-matches")
 
     prefixes = rarest_shingles(shingles, matches)
-    start = F.col("pos") - F.col("offset")
     candidates = (
         matches.join(F.broadcast(prefixes) if few else prefixes, "hash")
-        .withColumn("start", start)
+        .withColumn("start", F.col("pos") - F.col("offset"))
         .where("start >= 0 AND start + length <= n_words")
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.struct("start", "length", "window_text")).alias("candidates"))
-    )
-    candidates = stage(candidates, "window-candidates")
-
-    key = _same_row("texts", "found")
-    lies = F.filter(
-        "candidates",
-        lambda c: F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["window_text"],
     )
-    judged = (
-        worded.alias("texts")
-        .join(candidates.alias("found"), key, "left")
-        .select("texts.doc_id", "texts.text_hash", F.size("words").cast("long").alias("n_words"), lies.alias("hits"))
+    if not few:
+        whole = worded.select("doc_id", "text_hash", F.lit(0).alias("begin"), F.array_join("words", " ").alias("around"))
+        candidates = candidates.alias("found").join(
+            whole.dropDuplicates(["doc_id", "text_hash"]).alias("texts"), _same_row("found", "texts")
+        ).select("found.*", "begin", "around")
+    words = F.slice(F.split("around", " "), F.col("start") - F.col("begin") + 1, F.col("length"))
+    hits = candidates.where(F.array_join(words, " ") == F.col("window_text"))
+    hits = stage(hits.select("doc_id", "text_hash", "start", "length", "window_text").distinct(), "window-hits")
+
+    spans = hits.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans")
     )
-    judged = stage(judged.dropDuplicates(["doc_id", "text_hash"]), "window-hits")
-
-    by_window = judged.select("doc_id", "text_hash", F.explode(F.array_distinct("hits.window_text")).alias("window_text"))
     members = windows.select("window_text", "item_id").distinct()
     items = (
-        by_window.join(F.broadcast(members) if few else members, "window_text")
+        hits.select("doc_id", "text_hash", "window_text").distinct()
+        .join(F.broadcast(members) if few else members, "window_text")
         .groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
-    spans = F.transform(F.coalesce("hits", F.array()), lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length")))
+    found = spans.alias("found").join(items.alias("texts"), _same_row("found", "texts")).select("found.*", "items")
+    rows = worded.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")).distinct()
+    no_spans = F.array().cast("array<struct<start:int,length:int>>")
     return (
-        judged.withColumn("spans", F.array_sort(F.array_distinct(spans)))
-        .alias("texts")
-        .join(items.alias("found"), key, "left")
-        .select(
-            "texts.doc_id", "texts.text_hash", "n_words", "spans",
-            covered_words(F.col("spans")).alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        )
+        rows.alias("texts")
+        .join(found.alias("found"), _same_row("texts", "found"), "left")
+        .select("texts.doc_id", "texts.text_hash", "n_words", F.coalesce("spans", no_spans).alias("spans"),
+                F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        .withColumn("n_hit", covered_words(F.col("spans")))
     )
 
 
