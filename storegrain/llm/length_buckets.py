@@ -94,7 +94,7 @@ def pack(lengths: DataFrame, n_buckets: int = 16, budget: int = 65_536, seed: in
     lengths, n_rows = stage_counted(lengths.select("doc_id", "n_tokens"), "lengths")
     cells = length_histogram(lengths).orderBy("bound").collect()  # bounded: see upper_bound
     bounds, _ = optimal_bounds(*(np.array([c[k] for c in cells], np.int64) for k in ("bound", "rows", "tokens")), n_buckets)
-    bucket, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 0)
+    bucket, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 1)
     for number, upper in reversed(list(enumerate(bounds[:-1]))):
         bucket = F.when(F.col("n_tokens") <= upper, number).otherwise(bucket)
         bound = F.when(F.col("n_tokens") <= upper, upper).otherwise(bound)

@@ -1,0 +1,96 @@
+"""Shards and batches: laws that must hold, and the least padding by trying all bounds."""
+
+from __future__ import annotations
+
+import itertools
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from corpora import SCHEMA, frame, rows
+
+from storegrain.llm import length_buckets as B
+from storegrain.llm import shard_shuffle as S
+
+
+@pytest.mark.parametrize("bucket_bytes", [1000, 1 << 20])
+def test_rows_law(spark, tmp_path, bucket_bytes):
+    docs = frame(spark)
+    out = S.shuffle_into_shards(docs, 7, seed=3, bucket_bytes=bucket_bytes, folder=str(tmp_path / "shards"))
+    got = out.collect()
+    assert Counter(tuple(r.record) for r in got) == Counter(rows())
+    counts = Counter(r.shard for r in got)
+    assert set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r["size"] == len((r.record.text or "").encode()) + 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    order = [r.record.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.record.doc_id is not None]
+    assert order != sorted(order)
+    # Each file is in the order of its slots.
+    for path in (tmp_path / "shards").rglob("*.parquet"):
+        stored = [r.slot for r in spark.read.parquet(str(path)).collect()]
+        assert stored == sorted(stored)
+
+
+def test_seeds_and_small_tables(spark):
+    docs = frame(spark).select("doc_id", "text")
+    one, again, other = (
+        [tuple(r) for r in S.shuffle_into_shards(docs, 3, seed=s).orderBy("shard", "slot").collect()] for s in (1, 1, 2)
+    )
+    assert one == again != other
+    assert S.shuffle_into_shards(docs.limit(0), 3).collect() == []
+    assert sorted(r.shard for r in S.shuffle_into_shards(docs.limit(2), 24).collect()) == [0, 12]
+
+
+def test_no_python_in_the_shuffle(spark):
+    placed = S.scattered(frame(spark), 1, "doc_id", "text")
+    assert "Python" not in placed._jdf.queryExecution().toString()
+
+
+def padding(lengths: list[int], bounds: tuple[int, ...]) -> int:
+    return sum(min(b for b in bounds if b >= n) - n for n in lengths)
+
+
+def test_bounds_need_the_least_padding():
+    chosen = random.Random(5)
+    for _ in range(60):
+        lengths = [chosen.randint(1, 30) for _ in range(chosen.randint(1, 40))]
+        cells = sorted(set(lengths))
+        k = chosen.randint(1, 5)
+        found, cost = B.optimal_bounds(
+            np.array(cells), np.array([lengths.count(c) for c in cells]), np.array([c * lengths.count(c) for c in cells]), k
+        )
+        best = min(padding(lengths, (*c, cells[-1])) for c in itertools.combinations(cells[:-1], min(k, len(cells)) - 1))
+        assert cost == best == padding(lengths, tuple(found)) and len(found) <= k
+    assert B.optimal_bounds(np.array([], int), np.array([], int), np.array([], int), 4) == ([], 0)
+
+
+def test_batches_hold_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(B, "CELL_ROWS", 50)
+    chosen = random.Random(2)
+    table = [(k if k % 9 else None, chosen.choice([0, 5, 17, 300, 2048, 2049, 5000, 70_000])) for k in range(700)] + [(3, 5), (3, 5)]
+    got = B.pack(spark.createDataFrame(table, "doc_id long, n_tokens long"), n_buckets=4, budget=4096).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter(table)
+    batches = defaultdict(list)
+    for r in got:
+        assert r.padding == r.bound - r.n_tokens >= 0
+        batches[r.bucket, r.batch].append(r)
+    for members in batches.values():
+        assert len(members) * members[0].bound <= 4096 or len(members) == 1
+        assert sorted(m.slot for m in members) == list(range(len(members)))
+    for bucket in {r.bucket for r in got}:
+        full = max(1, 4096 // next(r.bound for r in got if r.bucket == bucket))
+        sizes = [len(m) for (b, _), m in sorted(batches.items()) if b == bucket]
+        assert all(s == full for s in sizes[:-1])
+    assert B.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).collect() == []
+
+
+def test_cells_bound_their_lengths(spark):
+    table = spark.range(0, 200_000, 37).withColumnRenamed("id", "n_tokens")
+    bounds = table.select("n_tokens", B.upper_bound(table.n_tokens).alias("b")).collect()
+    assert all(r.n_tokens <= r.b <= max(1, r.n_tokens) * 1.01 for r in bounds)
+    assert len({r.b for r in bounds if r.n_tokens > B.FINE}) < 1000
+    assert SCHEMA
