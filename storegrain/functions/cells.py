@@ -64,8 +64,11 @@ def parse_columns(spec: str | Iterable[tuple[str, str]]) -> ColumnList:
 
 
 def with_id(columns: ColumnList) -> ColumnList:
-    """The full column list: the customer id first, then the clean columns."""
-    return [ID_COLUMN, *columns]
+    """The full column list: the customer id first, then the clean columns.
+
+    The name of the id column is reserved: another source under it is left out.
+    """
+    return [ID_COLUMN, *[(name, source) for name, source in columns if name != ID_COLUMN[0]]]
 
 
 def _as_text(value: Column, kind: T.DataType) -> Column:

@@ -43,8 +43,9 @@ def check_request(registry: DataFrame, field: str, value: str) -> None:
     """Refuse a field the registry lacks or a value it does not list.
 
     An empty registry accepts everything; an empty option list accepts nothing.
+    Of entries with one name the first counts, see :func:`first_entries`.
     """
-    entry = registry.where(F.col("name") == field).select("options").head()
+    entry = first_entries(registry.where(F.col("name") == field)).select("options").head()
     if entry is None:
         if registry.isEmpty():
             return
@@ -55,6 +56,18 @@ def check_request(registry: DataFrame, field: str, value: str) -> None:
         )
 
 
+def first_entries(registry: DataFrame) -> DataFrame:
+    """One entry for each name: the first by ``position`` if there is one.
+
+    Tables have no order of their own; without a ``position`` the least entry counts.
+    """
+    rest = [c for c in registry.columns if c not in ("name", "position")]
+    order = (["position"] if "position" in registry.columns else []) + rest
+    return registry.groupBy("name").agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_entry")
+    ).select("name", "_entry.*")
+
+
 def field_violations(values: DataFrame, registry: DataFrame) -> DataFrame:
     """Value rows with an unknown field or a value outside its options.
 
@@ -63,8 +76,7 @@ def field_violations(values: DataFrame, registry: DataFrame) -> DataFrame:
     size and broadcasts it, or splits the skewed fields if it is too large.
     """
     known, entries = stage_counted(
-        registry.groupBy(F.col("name").alias("_name"))
-        .agg(F.min(F.struct("type", "options")).alias("_entry")),
+        first_entries(registry).select(F.col("name").alias("_name"), F.struct("options").alias("_entry")),
         "registry",
     )
     if entries == 0:

@@ -1,48 +1,39 @@
-"""Joins and top-N on keys that may be unevenly spread."""
+"""Joins and top-N on keys that may be unevenly spread.
 
-from __future__ import annotations
+Joins are plain equalities. The planner broadcasts a side whose size in bytes it
+knows to be small (tables of keys are written first, so it knows) and shuffles
+otherwise; an aggregate or window on the same key then needs no further exchange.
+A hot key in such a join below a window is split where the session sets
+``spark.sql.adaptive.forceOptimizeSkewedJoin``, at the price of one more exchange.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storegrain.workspace import stage_counted
-
-# A key set is broadcast only up to this many rows, counted beforehand.
-BROADCAST_ROWS = 500_000
-EARLY_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
-def same_key(left: Column, right: Column) -> Column:
-    """Equality of two keys that leaves room for skew handling.
-
-    The hash is a second, redundant join key.  A side that is already
-    partitioned by the key alone is exchanged once more for the join, and so is
-    the result if it is grouped by the key.  That is what lets the adaptive
-    planner split a skewed partition: it does so only where both sides come
-    straight from an exchange and nothing above relies on the partitioning.
-    """
-    return (left == right) & (F.xxhash64(left) == F.xxhash64(right))
+from storegrain.workspace import stage
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, column: str, key: str | None = None) -> DataFrame:
-    """Rows whose ``column`` is among the keys (left semi join).
-
-    Repeated keys are merged inside each task before they are exchanged.
-    """
-    wanted = keys.select(F.col(key or column).alias("_key")).distinct()
-    return df.join(wanted, same_key(df[column], wanted["_key"]), "left_semi")
+    """Rows whose ``column`` is among the keys (left semi join); repeated keys do no harm."""
+    wanted = keys.select(F.col(key or column).alias("_key"))
+    return df.join(wanted, df[column] == wanted["_key"], "left_semi")
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key, the greatest, where copies of a row may have landed.
 
-    The copies are merged inside each task before the exchange.
+    Null keys are left out: they name nothing. Columns without an order
+    (variants) are compared by their text.
     """
     rest = [c for c in df.columns if c != key]
-    merged = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_row"))
-    return merged.select(key, "_row.*")
+    order = F.struct(*[
+        (F.to_json(F.col(c)) if "variant" in df.schema[c].dataType.simpleString() else F.col(c)).alias(f"k{n}")
+        for n, c in enumerate(rest)
+    ])
+    greatest = F.max_by(F.struct(*rest), order).alias("_row")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(greatest).select(key, "_row.*")
 
 
 def left_join_filled(left: DataFrame, right: DataFrame, column: str, key: str,
@@ -54,92 +45,27 @@ def left_join_filled(left: DataFrame, right: DataFrame, column: str, key: str,
     """
     value = F.nullif(left[column], F.lit(""))
     spread_value = F.coalesce(value, left[spread].cast("string"))
-    return left.join(right, same_key(spread_value, right[key]) & value.isNotNull(), "left")
+    return left.join(right, (spread_value == right[key]) & value.isNotNull(), "left")
 
 
 def top_n(df: DataFrame, key: str, order: list[Column], n: int, rank: str) -> DataFrame:
     """First ``n`` rows per key in ``order``, numbered from 1 in ``rank``.
 
     Spark limits each key inside every task before the exchange, so a hot key
-    sends at most ``n`` rows per task.  It does so only up to a threshold, which
-    is raised for the session when a longer list is asked for.
+    sends at most ``n`` rows per task, for ``n`` up to the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold``.
     """
-    conf = df.sparkSession.conf
-    if n > int(conf.get(EARLY_LIMIT)):
-        conf.set(EARLY_LIMIT, str(n))
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where(F.col(rank) <= n)
 
 
-@dataclass(frozen=True)
-class AskedKeys:
-    """Keys of a lookup in a written table (column ``_key``), counted."""
-
-    table: DataFrame
-    count: int
-
-    @property
-    def few(self) -> bool:
-        return self.count <= BROADCAST_ROWS
-
-
-def asked_keys(keys: DataFrame, key: str) -> AskedKeys:
-    """The distinct keys of a table, written and counted here."""
+def asked_keys(keys: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of a lookup in a written table (column ``_key``)."""
     wanted = keys.select(F.col(key).alias("_key")).where(F.col(key).isNotNull())
-    return AskedKeys(*stage_counted(wanted.distinct(), "asked"))
-
+    return stage(wanted.distinct(), "asked")
 
-def narrowed(df: DataFrame, asked: AskedKeys, column: str) -> DataFrame:
-    """``df`` cut to a few keys by a broadcast; all of it if the keys are many.
 
-    For rows that are going to be joined to the keys anyhow.
-    """
-    if not asked.few:
-        return df
-    wanted = F.broadcast(asked.table)
-    return df.join(wanted, df[column] == wanted["_key"], "left_semi")
-
-
-def top_n_of(df: DataFrame, asked: AskedKeys, column: str, order: list[Column], n: int,
+def top_n_of(df: DataFrame, asked: DataFrame, column: str, order: list[Column], n: int,
              rank: str) -> DataFrame:
-    """:func:`top_n` of the keys asked for.
-
-    If the keys are many, the top-N of all keys comes first: it leaves at most
-    ``n`` rows per key, already partitioned for the join with the keys.
-    """
-    first = top_n(narrowed(df, asked, column), column, order, n, rank)
-    if asked.few:
-        return first
-    return first.join(asked.table, first[column] == asked.table["_key"]).drop("_key")
-
-
-@dataclass(frozen=True)
-class HotKeys:
-    """Keys with more rows than fit one nested value: (key, ``rows``)."""
-
-    table: DataFrame
-    count: int
-
-    @property
-    def small(self) -> bool:
-        return self.count <= BROADCAST_ROWS
-
-    def hinted(self) -> DataFrame:
-        return F.broadcast(self.table) if self.small else self.table
-
-
-def hot_keys(df: DataFrame, key: str, limit: int) -> HotKeys | None:
-    """Find the keys with more than ``limit`` rows; None if there are none.
-
-    Runs a job that reads only the key column and counts it with map-side
-    partial sums.
-    """
-    counts = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > limit)
-    )
-    if counts.count() == 0:  # the usual case, without a table to write
-        return None
-    return HotKeys(*stage_counted(counts, "hot-keys"))
+    """:func:`top_n` of the keys asked for: first only their rows, then the ranks."""
+    return top_n(keep_matching(df, asked, column, "_key"), column, order, n, rank)

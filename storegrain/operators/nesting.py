@@ -1,9 +1,11 @@
-"""Child rows nested into lists on their parents, whatever the size of a group.
-
-A nested list holds about ``LIST_ROWS`` rows at most.  A parent with more
-children comes out as several rows, numbered in a ``<list>_part`` column, each
-with its own slice of the list; every child is in exactly one of them.  All
-other parents have the single part 0.
+"""Child rows nested into lists on their parents.
+
+The main form of a parent with children is flat: one row a child (see
+``orders.order_product_rows``). Where a list is wanted, the caller says into how
+many ``parts`` it is cut, one if nothing is said; every parent then has exactly
+that many rows, numbered in a ``<list>_part`` column, whatever the number of its
+children. A list must fit into a task's memory, so parents with very many
+children are read flat or with more parts.
 """
 
 from __future__ import annotations
@@ -11,126 +13,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storegrain.operators.keys import HotKeys, hot_keys, same_key
-
-LIST_ROWS = 10_000
-# Into how many pieces a list's worth of equal rows is cut before it is spread.
-PIECES = 16
-
 
 def part_column(into: str) -> str:
     return f"{into}_part"
 
 
-def find_hot(children: DataFrame, key: str, list_rows: int = LIST_ROWS) -> HotKeys | None:
-    return hot_keys(children, key, list_rows)
-
-
-def _parts(rows: Column, list_rows: int) -> Column:
-    return F.ceil(rows / list_rows).cast("int")
+def _orderable(children: DataFrame, name: str) -> Column:
+    """A column in a form that has an order: variants by their text."""
+    if "variant" in children.schema[name].dataType.simpleString():
+        return F.to_json(F.col(name))
+    return F.col(name)
 
 
-def _nest_whole(children: DataFrame, key: str, elements: list[str], into: str) -> DataFrame:
-    # Collecting makes nothing smaller, so plain rows are shuffled, not partial lists.
-    grouped = children.where(F.col(key).isNotNull()).repartition(key).groupBy(key)
-    nested = grouped.agg(F.sort_array(F.collect_list(F.struct(*elements))).alias(into))
-    return nested.select(key, F.lit(0).alias(part_column(into)), into)
-
-
-def _nest_split(children: DataFrame, key: str, elements: list[str], into: str,
-                hot: DataFrame | None, rows: DataFrame, list_rows: int) -> DataFrame:
-    """Nest by (key, part), the part taken from the row content.
+def nest(children: DataFrame, key: str, elements: list[str], into: str, parts: int = 1) -> DataFrame:
+    """Lists of child structs by key and part, sorted by the fields in order.
 
-    Equal rows would all fall into one part, so they are counted first and a
-    large count is cut into pieces, small enough that parts come out even.
+    Rows with a null key are left out, as they belong to no parent. The part is
+    taken from the content of a row, so equal rows lie in one part.
     """
-    size = max(1, list_rows // PIECES)
-    if hot is not None:
-        children = children.join(hot, key, "left_semi")
-    copies = children.where(F.col(key).isNotNull()).groupBy(key, *elements).agg(
-        F.count(F.lit(1)).alias("_copies")
+    order = F.struct(*[_orderable(children, name).alias(f"k{n}") for n, name in enumerate(elements)])
+    part = F.lit(0)
+    if parts > 1:
+        part = F.pmod(F.xxhash64(order), F.lit(parts)).cast("int")
+    rows = children.where(F.col(key).isNotNull()).select(
+        F.col(key), part.alias(part_column(into)), F.struct(order.alias("order"), F.struct(*elements).alias("row")).alias("_row")
     )
-    piece_count = F.ceil(F.col("_copies") / size)
-    counts = rows.select(F.col(key).alias("_key"), "rows")
-    pieces = (
-        copies.join(counts, same_key(copies[key], counts["_key"]))
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), piece_count - 1)))
-        .withColumn(
-            "_copies",
-            F.least(F.lit(size), F.col("_copies") - F.col("_piece") * size).cast("int"),
-        )
-        .withColumn(
-            part_column(into),
-            F.pmod(
-                F.xxhash64("_piece", *elements), _parts(F.col("rows"), list_rows)
-            ).cast("int"),
-        )
-    )
-    repeated = F.array_repeat(F.struct(*elements), F.col("_copies"))
-    return (
-        pieces.repartition(key, part_column(into))
-        .groupBy(key, part_column(into))
-        .agg(F.sort_array(F.flatten(F.collect_list(repeated))).alias(into))
+    # Collecting makes nothing smaller, so plain rows are shuffled, not partial lists.
+    keys = [key, part_column(into)] if parts > 1 else [key]
+    gathered = F.collect_list("_row")
+    if any("variant" in children.schema[name].dataType.simpleString() for name in elements):
+        listed = F.array_sort(gathered, _by_order)
+    else:
+        listed = F.sort_array(gathered)
+    return rows.repartition(*keys).groupBy(key, part_column(into)).agg(
+        F.transform(listed, lambda r: r["row"]).alias(into)
     )
 
 
-def nest(children: DataFrame, key: str, elements: list[str], into: str,
-         hot: HotKeys | None, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Lists of child structs per (key, part), each sorted by its fields in order.
-
-    Ordinary keys take one shuffle.  Hot keys are split by content; if they are
-    few they alone take that path, otherwise all keys do.
-    """
-    elements = list(elements)
-    if hot is None:
-        return _nest_whole(children, key, elements, into)
-    if not hot.small:
-        rows = children.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-        return _nest_split(children, key, elements, into, None, rows, list_rows)
-    ordinary = children.join(hot.hinted(), key, "left_anti")
-    return _nest_whole(ordinary, key, elements, into).unionByName(
-        _nest_split(children, key, elements, into, hot.hinted().select(key),
-                    hot.hinted(), list_rows)
-    )
-
+def _by_order(left: Column, right: Column) -> Column:
+    a, b = left["order"], right["order"]
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
-def attach(parents: DataFrame, parent_key: str, nested: DataFrame, key: str, into: str,
-           parts: DataFrame | None = None) -> DataFrame:
-    """Left join nested lists to parents; no children gives an empty list.
 
-    ``parts`` (``key``, ``parts``) names the parents with several parts.  They
-    are repeated once per part before the join, so that it spreads over parts.
-    """
+def attach(parents: DataFrame, parent_key: str, nested: DataFrame, key: str, into: str, parts: int = 1) -> DataFrame:
+    """Left join nested lists to parents, ``parts`` rows each; no children give an empty list."""
     part = part_column(into)
-    lists = nested.select(
-        F.col(key).alias("_key"), F.col(part).alias("_part"), F.col(into)
-    )
-    if parts is None:
-        spread = parents.withColumn(part, F.lit(0))
-        on = spread[parent_key] == lists["_key"]
-    else:
-        counts = parts.select(F.col(key).alias("_many"), "parts")
-        spread = parents.join(counts, parents[parent_key] == counts["_many"], "left")
-        last = F.coalesce(F.col("parts"), F.lit(1)) - 1
-        spread = spread.withColumn(part, F.explode(F.sequence(F.lit(0), last)))
-        spread = spread.drop("_many", "parts")
-        on = (spread[parent_key] == lists["_key"]) & (spread[part] == lists["_part"])
+    lists = nested.select(F.col(key).alias("_key"), F.col(part).alias("_part"), F.col(into))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+    spread = parents.withColumn(part, numbers)
+    on = spread[parent_key] == lists["_key"]
+    if parts > 1:
+        on = on & (spread[part] == lists["_part"])
     joined = spread.join(lists, on, "left").drop("_key", "_part")
-    if parts is not None:  # content may have left a later part without rows
-        joined = joined.where((F.col(part) == 0) | F.col(into).isNotNull())
     empty = F.array().cast(nested.schema[into].dataType)
     return joined.withColumn(into, F.coalesce(into, empty))
 
 
 def nest_and_attach(parents: DataFrame, parent_key: str, children: DataFrame, key: str,
-                    elements: list[str], into: str, *, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Parents with their children nested, hot keys looked up first."""
-    hot = find_hot(children, key, list_rows)
-    nested = nest(children, key, elements, into, hot, list_rows)
-    return attach(parents, parent_key, nested, key, into, hot_parts(hot, key, list_rows))
-
-
-def hot_parts(hot: HotKeys | None, key: str, list_rows: int = LIST_ROWS) -> DataFrame | None:
-    if hot is None:
-        return None
-    return hot.hinted().select(key, _parts(F.col("rows"), list_rows).alias("parts"))
+                    elements: list[str], into: str, parts: int = 1) -> DataFrame:
+    nested = nest(children, key, list(elements), into, parts)
+    return attach(parents, parent_key, nested, key, into, parts)

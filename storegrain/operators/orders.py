@@ -12,25 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storegrain.operators.keys import (
-    AskedKeys,
     asked_keys,
     keep_matching,
     left_join_filled,
-    narrowed,
     one_per_key,
     top_n,
     top_n_of,
 )
-from storegrain.operators.nesting import (
-    LIST_ROWS,
-    attach,
-    find_hot,
-    hot_parts,
-    nest,
-    nest_and_attach,
-    part_column,
-)
-from storegrain.workspace import stage, stage_counted
+from storegrain.operators.nesting import attach, nest, nest_and_attach, part_column
+from storegrain.workspace import stage
 
 # How many latest orders a lookup returns unless told otherwise.
 RECENT_ORDERS = 10
@@ -68,25 +58,31 @@ def _product_columns(products: DataFrame) -> list[str]:
     return [c for c in products.columns if c != "order_id"]
 
 
-def with_products(orders: DataFrame, products: DataFrame, *,
-                  list_rows: int = LIST_ROWS) -> DataFrame:
+def order_product_rows(orders: DataFrame, products: DataFrame) -> DataFrame:
+    """One row per product of the given orders: the order's columns and ``product``."""
+    rows = products.select(
+        F.col("order_id").alias("_order"), F.struct(*_product_columns(products)).alias("product")
+    )
+    return orders.join(rows, orders["id"] == rows["_order"]).drop("_order")
+
+
+def with_products(orders: DataFrame, products: DataFrame, *, parts: int = 1) -> DataFrame:
     """Orders with their products nested in ``products``; none is an empty list.
 
-    An order with very many products has several rows, see ``nesting``.
+    Each order has ``parts`` rows, see ``nesting``.
     """
     return nest_and_attach(orders, "id", products, "order_id",
-                           _product_columns(products), "products", list_rows=list_rows)
+                           _product_columns(products), "products", parts)
 
 
 def products_of(orders: DataFrame, products: DataFrame) -> DataFrame:
-    """The products of some orders, cut out of the product table in one scan."""
-    return stage(keep_matching(products, orders, "order_id", "id"), "their-products")
+    """The products of some orders, cut out of the product table."""
+    return keep_matching(products, orders, "order_id", "id")
 
 
-def with_fees(orders: DataFrame, fees: DataFrame, *, list_rows: int = LIST_ROWS) -> DataFrame:
+def with_fees(orders: DataFrame, fees: DataFrame, *, parts: int = 1) -> DataFrame:
     elements = [c for c in fees.columns if c != "order_id"]
-    return nest_and_attach(orders, "id", fees, "order_id", elements, "fees",
-                           list_rows=list_rows)
+    return nest_and_attach(orders, "id", fees, "order_id", elements, "fees", parts)
 
 
 def order_fees(orders: DataFrame, fees: DataFrame) -> DataFrame:
@@ -95,14 +91,14 @@ def order_fees(orders: DataFrame, fees: DataFrame) -> DataFrame:
 
 
 def orders_by_email(orders: DataFrame, emails: DataFrame, products: DataFrame | None = None,
-                    n: int = ORDERS_PER_EMAIL, *, list_rows: int = LIST_ROWS) -> DataFrame:
+                    n: int = ORDERS_PER_EMAIL, *, parts: int = 1) -> DataFrame:
     """The ``n`` latest orders placed under each email, with products if given."""
     asked = asked_keys(emails, "email")
     latest = top_n_of(orders, asked, "email", newest_first(), n, "recency")
     if products is None:
         return latest
     latest = stage(latest, "latest-orders")
-    return with_products(latest, products_of(latest, products), list_rows=list_rows)
+    return with_products(latest, products_of(latest, products), parts=parts)
 
 
 def customers_by_order(order_ids: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -113,62 +109,63 @@ def customers_by_order(order_ids: DataFrame, orders: DataFrame, customers: DataF
     return owners.join(customers, owners["_owner"] == customers["id"]).drop("_owner")
 
 
+def recent_order_rows(customers: DataFrame, orders: DataFrame, n: int = RECENT_ORDERS) -> DataFrame:
+    """The ``n`` latest orders of each of the customers, one row each."""
+    asked = asked_keys(customers, "id")
+    return top_n_of(with_customer(orders), asked, "customer_id", newest_first(), n, "recency")
+
+
 def with_recent_orders(customers: DataFrame, orders: DataFrame, products: DataFrame,
-                       n: int = RECENT_ORDERS, *, list_rows: int = LIST_ROWS) -> DataFrame:
+                       n: int = RECENT_ORDERS, *, parts: int = 1) -> DataFrame:
     """Customers with ``recent_orders``, newest first, each holding its products.
 
-    A customer without orders keeps an empty list.  If an order has very many
-    products the customer has one row per part of that product list.
+    A customer without orders keeps an empty list. Each customer has ``parts``
+    rows; all of them list the same orders, each with a part of its products.
     """
-    asked = asked_keys(customers, "id")
-    latest = stage(
-        top_n_of(with_customer(orders), asked, "customer_id", newest_first(), n, "recency"),
-        "latest-orders",
-    )
-    mine = products_of(latest, products)
-    hot = find_hot(mine, "order_id", list_rows)
-    listed = nest(mine, "order_id", _product_columns(products), "products", hot, list_rows)
-    full = attach(latest, "id", listed, "order_id", "products",
-                  hot_parts(hot, "order_id", list_rows))
-    part = part_column("products")
+    latest = stage(recent_order_rows(customers, orders, n), "latest-orders")
+    full = with_products(latest, products_of(latest, products), parts=parts)
     fields = ["recency", *[c for c in orders.columns if c != "customer_id"], "products"]
-    # At most n orders per customer and part, so the list is bounded.
-    keys = ["customer_id"] if hot is None else ["customer_id", part]
-    nested = full.repartition(*keys).groupBy("customer_id", part).agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("recent_orders")
+    part = part_column("products")
+    nested = full.groupBy("customer_id", part).agg(
+        F.array_sort(
+            F.collect_list(F.struct(*fields)),
+            lambda a, b: (a["recency"] - b["recency"]).cast("int"),
+        ).alias("recent_orders")
     )
     nested = nested.withColumnRenamed(part, part_column("recent_orders"))
-    parts = None
-    if hot is not None:
-        parts = (
-            full.where(F.col(part) > 0)
-            .groupBy("customer_id")
-            .agg((F.max(part) + 1).alias("parts"))
-        )
     return attach(customers, "id", nested, "customer_id", "recent_orders", parts)
 
 
+def customers_of_orders(order_ids: DataFrame, orders: DataFrame, customers: DataFrame,
+                        products: DataFrame, n: int = RECENT_ORDERS) -> DataFrame:
+    """The customers of the orders asked for, each once, with their recent orders nested."""
+    found = stage(one_per_key(customers_by_order(order_ids, orders, customers).drop("order_id"), "id"), "owners-found")
+    return with_recent_orders(found, orders, products, n)
+
+
 def first_customers(customers: DataFrame, emails: DataFrame) -> DataFrame:
     """For each email the customer with the lowest id; unknown emails keep nulls."""
-    wanted = emails.select("email").distinct()
-    asked = asked_keys(wanted, "email")
+    wanted = stage(emails.select("email").distinct(), "emails")
+    asked = wanted.where("email IS NOT NULL").withColumnRenamed("email", "_key")
     first = top_n_of(customers, asked, "email", [F.asc("id")], 1, "_rank").drop("_rank")
     return wanted.join(first, "email", "left")
 
 
 def carts_by_order(order_ids: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
-    """The cart of each order id, with an ``outcome`` in place of an error."""
-    asked, count = stage_counted(order_ids.select("order_id").distinct(), "order-ids")
-    return _look_up_carts(_order_keys(asked, count, orders), carts, "order_id")
+    """The cart of each order id, with an ``outcome`` in place of an error; a null id is no order."""
+    asked = stage(order_ids.select("order_id").distinct(), "order-ids")
+    return _look_up_carts(_order_keys(asked, orders), carts, "order_id")
 
 
 def carts_by_key(keys: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFrame:
-    """Carts for a mix of keys: all digits is an order id, anything else a cart id."""
-    asked, count = stage_counted(keys.select("key").distinct(), "cart-keys")
-    digits = F.col("key").rlike("^[0-9]+$")
+    """Carts for a mix of keys: all digits is an order id, anything else a cart id.
+
+    A null or empty key is an order that is not found.
+    """
+    asked = stage(keys.select("key").distinct(), "cart-keys")
+    digits = F.coalesce(F.col("key").rlike("^[0-9]*$"), F.lit(True))
     by_order = _order_keys(
-        asked.where(digits).withColumn("order_id", F.expr("try_cast(key as bigint)")),
-        count, orders,
+        asked.where(digits).withColumn("order_id", F.expr("try_cast(key as bigint)")), orders
     )
     direct = asked.where(~digits).select(
         "key",
@@ -180,22 +177,22 @@ def carts_by_key(keys: DataFrame, orders: DataFrame, carts: DataFrame) -> DataFr
     return _look_up_carts(keyed, carts, "key")
 
 
-def _order_keys(asked: DataFrame, count: int, orders: DataFrame) -> DataFrame:
+def _order_keys(asked: DataFrame, orders: DataFrame) -> DataFrame:
+    """The cart id of each order asked for; only what matched is freed of copies."""
     cart_of = orders.select(
         F.col("id").alias("_id"), F.nullif("cart_id", F.lit("")).alias("cart_id"),
         F.lit(True).alias("known"),
     )
-    ids = AskedKeys(asked.select(F.col("order_id").alias("_key")), count)
-    cart_of = one_per_key(narrowed(cart_of, ids, "_id"), "_id")
+    cart_of = one_per_key(keep_matching(cart_of, asked, "_id", "order_id"), "_id")
     return asked.join(cart_of, asked["order_id"] == cart_of["_id"], "left").drop("_id")
 
 
 def _look_up_carts(keyed: DataFrame, carts: DataFrame, spread: str) -> DataFrame:
-    keyed, count = stage_counted(keyed, "cart-ids")
-    ids = AskedKeys(keyed.select(F.col("cart_id").alias("_key")), count)
+    keyed = stage(keyed, "cart-ids")
     found = carts.withColumnsRenamed({c: f"cart_{c}" for c in carts.columns if c != "id"})
     found = found.withColumnRenamed("id", "_cart")
-    found = one_per_key(narrowed(found, ids, "_cart"), "_cart")
+    # Written, so that a cart of very many orders can be split in the join below.
+    found = stage(one_per_key(keep_matching(found, keyed, "_cart", "cart_id"), "_cart"), "carts-found")
     joined = left_join_filled(keyed, found, "cart_id", "_cart", spread)
     outcome = (
         F.when(F.col("_cart").isNotNull(), FOUND)

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from storegrain.workspace import stage
 
 KEY = ("customer_id", "name")
+WRITTEN_NUMBER = r"^\s*[+-]?[0-9]+([.][0-9]*)?([eE][+-]?[0-9]+)?\s*$"
 
 
 def split_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changes with a usable id, rejects).
 
-    A usable id is a whole finite number above 0, as a number or as text.
+    A usable id is a whole finite number above 0, as a number or as text that
+    writes one (no type suffix as in ``12d``).
     """
-    number = F.expr("try_cast(customer_id as double)")
+    written = F.col("customer_id").cast("string").rlike(WRITTEN_NUMBER)
+    number = F.when(written, F.expr("try_cast(customer_id as double)"))
     whole = F.when(number == F.floor(number), F.expr("try_cast(try_cast(customer_id as double) as bigint)"))
     read = changes.withColumn(
         "_id", F.coalesce(F.expr("try_cast(customer_id as bigint)"), whole)
     )
-    usable = F.coalesce(F.col("_id") > 0, F.lit(False))
+    usable = F.coalesce(written & (F.col("_id") > 0), F.lit(False))
     sound = read.where(usable).withColumn("customer_id", F.col("_id")).drop("_id")
     return sound, read.where(~usable).drop("_id")
 

@@ -77,8 +77,8 @@ FIELD_TYPES = ("string", "boolean", "number", "date")
 class Rule:
     """What a landed row must hold at ``path``.
 
-    ``kind`` is ``string``, ``number``, ``text_or_list``, ``array`` or
-    ``object``.  ``required`` says the key must be there, ``nullable`` that a
+    ``kind`` is ``string``, ``number``, ``whole`` (a number without fraction that
+    fits 64 bits), ``time``, ``text_or_list``, ``array`` or ``object``.  ``required`` says the key must be there, ``nullable`` that a
     JSON null is fine.  ``items`` are the rules for the elements of an array,
     ``members`` those for the keys of an object.
     """
@@ -91,8 +91,10 @@ class Rule:
     members: tuple["Rule", ...] = ()
 
 
+OPTIONAL = {"required": False, "nullable": True}
+
 CUSTOMER_RULES = (
-    Rule("id", "number"),
+    Rule("id", "whole"),
     Rule("email", "string"),
     Rule("first_name", "string"),
     Rule("last_name", "string"),
@@ -106,14 +108,57 @@ CUSTOMER_RULES = (
             Rule("value", "text_or_list", required=False, nullable=True),
         ),
     ),
+    Rule("company", "string", **OPTIONAL),
+    Rule("customer_group_id", "whole", **OPTIONAL),
+    Rule("registration_ip_address", "string", **OPTIONAL),
+    Rule("date_created", "time", **OPTIONAL),
+    Rule("date_modified", "time", **OPTIONAL),
+)
+
+CART_RULES = (
+    Rule("id", "string"),
+    Rule("customer_id", "whole", **OPTIONAL),
+    Rule("created_time", "time", **OPTIONAL),
+    Rule("updated_time", "time", **OPTIONAL),
+    Rule(
+        "line_items",
+        "object",
+        **OPTIONAL,
+        members=(
+            Rule(
+                "physical_items",
+                "array",
+                **OPTIONAL,
+                items=(
+                    Rule("name", "string", **OPTIONAL),
+                    Rule("quantity", "whole", **OPTIONAL),
+                    Rule("sku", "string", **OPTIONAL),
+                ),
+            ),
+        ),
+    ),
+)
+
+REGISTRY_FILE_RULES = (
+    Rule(
+        "formFields",
+        "array",
+        required=False,
+        items=(
+            Rule("name", "string"),
+            Rule("type", "string", required=False),
+            Rule("options", "array", required=False),
+        ),
+    ),
 )
 
 FIELD_VALUE_RULES = (
     Rule("name", "string"),
     Rule("value", "string", nullable=True),
-    Rule("customer_id", "number"),
+    Rule("customer_id", "whole"),
 )
 
+# The counts of a page's envelope.
 PAGE_COUNTS = ("total", "count", "per_page", "current_page", "total_pages")
 
 PAGE_RULES = (

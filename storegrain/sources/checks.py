@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from storegrain.schemas import Rule
 
 FAIL, QUARANTINE = "fail", "quarantine"
+NUMBER_SHAPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
+
+def read_time(text: Column) -> Column:
+    """Times as ISO 8601 or as RFC 2822 (``Tue, 20 Nov 2012 00:00:00 +0000``); null if neither."""
+    mail = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
+    return F.coalesce(
+        F.try_to_timestamp(text), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))
+    )
 
 
 def _has_kind(value: Column, kind: str) -> Column:
@@ -26,7 +35,12 @@ def _has_kind(value: Column, kind: str) -> Column:
     if kind == "string":
         return shape == "STRING"
     if kind == "number":
-        return shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        return shape.rlike(NUMBER_SHAPES)
+    if kind == "whole":
+        number = F.try_variant_get(value, "$", "decimal(38,9)")
+        return shape.rlike(NUMBER_SHAPES) & (number == F.try_variant_get(value, "$", "bigint"))
+    if kind == "time":
+        return (shape == "STRING") & read_time(F.try_variant_get(value, "$", "string")).isNotNull()
     # text_or_list: "ARRAY<VOID>" is an empty list
     return shape.isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>")
 

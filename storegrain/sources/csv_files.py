@@ -49,12 +49,31 @@ def column_values(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Distinct non-blank values of one column of an earlier export.
 
     A path that is not there gives an empty result, and so does an unknown column.
+    Each file is read by its own header, so their columns may be in any order: files
+    are told apart by header first, and those with one header are read together.
     """
-    if path_exists(spark, path):
-        rows = read_csv(spark, path, trim=True)
-        if column in rows.columns:
-            return distinct_filled(rows, column)
-    return empty_table(spark, f"`{column}` STRING")
+    if not path_exists(spark, path):
+        return empty_table(spark, f"`{column}` STRING")
+    out = None
+    for columns, files in _headers(spark, path).items():
+        if column in columns:
+            found = distinct_filled(read_csv(spark, files, trim=True, columns=list(columns)), column)
+            out = found if out is None else out.unionByName(found)
+    return empty_table(spark, f"`{column}` STRING") if out is None else out.distinct()
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The different headers under ``path`` and the files of each.
+
+    First lines only: the rows of a file are not looked at beyond its first.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    names = [r["path"] for r in files.where("length > 0").select("path").collect()]
+    found: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(n for n in names if not n.rsplit("/", 1)[1].startswith(("_", "."))):
+        header = read_csv(spark, name, trim=True).columns
+        found.setdefault(tuple(header), []).append(name)
+    return found
 
 
 def distinct_filled(rows: DataFrame, column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from storegrain import schemas
 from storegrain.functions.text import truthy_variant
-from storegrain.sources.checks import FAIL, QUARANTINE, require, split_rows
+from storegrain.sources.checks import FAIL, QUARANTINE, read_time, require, split_rows
 
 
 def _json_options(multiline: bool, strict: bool) -> dict[str, str]:
@@ -56,7 +56,7 @@ def _whole(path: str, row: str = "row") -> Column:
 
 
 def _time(path: str) -> Column:
-    return F.try_to_timestamp(_text(path))
+    return read_time(_text(path))
 
 
 def _address(address: Column) -> Column:
@@ -156,17 +156,22 @@ def read_order_products(spark: SparkSession, path: str, *, multiline: bool = Tru
 
 
 def read_order_fees(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    """Fees; amounts arrive as text and are typed as decimals here."""
+    """Fees; amounts arrive as text and are typed as decimals here.
+
+    Four places are kept; an amount with more, or none at all, fails the job.
+    """
     fees = _read_list(spark, path, schemas.LANDED_FEES, multiline)
-    return fees.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("amount", "tax")})
+    for name in ("amount", "tax"):
+        exact = F.expr(f"try_cast({name} as decimal(18,4))")
+        whole = F.expr(f"try_cast({name} as decimal(38,18))")
+        sound = F.col(name).isNull() | F.coalesce(exact == whole, F.lit(False))
+        fees = fees.where(F.assert_true(sound, F.concat(F.lit(f"bad fee {name}: "), F.col(name))).isNull())
+        fees = fees.withColumn(name, exact)
+    return fees
 
 
-def read_carts(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    """Carts, each an object under ``data``; the item list stays an array."""
-    carts = read_pages(spark, path, multiline=multiline).select(
-        F.try_variant_get("page", "$.data", "variant").alias("row")
-    )
-    return carts.where(_text("id").isNotNull()).select(
+def type_carts(rows: DataFrame) -> DataFrame:
+    return rows.select(
         _text("id").alias("id"),
         _whole("customer_id").alias("customer_id"),
         _time("created_time").alias("created_time"),
@@ -175,9 +180,29 @@ def read_carts(spark: SparkSession, path: str, *, multiline: bool = True) -> Dat
             F.try_variant_get("row", "$.line_items.physical_items", schemas.CART_ITEMS),
             F.array().cast(schemas.CART_ITEMS),
         ).alias("physical_items"),
+        F.col("row").alias("extra"),
     )
 
 
+def read_carts(spark: SparkSession, path: str, *, multiline: bool = True, mode: str = FAIL):
+    """Carts, each an object under ``data``; the whole object stays in ``extra``.
+
+    Modes as :func:`read_customers`: a cart without an id fails the job or is set aside.
+    """
+    pages = read_pages(spark, path, multiline=multiline, strict=mode == FAIL)
+    rows = pages.select(F.coalesce(F.try_variant_get("page", "$.data", "variant"), "page").alias("row"), "file")
+    return _checked_rows(rows, mode, schemas.CART_RULES, type_carts, "cart")
+
+
+def _checked_rows(rows, mode, rules, typed, what):
+    if mode == FAIL:
+        return typed(require(rows, "row", rules, what))
+    if mode != QUARANTINE:
+        raise ValueError(f"mode must be {FAIL!r} or {QUARANTINE!r}, not {mode!r}")
+    sound, rejects = split_rows(rows, "row", rules)
+    return typed(sound), rejects
+
+
 def _filled_text(value: Column) -> Column:
     """Text of a JSON value; null where it counts as false."""
     return F.when(truthy_variant(value), F.try_variant_get(value, "$", "string"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storegrain import schemas
+from storegrain.sources.checks import require
 from storegrain.sources.landed import read_pages
 from storegrain.workspace import empty_table, finished_folders, path_exists
 
@@ -31,28 +32,35 @@ def require_sound(registry: DataFrame) -> DataFrame:
 
 
 def read_registry_file(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    """A ``{"formFields": [...]}`` file, or one entry per object; absent is empty."""
+    """A ``{"formFields": [...]}`` file, or one entry per object; absent is empty.
+
+    ``position`` is the place of an entry in its list. A file of another shape fails the job.
+    """
     if not path_exists(spark, path):
-        return empty_table(spark, schemas.FIELD_REGISTRY)
-    pages = read_pages(spark, path, multiline=multiline)
+        return empty_table(spark, f"{schemas.FIELD_REGISTRY}, position INT")
+    pages = require(
+        read_pages(spark, path, multiline=multiline), "page", schemas.REGISTRY_FILE_RULES,
+        "registry entry",
+    )
     is_entry = F.expr(
         "try_variant_get(page, '$.name', 'variant') is not null"
         " or try_variant_get(page, '$.type', 'variant') is not null"
         " or try_variant_get(page, '$.options', 'variant') is not null"
     )
     entries = pages.select(
-        F.explode(
+        F.posexplode(
             F.coalesce(
                 F.try_variant_get("page", "$.formFields", "array<variant>"),
                 F.when(is_entry, F.array("page")),
             )
-        ).alias("row")
+        ).alias("position", "row")
     )
     return require_sound(
         entries.select(
             F.try_variant_get("row", "$.name", "string").alias("name"),
             F.try_variant_get("row", "$.type", "string").alias("type"),
             F.try_variant_get("row", "$.options", "array<string>").alias("options"),
+            "position",
         )
     )
 

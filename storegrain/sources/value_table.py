@@ -1,7 +1,11 @@
 """The current (customer, field) -> value table, kept as a base plus change batches.
 
 ``<root>/base/upto=<n>``      a whole table holding every batch up to ``n``
-``<root>/changes/batch=<n>``  the deduplicated changes of one batch
+``<root>/changes/batch=<n>-<feed>-<batch>``  the deduplicated changes of one batch
+
+A batch is known by its feed and its number there; ``n`` is its place in the
+order in which batches arrived, over all feeds. A feed that starts anew (another
+checkpoint, hence another feed id) never meets the folders of the one before.
 
 Applying a batch costs as much as the batch, not the table.  Reading merges the
 batches newer than the newest base, and :func:`compact` folds them into a new
@@ -16,19 +20,43 @@ from pyspark.sql import functions as F
 
 from storegrain import schemas
 from storegrain.operators.values import last_writes, upsert_values
-from storegrain.workspace import empty_table, finished_folders
+from storegrain.workspace import empty_table, finished_folders, list_folder
 
 BASE, BATCH = "upto=", "batch="
 
 
-def append_changes(changes: DataFrame, root: str, batch: int) -> None:
-    """Store the last write per key of a batch; a replay overwrites its own folder."""
+def batch_name(spark: SparkSession, root: str, feed: str, batch: int) -> str:
+    """The folder of a batch: its own from an earlier attempt, or the next number.
+
+    One writer at a time is taken for granted, as for any table of a feed.
+    """
+    ending = f"-{feed}-{batch}"
+    names = [name for name, _, _ in list_folder(spark, f"{root}/changes") if name.startswith(BATCH)]
+    own = [name for name in names if name.endswith(ending)]
+    if own:
+        return own[0]
+    taken = [_number(name.removeprefix(BATCH)) for name in names]
+    taken += _numbered(spark, f"{root}/base", BASE)
+    return f"{BATCH}{max(taken, default=-1) + 1}{ending}"
+
+
+def append_changes(changes: DataFrame, root: str, batch: int, feed: str = "table") -> str:
+    """Store the last write per key of a batch; a replay overwrites its own folder.
+
+    Returns the name of the folder.
+    """
+    name = batch_name(changes.sparkSession, root, feed, batch)
     rows = last_writes(changes).select(*schemas.CHANGE_COLUMNS)
-    rows.write.mode("overwrite").parquet(f"{root}/changes/{BATCH}{batch}")
+    rows.write.mode("overwrite").parquet(f"{root}/changes/{name}")
+    return name
+
+
+def _number(name: str) -> int:
+    return int(name.split("-")[0])
 
 
 def _numbered(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
-    return {int(n): folder for n, folder in finished_folders(spark, path, prefix).items()}
+    return {_number(n): folder for n, folder in finished_folders(spark, path, prefix).items()}
 
 
 def _newest_base(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
@@ -46,7 +74,7 @@ def _pending(spark: SparkSession, root: str, after: int) -> tuple[int, DataFrame
     if not newer:
         return after, None
     changes = spark.read.schema(schemas.CHANGES).parquet(*newer.values())
-    number = F.regexp_extract(F.col("_metadata.file_path"), f"/{BATCH}([0-9]+)/", 1)
+    number = F.regexp_extract(F.col("_metadata.file_path"), f"/{BATCH}([0-9]+)-", 1)
     return max(newer), changes.withColumn("batch", number.cast("bigint"))
 
 

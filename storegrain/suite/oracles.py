@@ -163,9 +163,42 @@ ORACLES: dict[str, str] = {
           AND last_day <= TIMESTAMP '2001-07-01 00:00:00'""",
     "search_group_ip": with_tables(CUSTOMERS)
     + f""" SELECT {DATED} FROM customers
-        WHERE customer_group_id = 7 AND registration_ip = '10.0.0.37'""",
+        WHERE customer_group_id = (SELECT customer_group_id FROM customers WHERE id = 37)
+          AND registration_ip = '10.0.0.37'""",
     "search_sorted": with_tables(CUSTOMERS)
     + f" SELECT {DATED} FROM customers WHERE contains(lower(company), 'hold')",
+    "search_sorted_top": with_tables(CUSTOMERS)
+    + " UNION ALL ".join(
+        f""" SELECT * FROM (
+          SELECT '{name}:{way}' AS sort, id, row_number() OVER (
+            ORDER BY {column} {way} NULLS {"FIRST" if way == "asc" else "LAST"}, id) AS place
+          FROM customers WHERE contains(lower(company), 'hold')) WHERE place <= 25"""
+        for name, column in (("date_created", "date_created"), ("date_modified", "date_modified"),
+                             ("last_name", "last_name"))
+        for way in ("asc", "desc")
+    ),
+    "search_by_order": with_tables(CUSTOMERS, SHOP_ORDERS, PRODUCTS)
+    + """, ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY customer_id
+                                       ORDER BY date_created DESC, id DESC) AS rn
+          FROM shop_orders WHERE customer_id > 0
+        ), lines AS (SELECT order_id, count(*) AS n FROM products GROUP BY order_id),
+        latest AS (
+          SELECT customer_id, count(*) AS n_orders, sum(coalesce(n, 0)) AS n_products,
+                 max(CASE WHEN rn = 1 THEN id END) AS newest_order, sum(total) AS total
+          FROM ranked LEFT JOIN lines ON order_id = id WHERE rn <= 10 GROUP BY customer_id
+        )
+        SELECT c.id, c.email, n_orders, CAST(n_products AS BIGINT) AS n_products, newest_order,
+               CAST(total AS DOUBLE) AS total
+        FROM customers c JOIN latest ON customer_id = c.id
+        WHERE c.id IN (SELECT customer_id FROM shop_orders WHERE status = 'P')""",
+    "order_product_rows": with_tables(SHOP_ORDERS, PRODUCTS)
+    + """ SELECT o.id, o.customer_id, p.sku, CAST(p.quantity AS BIGINT) AS quantity,
+               CAST(p.price AS DOUBLE) AS price
+        FROM shop_orders o JOIN products p ON p.order_id = o.id""",
+    "orders_newest_top": """
+        SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place
+        FROM orders WHERE o_custkey > 0 QUALIFY place <= 100""",
     "search_with_recent_orders": with_tables(CUSTOMERS, SHOP_ORDERS, PRODUCTS)
     + """, ranked AS (
           SELECT *, row_number() OVER (PARTITION BY customer_id

@@ -12,8 +12,7 @@ from storegrain.functions.cells import export_rows, parse_columns
 from storegrain.functions.text import slug, truthy
 from storegrain.operators import fields, orders, segments, values
 from storegrain.operators.masking import mask_columns
-from storegrain.operators.nesting import part_column
-from storegrain.operators.search import SearchFilters, search_customers
+from storegrain.operators.search import SORTS, SearchFilters, search_customers
 from storegrain.plans.export import export_segment
 from storegrain.plans.registry import publish_registry
 from storegrain.plans.status import run_report
@@ -171,7 +170,9 @@ def search_company_dates(spark, sf_dir):
 
 @query
 def search_group_ip(spark, sf_dir):
-    filters = SearchFilters(customer_group_id=7, registration_ip="10.0.0.37")
+    """Customers of the group of customer 37 that share that customer's address."""
+    group = tables.customers(spark, sf_dir).where("id = 37").head()["customer_group_id"]
+    filters = SearchFilters(customer_group_id=group, registration_ip="10.0.0.37")
     return flat_customers(search_customers(tables.customers(spark, sf_dir, dates=True), filters))
 
 
@@ -182,28 +183,66 @@ def search_sorted(spark, sf_dir):
     return flat_customers(search_customers(everyone, filters, sort="date_modified:desc"))
 
 
+def _placed(rows: DataFrame, n: int) -> DataFrame:
+    """The ids of the first ``n`` rows with their places, as a report of the order."""
+    top = rows.limit(n).groupBy().agg(F.collect_list("id").alias("ids"))
+    return top.select(F.posexplode("ids").alias("at", "id")).select(
+        "id", (F.col("at") + 1).cast("bigint").alias("place")
+    )
+
+
+@query
+def search_sorted_top(spark, sf_dir):
+    """The first 25 hits in each of the six orders."""
+    everyone = tables.customers(spark, sf_dir, dates=True)
+    out = None
+    for sort in SORTS:
+        hits = search_customers(everyone, SearchFilters(company_like="hold"), sort=sort)
+        part = _placed(hits, 25).select(F.lit(sort).alias("sort"), "id", "place")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def orders_newest_top(spark, sf_dir):
+    return _placed(orders.sort_newest_first(orders.with_customer(tables.orders(spark, sf_dir))), 100)
+
+
 @query
 def search_with_recent_orders(spark, sf_dir):
     hits = search_customers(tables.customers(spark, sf_dir), SearchFilters(company_like="machin"))
     full = orders.with_recent_orders(
         hits, tables.orders(spark, sf_dir), tables.products(spark, sf_dir)
     )
-    first = F.col(part_column("recent_orders")) == 0
+    return _recent_summary(full)
+
+
+def _recent_summary(full: DataFrame) -> DataFrame:
     listed = F.col("recent_orders")
-    product_count = F.aggregate(
-        listed, F.lit(0).cast("bigint"), lambda acc, o: acc + F.size(o.getField("products"))
-    )
-    return full.groupBy("id", "email").agg(
-        F.sum(F.when(first, F.size(listed)).otherwise(0)).alias("n_orders"),
-        F.sum(product_count).alias("n_products"),
-        F.max(F.when(first, F.get(listed, F.lit(0)).getField("id"))).alias("newest_order"),
-        F.sum(F.when(first, F.aggregate(
+    return full.select(
+        "id", "email",
+        F.size(listed).cast("bigint").alias("n_orders"),
+        F.aggregate(
+            listed, F.lit(0).cast("bigint"), lambda acc, o: acc + F.size(o.getField("products"))
+        ).alias("n_products"),
+        F.get(listed, F.lit(0)).getField("id").alias("newest_order"),
+        F.aggregate(
             listed, F.lit(0).cast("decimal(28,2)"),
             lambda acc, o: (acc + o.getField("total")).cast("decimal(28,2)"),
-        ))).cast("double").alias("total"),
+        ).cast("double").alias("total"),
     )
 
 
+@query
+def search_by_order(spark, sf_dir):
+    """Customers found by the orders of a status, each with recent orders and products."""
+    held = tables.orders(spark, sf_dir)
+    asked = held.where("status = 'P'").select(F.col("id").alias("order_id"))
+    return _recent_summary(orders.customers_of_orders(
+        asked, held, tables.customers(spark, sf_dir), tables.products(spark, sf_dir)
+    ))
+
+
 @query
 def customers_by_email(spark, sf_dir):
     def shared(number: Column) -> Column:
@@ -257,29 +296,38 @@ def orders_by_email(spark, sf_dir):
     full = orders.orders_by_email(
         tables.orders(spark, sf_dir), emails, tables.products(spark, sf_dir), n=10
     )
-    return full.groupBy("email", "id", F.col("recency").cast("bigint").alias("recency")).agg(
-        F.sum(F.size("products")).alias("n_products")
-    )
+    return full.select("email", "id", F.col("recency").cast("bigint").alias("recency"),
+                       F.size("products").cast("bigint").alias("n_products"))
 
 
 def _list_sum(column: str, field: str) -> Column:
-    return F.sum(F.aggregate(
+    return F.aggregate(
         column, F.lit(0).cast("decimal(34,4)"),
         lambda acc, x: (acc + x.getField(field)).cast("decimal(34,4)"),
-    )).cast("double")
+    ).cast("double")
 
 
 @query
 def orders_with_products(spark, sf_dir):
     full = orders.with_products(tables.orders(spark, sf_dir), tables.products(spark, sf_dir))
-    return full.groupBy("id").agg(
-        F.sum(F.size("products")).alias("n_products"),
+    return full.select(
+        "id",
+        F.size("products").cast("bigint").alias("n_products"),
         _list_sum("products", "quantity").alias("quantity"),
         _list_sum("products", "price").alias("price"),
-        F.min(F.get("products", F.lit(0)).getField("sku")).alias("first_sku"),
+        F.get("products", F.lit(0)).getField("sku").alias("first_sku"),
     )
 
 
+@query
+def order_product_rows(spark, sf_dir):
+    """The flat form: one row a product."""
+    found = orders.order_product_rows(tables.orders(spark, sf_dir), tables.products(spark, sf_dir))
+    return found.select("id", "customer_id", F.col("product.sku").alias("sku"),
+                        F.col("product.quantity").cast("bigint").alias("quantity"),
+                        money(F.col("product.price")).alias("price"))
+
+
 @query
 def order_fees(spark, sf_dir):
     return orders.order_fees(tables.orders(spark, sf_dir), tables.fees(spark, sf_dir)).select(
@@ -291,8 +339,8 @@ def order_fees(spark, sf_dir):
 @query
 def orders_with_fees(spark, sf_dir):
     full = orders.with_fees(tables.orders(spark, sf_dir), tables.fees(spark, sf_dir))
-    return full.groupBy("id").agg(
-        F.sum(F.size("fees")).alias("n_fees"), _list_sum("fees", "amount").alias("amount")
+    return full.select(
+        "id", F.size("fees").cast("bigint").alias("n_fees"), _list_sum("fees", "amount").alias("amount")
     )
 
 

@@ -93,6 +93,11 @@ def finished_folders(spark: SparkSession, path: str, prefix: str) -> dict[str, s
     return {folder.rsplit("/", 1)[1].removeprefix(prefix): folder for folder in folders}
 
 
+def feed_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of a checkpoint; a new checkpoint has another."""
+    return spark.read.json(f"{checkpoint}/metadata").head()["id"].replace("-", "")
+
+
 def drop_staged(spark: SparkSession) -> bool:
     """Delete what this application staged; call it when its results are no longer read."""
     app = spark.sparkContext.applicationId

@@ -42,7 +42,7 @@ def test_segment_scan_resumes(spark, tmp_path):
     land(pages, "3.json", 11, value="N")
     (pages / "1.json").write_text("not read again")
     assert scan(files_per_batch=1) == [9, 10]
-    assert sorted(r.id for r in collected_ids(spark, root, "My Key").collect()) == [9, 10]
+    assert sorted(r.id for r in collected_ids(spark, root, "My Key", "F", "Y").collect()) == [9, 10]
     land(pages, "1.json", 12)
     assert scan() == [9, 10]
     assert scan(resume=False) == [10, 12]
@@ -89,7 +89,7 @@ def test_export_feed(spark, tmp_path):
     assert base() == ["1", "2", "3"] and clean() == ["u1@x.y", "u2@x.y", "u3@x.y"]
     # replayed after its output was lost
     forget_last_commit(state)
-    for folder in sorted(out.glob("k/**/run=batch-1")):
+    for folder in sorted(out.glob("k/**/run=*-1")):
         for part in folder.iterdir():
             part.unlink()
         folder.rmdir()
@@ -128,3 +128,47 @@ def test_value_feed(spark, tmp_path):
     assert now() == wanted
     assert compact(spark, root)
     assert now() == wanted
+
+
+def test_a_scan_belongs_to_its_field_and_value(spark, tmp_path):
+    land(tmp_path / "pages", "1.json", 1)
+    land(tmp_path / "pages", "2.json", 2, value="N")
+
+    def scan(value):
+        ids = collect_segment(spark, str(tmp_path / "pages"), str(tmp_path / "scans"), "k", "F", value)
+        return sorted(r.id for r in ids.collect())
+
+    assert (scan("Y"), scan("N"), scan("Y"), scan("other")) == ([1], [2], [1], [])
+
+
+def test_an_export_feed_with_a_new_checkpoint_keeps_what_was_exported(spark, tmp_path):
+    people = spark.range(1, 9).select("id", F.format_string("u%d@x.y", "id").alias("email"))
+    pages, out = tmp_path / "pages", tmp_path / "out"
+    for number, ids in enumerate([(1, 2), (2, 3)]):
+        land(pages, f"{number}.json", *ids)
+        run_export_feed(spark, str(pages), people, checkpoint=str(tmp_path / f"state{number}"), key="k", field="F",
+                        value="Y", columns="Email:email", out_dir=str(out), run_date=date(2026, 4, 24))
+    for folder, column in (("base", "Customer ID"), ("clean", "Email")):
+        found = sorted(r[column] for r in read_csv(spark, f"{out}/k/{folder}").collect())
+        assert found == (["1", "2", "3"] if folder == "base" else ["u1@x.y", "u2@x.y", "u3@x.y"])
+
+
+def test_value_feeds_with_checkpoints_of_their_own(spark, tmp_path):
+    root = str(tmp_path / "values")
+
+    def feed(number, *rows):
+        landing = tmp_path / f"landing{number}"
+        landing.mkdir(exist_ok=True)
+        lines = [json.dumps(dict(zip(("customer_id", "name", "value", "ts", "seq"), r))) for r in rows]
+        (landing / f"{len(list(landing.iterdir()))}.json").write_text("\n".join(lines))
+        run_value_feed(stream_changes(spark, str(landing)), root, str(tmp_path / f"state{number}"))
+        return sorted(map(tuple, read_values(spark, root).collect()))
+
+    day = "2024-01-01T00:00:00Z"
+    assert feed(1, ("1", "T", "a", day, 1)) == [(1, "T", "a")]
+    assert feed(2, ("2", "T", "b", day, 1)) == [(1, "T", "a"), (2, "T", "b")]
+    assert compact(spark, root)
+    assert feed(3, ("1", "T", "c", day, 1)) == [(1, "T", "c"), (2, "T", "b")]
+    assert feed(1, ("2", "T", "d", day, 0)) == [(1, "T", "c"), (2, "T", "d")]
+    assert compact(spark, root)
+    assert sorted(map(tuple, read_values(spark, root).collect())) == [(1, "T", "c"), (2, "T", "d")]

@@ -7,7 +7,9 @@ import os
 import pytest
 from compare import connect, duck_rows, spark_rows, type_mismatches
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from storegrain.suite.oracles import ORACLES
+from storegrain.suite.queries import REGISTERED
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -18,17 +20,17 @@ def db():
 
 
 def test_each_query_has_its_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert REGISTERED.keys() == ORACLES.keys()
 
 
 def test_entry(spark):
     assert entry(spark).columns[0] == "Customer ID"
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTERED))
 def test_query(spark, db, name):
-    df = queries()[name](spark, SF_DIR)
-    sql = oracle_sql()[name]
+    df = REGISTERED[name](spark, SF_DIR)
+    sql = ORACLES[name]
     columns, rows = spark_rows(df)
     wanted_columns, wanted = duck_rows(db, sql)
     assert columns == wanted_columns

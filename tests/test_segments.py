@@ -149,12 +149,12 @@ def test_updates(spark):
         spark, ("42", "Trusted", "no", "2024-01-01", 1), ("42", "Trusted", "True", "2024-01-02", 1),
         ("42", "Trusted", "older", "2024-01-02", 0), ("9.0", "New", None, "2024-01-01", 2),
         *[(bad, "Trusted", "x", "2024-01-01", 9)
-          for bad in ("abc", "0", "-1", "", None, "NaN", "Infinity", "4.5", "1e400")])
+          for bad in ("abc", "0", "-1", "", None, "NaN", "Infinity", "4.5", "1e400", "42d", "42f", "42L")])
     updated, applied, rejects = values.apply_updates(current, asked)
     assert sorted(map(tuple, updated.collect())) == [
         (7, "Trusted", "False"), (9, "New", None), (42, "Other", "o"), (42, "Trusted", "True")]
     assert sorted(map(tuple, applied.collect())) == [(9, "New", None), (42, "Trusted", "True")]
-    assert rejects.count() == 9
+    assert rejects.count() == 12
 
 
 def test_value_table(spark, tmp_path):
