@@ -17,7 +17,13 @@ from storegrain.sources.registry import (
     save_registry,
 )
 from storegrain.sources.run_states import read_run_states
-from storegrain.operators.fields import catalog_summary, registry_entries
+from storegrain.operators.fields import (
+    FieldRequestError,
+    catalog_summary,
+    check_request,
+    field_violations,
+    registry_entries,
+)
 from storegrain.plans.registry import publish_registry
 from storegrain.plans.status import run_report
 
@@ -58,6 +64,8 @@ def test_customers_from_several_pages(spark, tmp_path):
     {"email": None}, {"email": 5}, {"id": "7"}, {"addresses": {}}, {"addresses": [{}]},
     {"form_fields": [{"value": "x"}]}, {"form_fields": [{"name": "x", "value": 5}]},
     {"form_fields": [{"name": "x", "value": ["a", 5]}]}, {"addresses": None},
+    {"id": 1.5}, {"id": 1e30}, {"date_created": "soon"}, {"date_modified": 5}, {"customer_group_id": "gold"},
+    {"customer_group_id": 2.5}, {"company": {}},
 ])
 def test_bad_customers_fail_or_are_set_aside(spark, tmp_path, change):
     path = put(tmp_path / "pages", "1.json", page(ANN, {**ANN, "id": 1, **change}))
@@ -132,8 +140,13 @@ def test_orders_products_and_fees(spark, tmp_path):
     assert (row.id, row.status, row.customer_id, row.date_created.year) == (1, "complete", None, 2026)
     products = put(tmp_path / "p", "1.json", [{"order_id": 100, "sku": "A", "price": "9.50", "quantity": 2}])
     assert landed.read_order_products(spark, products).head().sku == "A"
-    fees = put(tmp_path / "f", "1.json", [{"order_id": 10, "name": "Tip", "type": "custom", "amount": "5", "tax": "0"}])
-    assert [str(x) for x in landed.read_order_fees(spark, fees).head()] == ["10", "Tip", "custom", "5.00", "0.00"]
+    fee = {"order_id": 77, "name": "Ice", "type": "storage", "amount": "5.1250", "tax": "0"}
+    fees = put(tmp_path / "f", "1.json", [fee])
+    assert [str(x) for x in landed.read_order_fees(spark, fees).head()] == ["77", "Ice", "storage", "5.1250", "0.0000"]
+    for bad in ("5.12501", "five", "1e20"):
+        path = put(tmp_path / "bad", "1.json", [{**fee, "amount": bad}])
+        with pytest.raises(JOB_FAILED, match="bad fee amount"):
+            landed.read_order_fees(spark, path).collect()
     wrong = put(tmp_path / "w", "1.json", [{"id": "x"}])
     with pytest.raises(JOB_FAILED):
         landed.read_orders(spark, wrong).collect()
@@ -141,21 +154,37 @@ def test_orders_products_and_fees(spark, tmp_path):
 
 def test_carts(spark, tmp_path):
     carts = tmp_path / "carts"
-    put(carts, "1.json", {"data": {"id": "abc-123", "customer_id": 42, "created_time": "2026-01-01T00:00:00Z",
-                                   "line_items": {"physical_items": [{"name": "Widget", "quantity": 2, "sku": "W-1"}]}}})
-    path = put(carts, "2.json", {"data": {"id": "empty"}})
+    items = {"physical_items": [{"name": "Herring", "quantity": 40, "sku": "H/40", "salted": True}], "digital_items": [1]}
+    put(carts, "1.json", {"data": {"id": "quay-9", "customer_id": 311, "created_time": "2021-06-15T04:30:00Z", "line_items": items}})
+    path = put(carts, "2.json", {"data": {"id": "bare"}})
     rows = {r.id: r for r in landed.read_carts(spark, path).collect()}
-    assert rows["abc-123"].physical_items == [("Widget", 2, "W-1")]
-    assert rows["empty"].physical_items == []
+    assert rows["quay-9"].physical_items == [("Herring", 40, "H/40")]
+    assert rows["quay-9"].extra.toPython()["line_items"] == items
+    assert rows["bare"].physical_items == []
+    bad = [{"data": {"customer_id": 1}}, {"data": {"id": "q", "line_items": {"physical_items": [{"quantity": "two"}]}}},
+           {"data": {"id": "r", "created_time": "noon"}}, {"other": 1}]
+    for number, content in enumerate(bad):
+        path = put(carts, f"bad{number}.json", content)
+    with pytest.raises(JOB_FAILED, match="bad cart"):
+        landed.read_carts(spark, path).count()
+    sound, rejects = landed.read_carts(spark, path, mode="quarantine")
+    assert (sound.count(), rejects.count()) == (2, 4)
+
+
+def test_times_of_mail_headers(spark, tmp_path):
+    row = {**ANN, "date_created": "Sat, 02 Mar 2019 18:05:00 +0100", "date_modified": None}
+    path = put(tmp_path / "pages", "1.json", page(row))
+    found = landed.read_customers(spark, path).select(F.date_format("date_created", "yyyy-MM-dd HH:mm").alias("t"), "date_modified").head()
+    assert tuple(found) == ("2019-03-02 17:05", None)
 
 
 FIELDS = [
-    {"name": "EmailAddress", "type": "text", "private_id": 1, "required": True},
-    {"name": "Phone Verified", "type": "radiobuttons", "required": False},
-    {"label": "Opt", "field_type": "type_checkboxes_field", "private_id": "",
-     "extra_info": {"options": [1, True, "x", None]}, "options": ["hidden"]},
-    {"title": "Bare", "extra_info": {"options": "text"}, "options": ["hidden"]},
-    {"name": 0, "label": "Zero", "extra_info": {}, "options": ["a", "b"]},
+    {"name": "Login", "type": "password", "private_id": 7, "required": True},
+    {"name": "Boat class", "type": "dropdown", "required": False},
+    {"label": "Berths", "field_type": "type_checkboxes_field", "private_id": "",
+     "extra_info": {"options": [12, False, "bow", None]}, "options": ["unseen"]},
+    {"title": "Pier", "extra_info": {"options": "none"}, "options": ["unseen"]},
+    {"name": 0, "label": "Moor", "extra_info": {}, "options": ["day", "night"]},
 ]
 
 
@@ -165,11 +194,11 @@ def test_catalog(spark, tmp_path, payload):
     catalog = landed.read_catalog(spark, path)
     rows = [tuple(r) for r in catalog_summary(catalog, include_built_in=True).collect()]
     assert rows == [
-        ("EmailAddress", "string", "text", None, True, True),
-        ("Phone Verified", "string", "radiobuttons", None, False, False),
-        ("Opt", "boolean", "type_checkboxes_field", ["1", "true", "x", "null"], False, False),
-        ("Bare", "string", "", None, False, False),
-        ("Zero", "string", "", ["a", "b"], False, False),
+        ("Login", "string", "password", None, True, True),
+        ("Boat class", "string", "dropdown", None, False, False),
+        ("Berths", "boolean", "type_checkboxes_field", ["12", "false", "bow", "null"], False, False),
+        ("Pier", "string", "", None, False, False),
+        ("Moor", "string", "", ["day", "night"], False, False),
     ]
     assert registry_entries(catalog).count() == 4
 
@@ -182,15 +211,21 @@ def test_catalog_of_another_shape_is_empty(spark, tmp_path, payload):
 
 def test_registry_file(spark, tmp_path):
     assert read_registry_file(spark, str(tmp_path / "none.json")).count() == 0
-    entries = [{"name": "FDD", "type": "boolean", "options": ["True", "False"]}, {"name": "Phone verified"}]
+    entries = [{"name": "Berth", "type": "number", "options": ["4", "8"]}, {"name": "Sail no"}, {"name": "Berth"}]
     put(tmp_path, "r.json", {"formFields": entries})
     assert [tuple(r) for r in read_registry_file(spark, str(tmp_path / "r.json")).collect()] == [
-        ("FDD", "boolean", ["True", "False"]), ("Phone verified", None, None),
+        ("Berth", "number", ["4", "8"], 0), ("Sail no", None, None, 1), ("Berth", None, None, 2),
     ]
+    registry = read_registry_file(spark, str(tmp_path / "r.json"))
+    with pytest.raises(FieldRequestError):  # of entries with one name the first counts
+        check_request(registry, "Berth", "5")
+    asked = spark.createDataFrame([(1, "Berth", "5"), (2, "Berth", "8"), (3, "Sail no", "x")], "customer_id BIGINT, name STRING, value STRING")
+    assert [r.customer_id for r in field_violations(asked, registry).collect()] == [1]
     put(tmp_path, "e.json", {})
     assert read_registry_file(spark, str(tmp_path / "e.json")).count() == 0
-    for bad in ({"name": ""}, {"name": "x", "type": "bogus"}, {"type": "string"}):
-        put(tmp_path, "b.json", {"formFields": [bad]})
+    shapes = [{"name": ""}, {"name": "x", "type": "bogus"}, {"type": "string"}, {"name": 5}, {"name": "x", "options": "y"}]
+    for bad in (*({"formFields": [shape]} for shape in shapes), {"formFields": "x"}, {"formFields": {}}):
+        put(tmp_path, "b.json", bad)
         with pytest.raises(JOB_FAILED, match="registry entry"):
             read_registry_file(spark, str(tmp_path / "b.json")).collect()
 
@@ -212,8 +247,8 @@ def test_registry_versions(spark, tmp_path):
 def test_publish_registry_by_name(spark, tmp_path):
     catalog = landed.read_catalog(spark, put(tmp_path / "c", "1.json", FIELDS))
     root = str(tmp_path / "registry")
-    assert publish_registry(catalog, root, include_built_in=True, names=["EmailAddress", "Opt"])
-    assert sorted(r.name for r in read_registry(spark, root).collect()) == ["EmailAddress", "Opt"]
+    assert publish_registry(catalog, root, include_built_in=True, names=["Login", "Berths"])
+    assert sorted(r.name for r in read_registry(spark, root).collect()) == ["Berths", "Login"]
 
 
 def test_registry_problems(spark):
@@ -224,21 +259,26 @@ def test_registry_problems(spark):
 
 
 def test_csv_bytes(spark, tmp_path):
-    rows = spark.createDataFrame([("Alice", "30"), ('She said "hi"', ""), (" pad ", "a\nb\\c")], "Name STRING, Age STRING")
+    rows = spark.createDataFrame([("Skuld", "4.5"), ('the "Ran"', ""), (" bow ", "x\ny\\z")], "Boat STRING, Length STRING")
     path = str(tmp_path / "out" / "csv")
     write_csv(rows.coalesce(1), path)
     (part,) = Path(path).glob("part-*.csv")
     assert part.read_text() == (
-        '"Name","Age"\n"Alice","30"\n"She said ""hi""",""\n" pad ","a\nb\\c"\n')
+        '"Boat","Length"\n"Skuld","4.5"\n"the ""Ran""",""\n" bow ","x\ny\\z"\n')
     write_csv(rows.limit(1), path)
     back = read_csv(spark, path)
     assert sorted(map(tuple, back.collect())) == sorted(
-        [("Alice", "30"), ('She said "hi"', ""), (" pad ", "a\nb\\c"), ("Alice", "30")])
+        [("Skuld", "4.5"), ('the "Ran"', ""), (" bow ", "x\ny\\z"), ("Skuld", "4.5")])
 
 
 def test_csv_column_values(spark, tmp_path):
-    path = put(tmp_path / "csv", "a.csv", 'ID, Email\n1,a@b.c\n"2",d@e.f\n 1 ,x@y.z\n"",q\n')
-    assert sorted(r[0] for r in column_values(spark, path, "ID").collect()) == ["1", "2"]
+    path = put(tmp_path / "csv", "a.csv", 'ID, Pier\n31,north\n"47",south\n 31 ,east\n"",west\n')
+    assert sorted(r[0] for r in column_values(spark, path, "ID").collect()) == ["31", "47"]
+    # a later file with its columns in another order, one without the column, and one without rows
+    put(tmp_path / "csv", "b.csv", "Pier,ID\nquay,52\n")
+    put(tmp_path / "csv", "c.csv", "Pier,Boat\nquay,skiff\n")
+    put(tmp_path / "csv", "d.csv", "")
+    assert sorted(r[0] for r in column_values(spark, path, "ID").collect()) == ["31", "47", "52"]
     assert column_values(spark, path, "Nope").count() == 0
     assert column_values(spark, str(tmp_path / "missing.csv"), "ID").count() == 0
 
@@ -252,23 +292,23 @@ def test_csv_header_must_match(spark, tmp_path):
 
 def test_run_states(spark, tmp_path):
     store, other = tmp_path / "store", tmp_path / "other"
-    state = {"pageNum": 3, "collectedIds": [], "processedIdIndex": 0}
-    put(store, ".progress-foo.json", state)
-    put(store, ".progress-bar.json", {**state, "collectedIds": [1, 2, 3], "processedIdIndex": 2})
-    put(store, "other.txt", "x")
-    put(other, ".progress-baz.json", {**state, "collectedIds": [1, 2]})
-    put(other, ".progress-cur.json", {**state, "collectedIds": [1, 2], "cursor": "abc"})
+    state = {"pageNum": 11, "collectedIds": [], "processedIdIndex": 0}
+    put(store, ".progress-tide.json", state)
+    put(store, ".progress-ebb.json", {**state, "collectedIds": [71, 72, 75, 79], "processedIdIndex": 3})
+    put(store, "tide.log", "x")
+    put(other, ".progress-spring.json", {**state, "collectedIds": [71]})
+    put(other, ".progress-neap.json", {**state, "collectedIds": [71, 72, 75], "cursor": "p12"})
     states = read_run_states(spark, [str(store), str(other)])
     rows = {r.key: (r.phase, r.percent, r.collected) for r in run_report(states).collect()}
     assert rows == {
-        "foo": ("collecting IDs (phase 1)", None, 0),
-        "bar": ("fetching customers (phase 2)", 67, 3),
-        "baz": ("ready for phase 2", None, 2),
-        "cur": ("collecting IDs (phase 1)", None, 2),
+        "tide": ("collecting IDs (phase 1)", None, 0),
+        "ebb": ("fetching customers (phase 2)", 75, 4),
+        "spring": ("ready for phase 2", None, 1),
+        "neap": ("collecting IDs (phase 1)", None, 3),
     }
-    assert run_report(states, "foo").count() == 1
-    stamp = run_report(states, "foo").select(F.unix_timestamp("mtime")).head()[0]
-    assert stamp == int((store / ".progress-foo.json").stat().st_mtime)
+    assert run_report(states, "tide").count() == 1
+    stamp = run_report(states, "tide").select(F.unix_timestamp("mtime")).head()[0]
+    assert stamp == int((store / ".progress-tide.json").stat().st_mtime)
     with pytest.raises(LookupError, match="missing"):
         run_report(states, "missing")
 
