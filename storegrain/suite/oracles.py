@@ -173,7 +173,7 @@ ORACLES: dict[str, str] = {
           SELECT '{name}:{way}' AS sort, id, row_number() OVER (
             ORDER BY {column} {way} NULLS {"FIRST" if way == "asc" else "LAST"}, id) AS place
           FROM customers WHERE contains(lower(company), 'hold')) WHERE place <= 25"""
-        for name, column in (("date_created", "date_created"), ("date_modified", "date_modified"),
+        for name, column in (("date_created", "first_day"), ("date_modified", "last_day"),
                              ("last_name", "last_name"))
         for way in ("asc", "desc")
     ),
