@@ -51,7 +51,7 @@ class WordHashes(dict):
 
 
 @functools.cache
-def _word_hashes() -> WordHashes:
+def word_hashes() -> WordHashes:
     return WordHashes()
 
 
@@ -67,7 +67,7 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode().translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     size = min(shingle, len(words))
     made = np.full(len(words) - size + 1, size, np.uint64)
     for at in range(size):

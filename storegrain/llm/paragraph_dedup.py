@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storegrain.llm.components import connected_components
-from storegrain.llm.jaccard_join import links_at_hubs, mixed, set_class, shingle_set
+from storegrain.llm.jaccard_join import LOWER, word_hashes, links_at_hubs, mixed
 from storegrain.llm.shared_hashes import Owned, bucket_count, shared_hashes, token_names
 from storegrain.workspace import stage
 
 MIN_WORDS = 8
 LONG_SENTENCE = 48
 CUT_MASK = 15
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[ \t]+|\n|$)", re.DOTALL)
+SENTENCE_END = re.compile(r"[.!?][ \t]+|\n")
+SPACED_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*")
+CHUNK_CHARS = 1 << 20
 
 
 def tune_bands(percent: int = 80, recall: float = 0.998, noise: float = 0.1) -> tuple[int, int]:
@@ -53,71 +56,127 @@ def tune_bands(percent: int = 80, recall: float = 0.998, noise: float = 0.1) ->
     raise ValueError("no bands give that recall with so little noise")
 
 
-def paragraphs_of(text: str) -> list[tuple[int, int]]:
-    """Bounds of the paragraphs; together they make up the text."""
-    bounds, start, n_words = [], 0, 0
-    for match in SENTENCE.finditer(text):
-        sentence = match.group()
-        if not sentence:
+Cut = tuple[list[tuple[int, int]], list[int], list[bytes]]
+
+
+def cut_text(text: str) -> Cut:
+    """Bounds and word counts of the paragraphs, which make up the text, and all words in lower case."""
+    bounds, counts, words = [], [], []
+    start = prev = n_words = 0
+    for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
+        if end == prev:
             continue
-        words = len(sentence.split())
-        if words > LONG_SENTENCE:
-            for at in _cuts(sentence):
-                bounds.append((start, match.start() + at))
-                start = match.start() + at
-            words = len(text[start : match.end()].split())
-        n_words = words if words >= MIN_WORDS else n_words + words
-        if sentence[-1] == "\n" or words >= MIN_WORDS:
-            bounds.append((start, match.end()))
-            start, n_words = match.end(), 0
+        own = text[prev:end].encode().translate(LOWER).split()
+        last = n_own = len(own)
+        if n_own > LONG_SENTENCE:
+            for at, done in _cuts(text[prev:end], own):
+                bounds.append((start, prev + at))
+                counts.append(n_words + done - (n_own - last))
+                start, n_words, last = prev + at, 0, n_own - done
+        words += own
+        n_words += last
+        if last >= MIN_WORDS or text[end - 1] == "\n":
+            bounds.append((start, end))
+            counts.append(n_words)
+            start, n_words = end, 0
+        prev = end
     if start < len(text):
         bounds.append((start, len(text)))
-    return bounds
+        counts.append(n_words)
+    return bounds, counts, words
 
 
-def _cuts(sentence: str) -> Iterator[int]:
-    """Where a long sentence is cut: after every sixteenth kind of word, ``MIN_WORDS`` apart at least."""
-    since = 0
-    for word in re.finditer(r"\S+\s*", sentence):
+def _cuts(sentence: str, words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Where a long sentence is cut, in characters and words: after words chosen by hash, ``MIN_WORDS`` apart at least."""
+    hashes, since = word_hashes(), 0
+    for number, (word, match) in enumerate(zip(words, SPACED_WORD.finditer(sentence), strict=True), 1):
         since += 1
-        code = shingle_set(word.group(), 1)
-        if since >= MIN_WORDS and len(code) and int(code[0]) & CUT_MASK == 0:
-            yield word.end()
+        if since >= MIN_WORDS and hashes[word] & CUT_MASK == 0:
+            yield match.end(), number
             since = 0
 
 
+def paragraphs_of(text: str) -> list[tuple[int, int]]:
+    """Bounds of the paragraphs; together they make up the text."""
+    return cut_text(text)[0]
+
+
+@dataclass
+class Paragraphs:
+    """The paragraphs of ``MIN_WORDS`` words or more of some texts, with their shingle sets end to end."""
+
+    text: np.ndarray
+    number: np.ndarray
+    flat: np.ndarray
+    starts: np.ndarray
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.flat)))
+
+    def classes(self) -> np.ndarray:
+        """A name for each set, equal for equal sets."""
+        sizes = self.sizes().astype(np.uint64)
+        return np.add.reduceat(mixed(self.flat + np.repeat(sizes, self.sizes())), self.starts).view(np.int64)
+
+
+def paragraph_sets(texts: list[str | None], shingle: int) -> Paragraphs:
+    """Paragraphs of a list of texts (about ``CHUNK_CHARS`` long in all); ``shingle`` is ``MIN_WORDS`` at most."""
+    words, counts, text, number = [], [], [], []
+    for at, content in enumerate(texts):
+        _, own, spelled = cut_text(content or "")
+        words += spelled
+        counts += own
+        text += [at] * len(own)
+        number += range(len(own))
+    counts, text, number = (np.array(x, np.int64) for x in (counts, text, number))
+    starts = np.cumsum(counts) - counts
+    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    made = np.full(max(0, len(words) - shingle + 1), shingle, np.uint64)
+    for offset in range(shingle):
+        made = mixed(made * np.uint64(0x9E3779B97F4A7C15) + hashes[offset : len(made) + offset])
+    kept = np.flatnonzero(counts >= MIN_WORDS)
+    sizes = counts[kept] - shingle + 1
+    which = np.repeat(np.arange(len(kept)), sizes)
+    at = np.repeat(starts[kept], sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat = made[at]
+    order = np.lexsort((flat, which))
+    flat, which = flat[order], which[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (which[1:] != which[:-1])
+    flat, which = flat[new], which[new]
+    return Paragraphs(text[kept], number[kept], flat, np.searchsorted(which, np.arange(len(kept))))
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts in lists of about ``CHUNK_CHARS``, each with the place of its first."""
+    first, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHUNK_CHARS or at == len(texts) - 1:
+            yield first, texts[first : at + 1]
+            first, size = at + 1, 0
+
+
 @functools.cache
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     numbers = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return numbers[:n] | np.uint64(1), numbers[n:]
 
 
-def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """The band hashes of each (non-empty) set, one line a set."""
-    flat = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
+def band_hashes(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The band hashes of each (non-empty) set, one line a set; sets lie end to end in ``flat``."""
     factors, shifts = _permutations(bands * rows)
-    made = np.empty((len(sets), bands), np.uint64)
+    made = np.empty((len(starts), bands), np.uint64)
+    high = flat ^ (flat >> np.uint64(29))
     for band in range(bands):
-        code = np.full(len(sets), band + 1, np.uint64)
+        code = np.full(len(starts), band + 1, np.uint64)
         for at in range(band * rows, (band + 1) * rows):
-            least = np.minimum.reduceat((flat * factors[at] + shifts[at]) ^ (flat >> np.uint64(29)), starts)
+            least = np.minimum.reduceat(high * factors[at] + shifts[at], starts) if len(starts) else code
             code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + least)
         made[:, band] = code
     return made
 
 
-def _paragraph_sets(text: str, shingle: int) -> tuple[list[int], list[np.ndarray]]:
-    """Numbers and shingle sets of the paragraphs that are long enough."""
-    numbers, sets = [], []
-    for number, (start, end) in enumerate(paragraphs_of(text)):
-        part = text[start:end]
-        if len(part.split()) >= MIN_WORDS:
-            numbers.append(number)
-            sets.append(shingle_set(part, shingle))
-    return numbers, sets
-
-
 FOUND = "row bigint, doc_id bigint, number int, class bigint, size int, tokens array<bigint>, bands array<bigint>"
 
 
@@ -128,36 +187,52 @@ def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int)
     n_buckets = bucket_count(n_bands)
 
     def owned_of(batch: pa.RecordBatch) -> Iterator[Owned]:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            _, sets = _paragraph_sets(text.as_py(), shingle)
-            codes = np.unique(band_hashes(sets, bands, rows)) if sets else np.empty(0, np.uint64)
-            yield row, len(codes), codes
+        owners = batch.column(0).to_pylist()
+        for first, chunk in _chunks(batch.column(1).to_pylist()):
+            found = paragraph_sets(chunk, shingle)
+            codes = band_hashes(found.flat, found.starts, bands, rows)
+            cuts = np.searchsorted(found.text, np.arange(len(chunk) + 1))
+            for at in range(len(chunk)):
+                own = np.unique(codes[cuts[at] : cuts[at + 1]])
+                yield owners[first + at], len(own), own
 
     shared = shared_hashes(texts.select("row", "text"), owned_of, n_bands)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            owners, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
-            for at, (row, doc, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                numbers, sets = _paragraph_sets(text, shingle)
-                if not sets:
-                    continue
-                names = token_names(band_hashes(sets, bands, rows).reshape(-1), n_buckets).reshape(-1, bands)
-                hit = np.isin(names, lists[at].values.to_numpy())
-                for k in np.flatnonzero(hit.any(axis=1)):
-                    tokens = sets[k].view(np.int64)
-                    made.append((row, doc, numbers[k], set_class(sets[k]), len(tokens), tokens, names[k][hit[k]]))
-            if made:
-                columns = zip(*made, strict=True)
+            for first, chunk in _chunks(batch.column(2).to_pylist()):
+                made = paragraph_sets(chunk, shingle)
+                codes = band_hashes(made.flat, made.starts, bands, rows)
+                names = token_names(codes.reshape(-1), n_buckets).reshape(-1, bands)
+                cuts = np.searchsorted(made.text, np.arange(len(chunk) + 1))
+                hit = np.zeros(names.shape, bool)
+                for at in range(len(chunk)):
+                    own = slice(cuts[at], cuts[at + 1])
+                    hit[own] = np.isin(names[own], lists[first + at].values.to_numpy())
+                kept = np.flatnonzero(hit.any(axis=1))
+                sizes = made.sizes()
+                inside = np.repeat(hit.any(axis=1), sizes)
+                at = made.text[kept] + first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, _FOUND_SCHEMA, strict=True)], schema=_FOUND_SCHEMA
+                    [
+                        pa.array(owners[at]), pa.array(docs[at]), pa.array(made.number[kept].astype(np.int32)),
+                        pa.array(made.classes()[kept]), pa.array(sizes[kept].astype(np.int32)),
+                        _lists(made.flat[inside].view(np.int64), sizes[kept]),
+                        _lists(names[kept][hit[kept]], hit[kept].sum(axis=1)),
+                    ],
+                    schema=_FOUND_SCHEMA,
                 )
 
     met = texts.join(shared.select(F.col("owner").alias("row"), F.col("tokens").alias("bands")), "row")
     return met.select("row", "doc_id", "text", "bands").mapInArrow(found, FOUND)
 
 
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+
+
 _FOUND_SCHEMA = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int32()), ("class", pa.int64()),
     ("size", pa.int32()), ("tokens", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
@@ -190,10 +265,10 @@ def repeated_paragraphs(
     return rooted.join(spread.where("first_doc < last_doc").drop("last_doc"), "root")
 
 
-def passages(bounds: list[tuple[int, int]], words: list[int], repeated: set[int], min_run: int) -> set[int]:
+def passages(words: list[int], repeated: set[int], min_run: int) -> set[int]:
     """Repeated paragraphs in runs of ``min_run`` words or more; short paragraphs do not end a run."""
     taken, run, n_words = set(), [], 0
-    for number in [*range(len(bounds)), None]:
+    for number in [*range(len(words)), None]:
         if number is not None and number in repeated:
             run.append(number)
             n_words += words[number]
@@ -207,18 +282,16 @@ def _without(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Rec
     for batch in batches:
         names = batch.schema.names
         texts, numbers = (batch.column(names.index(n)) for n in ("__text", "__numbers"))
-        kept, counts, removed = [], [], []
+        kept, removed = [], []
         for text, repeated in zip(texts, numbers, strict=True):
             text, repeated = text.as_py(), set(repeated.as_py() or ())
-            bounds = paragraphs_of(text) if text else []
-            words = [len(text[a:b].split()) for a, b in bounds] if repeated else []
-            gone = passages(bounds, words, repeated, min_run) if repeated else set()
-            counts.append(len(bounds))
+            bounds, words, _ = cut_text(text) if repeated else ([], [], [])
+            gone = passages(words, repeated, min_run)
             removed.append(len(gone))
             kept.append("".join(text[a:b] for k, (a, b) in enumerate(bounds) if k not in gone) if gone else text)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-2], pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
-            names=[*names[:-2], "__kept", "__paragraphs", "__removed"],
+            [*batch.columns[:-2], pa.array(kept, pa.string()), pa.array(removed, pa.int64())],
+            names=[*names[:-2], "__kept", "__removed"],
         )
 
 
@@ -231,7 +304,7 @@ def remove_repeated_paragraphs(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Columns of ``docs`` with the text cut, and ``__paragraphs, __removed, __first_docs``.
+    """Columns of ``docs`` with the text cut, and ``__removed, __first_docs``.
 
     Repeated paragraphs go where ``min_run`` words or more of them lie together: a
     stock phrase alone stays. ``__first_docs`` lists the documents that keep what
@@ -251,9 +324,9 @@ def remove_repeated_paragraphs(
     )
     kinds = dict(joined.dtypes)
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in joined.columns[:-2])
-    cut = joined.mapInArrow(lambda batches: _without(batches, min_run), f"{ddl}, __kept string, __paragraphs bigint, __removed bigint")
+    cut = joined.mapInArrow(lambda batches: _without(batches, min_run), f"{ddl}, __kept string, __removed bigint")
     return cut.select(
         *[F.col("__kept").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        "__paragraphs", "__removed",
+        "__removed",
         F.when(F.col("__removed") > 0, F.col("__first_docs")).otherwise(F.array().cast("array<bigint>")).alias("__first_docs"),
     )

@@ -99,7 +99,6 @@ def op6_paragraph_dedup(spark, sf_dir):
     cut = paragraph_dedup.remove_repeated_paragraphs(docs)
     return cut.select(
         "doc_id",
-        F.col("__paragraphs").alias("n_paragraphs"),
         F.col("__removed").alias("n_removed"),
         F.col("__first_docs").alias("first_docs"),
         "text",

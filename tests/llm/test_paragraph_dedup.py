@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from corpora import SCHEMA, components, frame, rows, shingles
 
 from storegrain.llm import paragraph_dedup as P
+from storegrain.llm.jaccard_join import shingle_set
 
 
 def brute(table: list[tuple], min_run: int = 30) -> list[tuple]:
@@ -29,8 +31,8 @@ def brute(table: list[tuple], min_run: int = 30) -> list[tuple]:
     out = []
     for at, row in enumerate(table):
         bounds = P.paragraphs_of(row[1]) if row[1] else []
-        words = [len(row[1][a:b].split()) for a, b in bounds]
-        gone = P.passages(bounds, words, repeated.get(at, set()), min_run)
+        words = [len(row[1][a:b].encode().split()) for a, b in bounds]
+        gone = P.passages(words, repeated.get(at, set()), min_run)
         text = "".join(row[1][a:b] for k, (a, b) in enumerate(bounds) if k not in gone) if gone else row[1]
         out.append((row[0], text, len(gone)))
     return sorted(out, key=str)
@@ -74,15 +76,33 @@ def test_bands_find_similar_pairs():
         one = {chosen.randrange(1 << 60) for _ in range(40)}
         other = set(list(one)[:36]) | {chosen.randrange(1 << 60) for _ in range(4)}
         if 100 * len(one & other) >= 80 * len(one | other):
-            import numpy as np
-
-            codes = P.band_hashes([np.array(sorted(s), np.uint64) for s in (one, other)], bands, rows_)
+            flat = np.array([*sorted(one), *sorted(other)], np.uint64)
+            codes = P.band_hashes(flat, np.array([0, len(one)]), bands, rows_)
             alike += 1
             found += bool((codes[0] == codes[1]).any())
     assert found >= 0.98 * alike > 0
 
 
 def test_a_stock_phrase_stays():
-    bounds = [(0, 1)] * 5
-    assert P.passages(bounds, [9, 9, 3, 20, 9], {0}, 30) == set()
-    assert P.passages(bounds, [9, 9, 3, 20, 9], {1, 3, 4}, 30) == {1, 3, 4}
+    assert P.passages([9, 9, 3, 20, 9], {0}, 30) == set()
+    assert P.passages([9, 9, 3, 20, 9], {1, 3, 4}, 30) == {1, 3, 4}
+
+
+def test_sets_of_many_texts_at_once():
+    """As each paragraph's shingles on their own; with long sentences and texts of few words."""
+    chosen = random.Random(9)
+    texts = [None, "", "few words.", " ".join(f"W{chosen.randrange(50)}" for _ in range(400))]
+    texts += [" ".join(chosen.choice(["ab", "Cd", "e.", "f\n", "g!  "]) for _ in range(chosen.randint(0, 120))) for _ in range(60)]
+    found = P.paragraph_sets(texts, 5)
+    sets = np.split(found.flat, found.starts[1:])
+    wanted = {}
+    for at, text in enumerate(texts):
+        bounds, counts, words = P.cut_text(text or "")
+        assert sum(counts) == len(words) == len((text or "").encode().split())
+        for number, ((a, b), n) in enumerate(zip(bounds, counts, strict=True)):
+            assert len(text[a:b].encode().split()) == n
+            if n >= P.MIN_WORDS:
+                wanted[at, number] = shingle_set(text[a:b], 5)
+    assert list(zip(found.text.tolist(), found.number.tolist(), strict=True)) == list(wanted)
+    assert all(np.array_equal(one, other) for one, other in zip(sets, wanted.values(), strict=True))
+    assert any(len(text or "") > 1000 for text in texts) and len(P.cut_text(texts[3])[0]) > 5
