@@ -36,6 +36,7 @@ ORDERS = ddl({
     "cart_id": "STRING",
     "status": "STRING",
     "date_created": "TIMESTAMP",
+    "extra": "VARIANT",
 })
 
 ORDER_PRODUCTS = ddl({
@@ -43,16 +44,17 @@ ORDER_PRODUCTS = ddl({
     "sku": "STRING",
     "name": "STRING",
     "quantity": "INT",
-    "price": "DECIMAL(18,2)",
+    "price": "DECIMAL(18,4)",
+    "extra": "VARIANT",
 })
 
-# Fees as landed: amounts are text there.
-LANDED_FEES = ddl({
+ORDER_FEES = ddl({
     "order_id": "BIGINT",
     "name": "STRING",
     "type": "STRING",
-    "amount": "STRING",
-    "tax": "STRING",
+    "amount": "DECIMAL(18,4)",
+    "tax": "DECIMAL(18,4)",
+    "extra": "VARIANT",
 })
 
 CART_ITEMS = "ARRAY<STRUCT<name STRING, quantity INT, sku STRING>>"
@@ -78,7 +80,8 @@ class Rule:
     """What a landed row must hold at ``path``.
 
     ``kind`` is ``string``, ``number``, ``whole`` (a number without fraction that
-    fits 64 bits), ``time``, ``text_or_list``, ``array`` or ``object``.  ``required`` says the key must be there, ``nullable`` that a
+    fits 64 bits), ``money`` (a number, or text of one, of at most four places),
+    ``time``, ``text_or_list``, ``array`` or ``object``.  ``required`` says the key must be there, ``nullable`` that a
     JSON null is fine.  ``items`` are the rules for the elements of an array,
     ``members`` those for the keys of an object.
     """
@@ -115,6 +118,29 @@ CUSTOMER_RULES = (
     Rule("date_modified", "time", **OPTIONAL),
 )
 
+ORDER_RULES = (
+    Rule("id", "whole"),
+    Rule("customer_id", "whole", **OPTIONAL),
+    *(Rule(name, "string", **OPTIONAL) for name in ("email", "cart_id", "status")),
+    Rule("date_created", "time", **OPTIONAL),
+)
+
+ORDER_PRODUCT_RULES = (
+    Rule("order_id", "whole"),
+    Rule("sku", "string", **OPTIONAL),
+    Rule("name", "string", **OPTIONAL),
+    Rule("quantity", "whole", **OPTIONAL),
+    Rule("price", "money", **OPTIONAL),
+)
+
+ORDER_FEE_RULES = (
+    Rule("order_id", "whole"),
+    Rule("name", "string", **OPTIONAL),
+    Rule("type", "string", **OPTIONAL),
+    Rule("amount", "money", **OPTIONAL),
+    Rule("tax", "money", **OPTIONAL),
+)
+
 CART_RULES = (
     Rule("id", "string"),
     Rule("customer_id", "whole", **OPTIONAL),

@@ -39,6 +39,9 @@ def _has_kind(value: Column, kind: str) -> Column:
     if kind == "whole":
         number = F.try_variant_get(value, "$", "decimal(38,9)")
         return shape.rlike(NUMBER_SHAPES) & (number == F.try_variant_get(value, "$", "bigint"))
+    if kind == "money":
+        exact = F.try_variant_get(value, "$", "decimal(18,4)")
+        return exact == F.try_variant_get(value, "$", "decimal(38,18)")
     if kind == "time":
         return (shape == "STRING") & read_time(F.try_variant_get(value, "$", "string")).isNotNull()
     # text_or_list: "ARRAY<VOID>" is an empty list

@@ -141,33 +141,47 @@ def stream_field_values(spark: SparkSession, path: str, *, multiline: bool = Tru
     return type_field_values(rows)
 
 
-def _read_list(spark, path, schema, multiline):
-    """Bare JSON arrays (or one object per line); wrong types fail the job."""
-    reader = spark.read.schema(schema).option("multiLine", multiline)
-    return reader.option("mode", "FAILFAST").json(path)
+def list_rows(pages: DataFrame) -> DataFrame:
+    """One VARIANT ``row`` per element of bare JSON arrays, or per object."""
+    listed = F.coalesce(F.try_variant_get("page", "$", "array<variant>"), F.array("page"))
+    return pages.select(F.explode(listed).alias("row"), "file")
 
 
-def read_orders(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    return _read_list(spark, path, schemas.ORDERS, multiline)
+def _typed(columns: str):
+    """A function that types VARIANT rows; the whole object stays in ``extra``."""
+    kinds = [c.split() for c in columns.split(", ")]
 
+    def typed(rows: DataFrame) -> DataFrame:
+        return rows.select(*[
+            F.col("row").alias(name) if name == "extra"
+            else _time(name).alias(name) if kind == "TIMESTAMP"
+            else F.try_variant_get("row", f"$.{name}", kind).alias(name)
+            for name, kind in kinds
+        ])
 
-def read_order_products(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    return _read_list(spark, path, schemas.ORDER_PRODUCTS, multiline)
+    return typed
 
 
-def read_order_fees(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame:
-    """Fees; amounts arrive as text and are typed as decimals here.
+def _read_list(spark, path, columns, rules, multiline, mode, what):
+    """Bare JSON arrays, or one object per line; modes as :func:`read_customers`."""
+    pages = read_pages(spark, path, multiline=multiline, strict=mode == FAIL)
+    return _checked_rows(list_rows(pages), mode, rules, _typed(columns), what)
 
-    Four places are kept; an amount with more, or none at all, fails the job.
-    """
-    fees = _read_list(spark, path, schemas.LANDED_FEES, multiline)
-    for name in ("amount", "tax"):
-        exact = F.expr(f"try_cast({name} as decimal(18,4))")
-        whole = F.expr(f"try_cast({name} as decimal(38,18))")
-        sound = F.col(name).isNull() | F.coalesce(exact == whole, F.lit(False))
-        fees = fees.where(F.assert_true(sound, F.concat(F.lit(f"bad fee {name}: "), F.col(name))).isNull())
-        fees = fees.withColumn(name, exact)
-    return fees
+
+def read_orders(spark: SparkSession, path: str, *, multiline: bool = True, mode: str = FAIL):
+    """Orders; keys without a column of their own are in ``extra``."""
+    return _read_list(spark, path, schemas.ORDERS, schemas.ORDER_RULES, multiline, mode, "order")
+
+
+def read_order_products(spark: SparkSession, path: str, *, multiline: bool = True, mode: str = FAIL):
+    return _read_list(spark, path, schemas.ORDER_PRODUCTS, schemas.ORDER_PRODUCT_RULES,
+                      multiline, mode, "order product")
+
+
+def read_order_fees(spark: SparkSession, path: str, *, multiline: bool = True, mode: str = FAIL):
+    """Fees; amounts arrive as text and must be exact at four places."""
+    return _read_list(spark, path, schemas.ORDER_FEES, schemas.ORDER_FEE_RULES,
+                      multiline, mode, "order fee")
 
 
 def type_carts(rows: DataFrame) -> DataFrame:

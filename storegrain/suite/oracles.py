@@ -196,6 +196,17 @@ ORACLES: dict[str, str] = {
     + """ SELECT o.id, o.customer_id, p.sku, CAST(p.quantity AS BIGINT) AS quantity,
                CAST(p.price AS DOUBLE) AS price
         FROM shop_orders o JOIN products p ON p.order_id = o.id""",
+    "landed_orders_rejects": """
+        SELECT CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 0.5 ELSE o_orderkey END::DOUBLE AS id,
+               concat_ws('; ', CASE WHEN o_orderkey % 11 = 0 THEN 'id: whole' END,
+                         CASE WHEN o_orderkey % 13 = 0 THEN 'date_created: time' END) AS problems,
+               CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total
+        FROM orders""",
+    "landed_carts_rejects": """
+        SELECT o_orderkey AS n,
+               concat_ws('; ', CASE WHEN o_orderkey % 3 = 0 THEN 'id: string' END,
+                         CASE WHEN o_orderkey % 5 = 0 THEN 'line_items: object' END) AS problems
+        FROM orders WHERE o_orderstatus = 'O'""",
     "orders_newest_top": """
         SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place
         FROM orders WHERE o_custkey > 0 QUALIFY place <= 100""",

@@ -542,6 +542,40 @@ def landed_orders(spark, sf_dir):
     )
 
 
+@query
+def landed_orders_rejects(spark, sf_dir):
+    """Rows with a broken key are set aside; an unlisted key of a sound one is read from ``extra``."""
+    held = tables.orders(spark, sf_dir).select(
+        F.when(F.col("id") % 11 == 0, F.col("id") + 0.5).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("id") % 13 == 0, "noon").otherwise(F.col("date_created").cast("string")).alias("date_created"),
+        "total",
+    )
+    sound, rejects = landed.read_orders(spark, _land_rows(held, "orders"), multiline=False, mode="quarantine")
+    kept = sound.select(F.col("id").cast("double").alias("id"), F.lit("").alias("problems"),
+                        F.try_variant_get("extra", "$.total", "double").alias("total"))
+    return kept.unionByName(rejects.select(
+        F.try_variant_get("row", "$.id", "double").alias("id"),
+        F.array_join("problems", "; ").alias("problems"),
+        F.try_variant_get("row", "$.total", "double").alias("total"),
+    ))
+
+
+@query
+def landed_carts_rejects(spark, sf_dir):
+    """Carts without an id, or with a quantity in words, are set aside."""
+    n = F.regexp_extract("id", "[0-9]+", 0).cast("bigint")
+    item = F.struct(F.lit("x").alias("name"), F.when(n % 5 == 0, "two").alias("quantity"))
+    row = F.struct(F.when(n % 3 > 0, F.col("id")).alias("id"), n.alias("n"),
+                   F.struct(F.array(item).alias("physical_items")).alias("line_items"))
+    lines = tables.carts(spark, sf_dir).select(F.to_json(F.struct(row.alias("data"))).alias("value"))
+    path = tables.land(lines, "carts")
+    sound, rejects = landed.read_carts(spark, path, multiline=False, mode="quarantine")
+    kept = sound.select(F.try_variant_get("extra", "$.n", "bigint").alias("n"), F.lit("").alias("problems"))
+    return kept.unionByName(rejects.select(
+        F.try_variant_get("row", "$.n", "bigint").alias("n"), F.array_join("problems", "; ").alias("problems")
+    ))
+
+
 @query
 def landed_order_products(spark, sf_dir):
     path = _land_rows(tables.products(spark, sf_dir), "products")

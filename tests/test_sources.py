@@ -24,6 +24,7 @@ from storegrain.operators.fields import (
     field_violations,
     registry_entries,
 )
+from storegrain.operators.orders import with_products
 from storegrain.plans.registry import publish_registry
 from storegrain.plans.status import run_report
 
@@ -135,21 +136,28 @@ def test_lines_and_files_read_alike(spark, tmp_path):
 
 
 def test_orders_products_and_fees(spark, tmp_path):
-    orders = put(tmp_path / "o", "1.json", [{"id": 1, "status": "complete", "date_created": "2026-01-01T00:00:00Z"}])
-    row = landed.read_orders(spark, orders).head()
-    assert (row.id, row.status, row.customer_id, row.date_created.year) == (1, "complete", None, 2026)
-    products = put(tmp_path / "p", "1.json", [{"order_id": 100, "sku": "A", "price": "9.50", "quantity": 2}])
-    assert landed.read_order_products(spark, products).head().sku == "A"
+    given = {"id": 6, "status": "salted", "date_created": "2018-04-09T12:00:00Z", "crew": {"size": 4}}
+    orders = put(tmp_path / "o", "1.json", [given, {"id": 7}])
+    rows = {r.id: r for r in landed.read_orders(spark, orders).collect()}
+    assert (rows[6].status, rows[6].customer_id, rows[6].date_created.year) == ("salted", None, 2018)
+    assert rows[6].extra.toPython() == given and rows[7].extra.toPython() == {"id": 7}
+    product = {"order_id": 6, "sku": "H/40", "price": "3.125", "quantity": 9, "weights": [1, 2]}
+    products = landed.read_order_products(spark, put(tmp_path / "p", "1.json", [product]))
+    nested = with_products(landed.read_orders(spark, orders), products).where("id = 6").head()
+    assert [(p.sku, str(p.price), p.extra.toPython()["weights"]) for p in nested.products] == [("H/40", "3.1250", [1, 2])]
     fee = {"order_id": 77, "name": "Ice", "type": "storage", "amount": "5.1250", "tax": "0"}
     fees = put(tmp_path / "f", "1.json", [fee])
-    assert [str(x) for x in landed.read_order_fees(spark, fees).head()] == ["77", "Ice", "storage", "5.1250", "0.0000"]
+    assert [str(x) for x in landed.read_order_fees(spark, fees).drop("extra").head()] == ["77", "Ice", "storage", "5.1250", "0.0000"]
     for bad in ("5.12501", "five", "1e20"):
         path = put(tmp_path / "bad", "1.json", [{**fee, "amount": bad}])
-        with pytest.raises(JOB_FAILED, match="bad fee amount"):
+        with pytest.raises(JOB_FAILED, match="bad order fee"):
             landed.read_order_fees(spark, path).collect()
-    wrong = put(tmp_path / "w", "1.json", [{"id": "x"}])
-    with pytest.raises(JOB_FAILED):
-        landed.read_orders(spark, wrong).collect()
+    for wrong in ({"id": "x"}, {"id": 1, "date_created": "noon"}, {"id": 1, "status": 5}, {"status": "x"}):
+        path = put(tmp_path / "w", "1.json", [wrong, {"id": 2}])
+        with pytest.raises(JOB_FAILED, match="bad order"):
+            landed.read_orders(spark, path).collect()
+        sound, rejects = landed.read_orders(spark, path, mode="quarantine")
+        assert [r.id for r in sound.collect()] == [2] and rejects.count() == 1
 
 
 def test_carts(spark, tmp_path):
