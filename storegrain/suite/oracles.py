@@ -93,8 +93,10 @@ given AS (
   SELECT *, CASE WHEN seq % 20 = 1 THEN 'abc' || CAST(customer_id AS VARCHAR)
                  WHEN seq % 20 = 3 THEN '-' || CAST(customer_id AS VARCHAR)
                  WHEN seq % 20 = 5 THEN CAST(customer_id AS VARCHAR) || '.0'
+                 WHEN seq % 20 = 7 THEN CAST(customer_id AS VARCHAR) || 'd'
+                 WHEN seq % 20 = 9 THEN CAST(customer_id AS VARCHAR) || 'f'
                  ELSE CAST(customer_id AS VARCHAR) END AS text_id,
-         seq % 20 NOT IN (1, 3) AND customer_id > 0 AS usable
+         seq % 20 NOT IN (1, 3, 7, 9) AND customer_id > 0 AS usable
   FROM vals
 )"""
 
@@ -447,4 +449,26 @@ ORACLES: dict[str, str] = {
                                        ORDER BY ts DESC, seq DESC) AS rn
           FROM vals WHERE customer_id > 0
         ) WHERE rn = 1""",
+    "feed_segment_two_fields": with_tables(VALS)
+    + """ SELECT DISTINCT name AS field, customer_id AS id FROM vals
+        WHERE customer_id > 0
+          AND ((name = 'purchase' AND value = '7') OR (name = 'click' AND value = '3'))""",
+    "feed_export_new_checkpoint": with_tables(CUSTOMERS, VALS, SEGMENT)
+    + """ SELECT CAST(id AS VARCHAR) AS "Customer ID", email AS "Email"
+        FROM customers WHERE id IN (SELECT id FROM segment)""",
+    "feed_values_two_sources": with_tables(VALS)
+    + """ SELECT customer_id, name, value FROM (
+          SELECT *, row_number() OVER (PARTITION BY customer_id, name
+                                       ORDER BY ts DESC, seq DESC) AS rn
+          FROM vals WHERE customer_id > 0
+        ) WHERE rn = 1""",
+    "export_increment_custom_id": with_tables(CUSTOMERS, VALS, SEGMENT)
+    + """ SELECT CAST(id AS VARCHAR) AS "Customer ID", phone AS "Phone",
+               CAST(0 AS BIGINT) AS new_in_third
+        FROM customers WHERE id IN (SELECT id FROM segment)""",
+    "registry_file": """
+        SELECT 'part ' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'number' END AS type,
+               CASE WHEN p_size % 3 = 0 THEN p_brand || '|' || p_type END AS options,
+               CAST(0 AS BIGINT) AS position
+        FROM part""",
 }

@@ -18,7 +18,7 @@ from storegrain.plans.registry import publish_registry
 from storegrain.plans.status import run_report
 from storegrain.sources import landed
 from storegrain.sources.csv_files import column_values, read_csv, write_csv
-from storegrain.sources.registry import read_registry, registry_problems
+from storegrain.sources.registry import read_registry, read_registry_file, registry_problems
 from storegrain.sources.run_states import parse_run_states
 from storegrain.sources.value_table import compact, read_values
 from storegrain.streaming.export_feed import run_export_feed
@@ -422,7 +422,12 @@ def field_values_pivot(spark, sf_dir):
 
 @query
 def field_value_violations(spark, sf_dir):
-    found = fields.field_violations(tables.values(spark, sf_dir), tables.registry(spark))
+    """The registry names ``purchase`` twice; its first entry counts."""
+    once = tables.registry(spark).withColumn("position", F.lit(0))
+    again = once.where("name = 'purchase'").withColumns(
+        {"position": F.lit(1), "type": F.lit("string"), "options": F.array(F.lit("none"))}
+    )
+    found = fields.field_violations(tables.values(spark, sf_dir), once.unionByName(again))
     return found.select("seq", "customer_id", "name", "value", "violation")
 
 
@@ -443,6 +448,8 @@ def _text_id(rows: DataFrame) -> DataFrame:
         F.when(F.col("seq") % 20 == 1, F.concat(F.lit("abc"), given))
         .when(F.col("seq") % 20 == 3, F.concat(F.lit("-"), given))
         .when(F.col("seq") % 20 == 5, F.concat(given, F.lit(".0")))
+        .when(F.col("seq") % 20 == 7, F.concat(given, F.lit("d")))
+        .when(F.col("seq") % 20 == 9, F.concat(given, F.lit("f")))
         .otherwise(given)
     )
     return rows.withColumn("customer_id", odd)
@@ -680,3 +687,77 @@ def feed_values_current(spark, sf_dir):
         if number == 0:
             compact(spark, root)
     return read_values(spark, root)
+
+
+@query
+def feed_segment_two_fields(spark, sf_dir):
+    """Two fields scanned under one key: each scan is its own."""
+    pages, root = new_folder(spark, "pages"), new_folder(spark, "scans")
+    tables.land_more(tables.value_pages(tables.values(spark, sf_dir)), pages)
+    out = None
+    for field, value in ((FIELD, VALUE), ("click", "3")):
+        ids = collect_segment(spark, pages, root, "Key", field, value, multiline=False)
+        part = ids.select(F.lit(field).alias("field"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def feed_export_new_checkpoint(spark, sf_dir):
+    """A second feed with a checkpoint of its own adds to the base and overwrites nothing."""
+    out = new_folder(spark, "exports")
+    for wave in _two_waves(tables.values(spark, sf_dir)):
+        pages = new_folder(spark, "pages")
+        tables.land_more(tables.value_pages(wave), pages)
+        run_export_feed(spark, pages, tables.customers(spark, sf_dir), checkpoint=new_folder(spark, "feed"),
+                        key="seven", field=FIELD, value=VALUE, columns="Email:email",
+                        out_dir=out, run_date=RUN_DATE, multiline=False)
+    return read_csv(spark, f"{out}/seven/base").select("Customer ID", "Email")
+
+
+@query
+def feed_values_two_sources(spark, sf_dir):
+    """Two feeds with checkpoints of their own; what arrives later wins, folded or not."""
+    root = new_folder(spark, "values")
+    for number, wave in enumerate(_two_waves(tables.values(spark, sf_dir))):
+        landing = new_folder(spark, "changes")
+        tables.land_more(wave.select(
+            F.to_json(F.struct(F.col("customer_id").cast("string").alias("customer_id"),
+                               "name", "value", F.col("ts").cast("string").alias("ts"), "seq"))
+            .alias("value")
+        ), landing)
+        run_value_feed(stream_changes(spark, landing), root, new_folder(spark, "feed"))
+        if number == 0:
+            compact(spark, root)
+    return read_values(spark, root)
+
+
+@query
+def export_increment_custom_id(spark, sf_dir):
+    """Columns that use the name of the id column for something else: the base keeps the id."""
+    held = tables.values(spark, sf_dir)
+    common = dict(
+        customers=tables.customers(spark, sf_dir), key="custom", field=FIELD, value=VALUE,
+        columns="Customer ID:email,Phone:phone", out_dir=new_folder(spark, "exports"),
+        run_date=RUN_DATE, write=True,
+    )
+    first = export_segment(held.where("seq % 2 = 0"), run="first", **common)
+    second = export_segment(held, run="second", incremental=True, **common)
+    third = export_segment(held, run="third", incremental=True, **common)
+    found = [read_csv(spark, run.base_path) for run in (first, second, third) if run.written]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("Customer ID", "Phone").withColumn("new_in_third", F.lit(third.fetched).cast("bigint"))
+
+
+@query
+def registry_file(spark, sf_dir):
+    """A registry file of one entry an object, read back with each entry's place."""
+    lines = tables.table(spark, sf_dir, "part").select(F.to_json(F.struct(
+        F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"),
+        F.when(F.col("p_size") % 2 == 0, "number").alias("type"),
+        F.when(F.col("p_size") % 3 == 0, F.array("p_brand", "p_type")).alias("options"),
+    )).alias("value"))
+    rows = read_registry_file(spark, tables.land(lines, "registry"), multiline=False)
+    return _flat_options(rows).select("name", "type", "options", F.col("position").cast("bigint").alias("position"))
