@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import duckdb
 import pytest
 from corpora import SCHEMA, components, frame, rows, shingles
 
@@ -63,3 +64,14 @@ def test_packing_counts_the_tokens_of_what_is_left(spark):
     packed = corpus_pipeline.pack_batches(spark, docs, SF_DIR)
     wanted = token_counts.count_tokens(docs, path)
     assert sorted(packed.select("doc_id", "n_tokens").collect()) == sorted(wanted.select("doc_id", "n_tokens").collect())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    wanted = db.execute(queries.ORACLES[name])
+    columns = [d[0] for d in wanted.description]
+    got = queries.REGISTERED[name](spark, SF_DIR).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(wanted.fetchall())
