@@ -19,7 +19,7 @@ from storegrain.operators.keys import (
     top_n,
     top_n_of,
 )
-from storegrain.operators.nesting import attach, nest, nest_and_attach, part_column
+from storegrain.operators.nesting import attach, nest_and_attach, part_column
 from storegrain.workspace import stage
 
 # How many latest orders a lookup returns unless told otherwise.

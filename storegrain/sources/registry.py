@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storegrain import schemas
 from storegrain.sources.checks import require
 from storegrain.sources.landed import read_pages
-from storegrain.workspace import empty_table, finished_folders, path_exists
+from storegrain.workspace import empty_table, finished_folders, path_exists, stage
 
 VERSION = "version="
 
@@ -91,7 +91,7 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
 def save_registry(registry: DataFrame, root: str) -> bool:
     """Write ``registry`` as the next version; False if it equals the newest one."""
     spark = registry.sparkSession
-    wanted = require_sound(registry.select(*schemas.REGISTRY_COLUMNS))
+    wanted = stage(require_sound(registry.select(*schemas.REGISTRY_COLUMNS)), "registry")
     versions = _versions(spark, root)
     if versions and same_rows(wanted, read_registry(spark, root)):
         return False

@@ -18,20 +18,28 @@ from storegrain.workspace import list_folder
 # How a state file is named.
 PREFIX, SUFFIX = ".progress-", ".json"
 
+# A state file lists the ids of its run, so few are held at once.
+FILES_AT_ONCE = 32
+
 
 def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add each file's text; a file that vanished meanwhile is left out."""
     from pyarrow import fs
 
     for batch in batches:
+        rows = []
         for row in batch.to_pylist():
             try:
                 system, at = fs.FileSystem.from_uri(row.pop("path"))
                 with system.open_input_stream(at) as opened:
-                    row["text"] = opened.read().decode("utf-8")
+                    rows.append(row | {"text": opened.read().decode("utf-8")})
             except FileNotFoundError:
                 continue
-            yield pa.RecordBatch.from_pylist([row])
+            if len(rows) == FILES_AT_ONCE:
+                yield pa.RecordBatch.from_pylist(rows)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows)
 
 
 def parse_run_states(files: DataFrame) -> DataFrame:
