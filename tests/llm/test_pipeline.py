@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 import duckdb
+import public_tokenizers
 import pytest
+import test_decontaminate
+import test_paragraph_dedup
 from corpora import SCHEMA, components, frame, rows, shingles
 
-from storegrain.llm import queries, token_counts
+from storegrain.llm import queries, token_counts, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 NUMBERS = range(1, 11)
@@ -57,8 +60,6 @@ def test_stages_take_awkward_and_empty_tables(spark, stage):
 
 
 def test_packing_counts_the_tokens_of_what_is_left(spark):
-    import public_tokenizers
-
     docs = frame(spark).where("doc_id IS NOT NULL")
     path = public_tokenizers.path(queries.TOKENIZER)
     packed = corpus_pipeline.pack_batches(spark, docs, SF_DIR)
@@ -75,3 +76,44 @@ def test_queries_match_their_sql(spark, name):
     columns = [d[0] for d in wanted.description]
     got = queries.REGISTERED[name](spark, SF_DIR).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(wanted.fetchall())
+
+
+def test_run_gives_what_plain_python_gives(spark, tmp_path):
+    """All stages one after the other on a table of awkward rows, each computed here by brute force."""
+    table = [(r[0], f"{r[1]} Horrid vile words." if r[0] and r[0] % 6 == 0 and r[1] else r[1], *r[2:]) for r in rows(4)]
+    spark.createDataFrame(table, SCHEMA).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = sorted({r[0] for r in table if r[0] is not None})
+    labels = spark.createDataFrame([(i, i % 2, int(i % 6 == 0)) for i in ids], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark = [(k, " ".join((table[k][1] or "").split(" ")[3:20])) for k in (5, 9, 20, 42, 55)]
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    chain = toxicity.train_chain(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    features = toxicity.WordFeatures(chain.known)
+    odds = chain.probabilities([features.of_text(r[1]) for r in table])[:, 1]
+    left = [r for r, p in zip(table, odds, strict=True) if p < 0.5]
+    assert len(left) < len(table)
+
+    sets = [shingles(r[1]) for r in left]
+    roots = components(sets)
+    least = {}
+    for r, root in zip(left, roots, strict=True):
+        if r[0] is not None:
+            least[root] = min(least.get(root, r[0]), r[0])
+    gone = {r[0] for r, s, root in zip(left, sets, roots, strict=True) if s and r[0] is not None and r[0] != least[root]}
+    kept = {}
+    for k, r in enumerate(left):
+        if r[0] not in gone:
+            kept.setdefault((r[0], r[1]) if r[0] is not None else k, r)
+    assert len(kept) < len(left)
+
+    cut = test_paragraph_dedup.brute(list(kept.values()))
+    clean = [(doc, text) for doc, text, _ in cut
+             if not any(hit for _, _, hit, _ in test_decontaminate.brute([(doc, text)], benchmark))]
+    assert any(n for *_, n in cut) and len(clean) < len(cut)
+
+    tokenizer = token_counts.load_tokenizer(public_tokenizers.path(queries.TOKENIZER))
+    wanted = sorted(((doc, len(tokenizer.encode(text or "", add_special_tokens=False).ids)) for doc, text in clean), key=str)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in packed), key=str) == wanted
+    assert all(r.padding == r.bound - r.n_tokens >= 0 for r in packed)
