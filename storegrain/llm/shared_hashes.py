@@ -22,7 +22,7 @@ FP_BITS = 40
 FP_BYTES = FP_BITS // 8
 FP_MASK = np.uint64((1 << FP_BITS) - 1)
 BUCKET_ENTRIES = 3_000_000
-FLUSH_ENTRIES = 2_000_000
+FLUSH_ENTRIES = 600_000
 PACKED = "bucket int, owners binary, sizes binary, runs binary, tokens binary, seen binary"
 
 #: owner, size of its set, its distinct hashes
@@ -72,7 +72,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _flushed(owned: list[Owned], n_buckets: int) -> pa.RecordBatch:
     owners = np.repeat(np.array([o for o, _, _ in owned], np.int64), [len(h) for *_, h in owned])
-    sizes = np.repeat(np.array([n for _, n, _ in owned], np.int64), [len(h) for *_, h in owned])
+    sizes = np.repeat(np.array([n for _, n, _ in owned], np.int32), [len(h) for *_, h in owned])
     names = token_names(np.concatenate([h for *_, h in owned]), n_buckets)
     buckets = names >> FP_BITS
     order = np.argsort(buckets, kind="stable")
@@ -110,7 +110,7 @@ def _unpacked(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(b"".join(_column(table, "tokens")), np.uint8).reshape(-1, width)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :width] = raw
-    return owners, sizes, runs, wide.view("<u8").reshape(-1).astype(np.int64)
+    return owners, sizes, runs, wide.view("<i8").reshape(-1)
 
 
 def _shared(table: pa.Table, n_parts: int) -> pa.Table:
@@ -119,14 +119,17 @@ def _shared(table: pa.Table, n_parts: int) -> pa.Table:
     owners, sizes, runs, tokens = _unpacked(table, FP_BYTES)
     first = np.zeros(len(owners), bool)
     first[np.unique(owners, return_index=True)[1]] = True
-    kept = np.repeat(first, runs)
-    owners, sizes, tokens = np.repeat(owners, runs)[kept], np.repeat(sizes, runs)[kept], tokens[kept]
+    if not first.all():
+        tokens = tokens[np.repeat(first, runs)]
+        owners, sizes, runs = owners[first], sizes[first], runs[first]
     order = np.argsort(tokens)
-    starts, counts = _runs(tokens[order])
-    seen = np.empty(len(tokens), np.int64)
+    counts = _runs(tokens[order])[1].astype(np.int32)
+    seen = np.empty(len(tokens), np.int32)
     seen[order] = np.repeat(counts, counts)
+    del order, counts
     kept = seen > 1
-    owners, sizes, tokens, seen = owners[kept], sizes[kept], tokens[kept] | (bucket << FP_BITS), seen[kept]
+    tokens, seen = tokens[kept] | (bucket << FP_BITS), seen[kept]
+    owners, sizes = np.repeat(owners, runs)[kept], np.repeat(sizes, runs)[kept]
     parts = (owners.view(np.uint64) >> np.uint64(33)).astype(np.int64) % n_parts
     order = np.lexsort((owners, parts))
     rows = list(_packed(parts[order], owners[order], sizes[order], tokens[order], seen[order])) if len(order) else []

@@ -43,7 +43,7 @@ def features_of_word(word: str) -> set[int]:
 class WordFeatures(dict):
     """Features of each word, out of ``known`` if given; starts anew when full."""
 
-    LIMIT = 300_000
+    LIMIT = 60_000
 
     def __init__(self, known: dict[int, int] | None = None):
         super().__init__()
@@ -60,7 +60,7 @@ class WordFeatures(dict):
 
     def of_text(self, text: str | None) -> np.ndarray:
         words = set(WORD.findall((text or "").lower()))
-        return np.array(sorted(frozenset().union(*map(self.__getitem__, words))), np.int64)
+        return np.array(sorted(frozenset().union(*map(self.__getitem__, words))), np.int32)
 
 
 @dataclass
@@ -120,18 +120,20 @@ class Chain:
 
 def telling_features(rows: list[np.ndarray], labels: np.ndarray, most: int, least_rows: int = 4) -> list[int]:
     """Features whose presence says most about any category, by the size of the z-score."""
-    holder = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, place = np.unique(np.concatenate(rows), return_inverse=True)
-    held = np.bincount(place, minlength=len(names))
+    held = np.zeros(1 << SPACE_BITS, np.int32)
+    ones = np.zeros((labels.shape[1], len(held)), np.int32)
+    for row, values in zip(rows, labels, strict=True):
+        held[row] += 1
+        for column in np.flatnonzero(values):
+            ones[column, row] += 1
+    names = np.flatnonzero(held >= least_rows)
     best = np.zeros(len(names))
-    for column in labels.T:
-        share = column.mean()
+    for column, share in enumerate(labels.mean(axis=0)):
         if 0 < share < 1:
-            ones = np.bincount(place, column[holder], len(names))
-            best = np.maximum(best, np.abs(ones - held * share) / np.sqrt(held * share * (1 - share) + 1))
+            expected = held[names] * share
+            best = np.maximum(best, np.abs(ones[column, names] - expected) / np.sqrt(expected * (1 - share) + 1))
     order = np.lexsort((names, -best))
-    chosen = order[(held[order] >= least_rows) & (best[order] > 2)][:most]
-    return names[chosen].tolist()
+    return names[order[best[order] > 2][:most]].tolist()
 
 
 def fit_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...],
@@ -143,7 +145,8 @@ def fit_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, ca
     raw = WordFeatures()
     all_rows = [raw.of_text(text) for text in texts]
     known = {f: k for k, f in enumerate(telling_features(all_rows, labels, most_features))}
-    rows = [np.array([known[f] for f in row.tolist() if f in known], np.int64) for row in all_rows]
+    rows = [np.array([known[f] for f in row.tolist() if f in known], np.int32) for row in all_rows]
+    del all_rows, raw
     n_features, models, outside = max(1, len(known)), [], np.zeros((len(rows), 0))
     for column in labels.T:
         models.append(fit_linear(rows, outside, column, n_features))
