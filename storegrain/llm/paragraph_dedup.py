@@ -1,9 +1,11 @@
 """Near-duplicate paragraphs across documents: MinHash bands, exact Jaccard, components.
 
-A paragraph ends where its own words say so: at the end of a line, and after a
-sentence of eight words or more (short ones go with the next). A passage pasted
-into other surroundings is thus cut as in its source. Sentences of over
-``LONG_SENTENCE`` words are cut after words chosen by hash.
+A paragraph ends where its own words say so, lines or not: places after a word are
+taken in the order of a hash of the two words before them, ends of lines and
+sentences first, each ``MIN_WORDS`` words or more from those taken before. That
+leaves paragraphs of 8 to 15 words, also of short lines, and a passage pasted into
+other surroundings is cut as in its source but for its outermost words. Only the
+last paragraph of a text may be shorter, if a sentence or line ends before it.
 
 Paragraphs of ``MIN_WORDS`` words or more get MinHash bands. Bands that one
 document alone has are left out without shuffling text; paragraphs that collide
@@ -20,7 +22,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +36,9 @@ from storegrain.llm.shared_hashes import Owned, bucket_count, shared_hashes, tok
 from storegrain.workspace import stage
 
 MIN_WORDS = 8
-LONG_SENTENCE = 48
-CUT_MASK = 15
-SENTENCE_END = re.compile(r"[.!?][ \t]+|\n")
-SPACED_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*")
+CUT_ROUNDS = 3
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+STOP = np.isin(np.arange(256), list(b".!?"))
 CHUNK_CHARS = 1 << 20
 
 
@@ -61,39 +61,61 @@ Cut = tuple[list[tuple[int, int]], list[int], list[bytes]]
 
 def cut_text(text: str) -> Cut:
     """Bounds and word counts of the paragraphs, which make up the text, and all words in lower case."""
-    bounds, counts, words = [], [], []
-    start = prev = n_words = 0
-    for end in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
-        if end == prev:
-            continue
-        own = text[prev:end].encode().translate(LOWER).split()
-        last = n_own = len(own)
-        if n_own > LONG_SENTENCE:
-            for at, done in _cuts(text[prev:end], own):
-                bounds.append((start, prev + at))
-                counts.append(n_words + done - (n_own - last))
-                start, n_words, last = prev + at, 0, n_own - done
-        words += own
-        n_words += last
-        if last >= MIN_WORDS or text[end - 1] == "\n":
-            bounds.append((start, end))
-            counts.append(n_words)
-            start, n_words = end, 0
-        prev = end
-    if start < len(text):
-        bounds.append((start, len(text)))
-        counts.append(n_words)
-    return bounds, counts, words
-
-
-def _cuts(sentence: str, words: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Where a long sentence is cut, in characters and words: after words chosen by hash, ``MIN_WORDS`` apart at least."""
-    hashes, since = word_hashes(), 0
-    for number, (word, match) in enumerate(zip(words, SPACED_WORD.finditer(sentence), strict=True), 1):
-        since += 1
-        if since >= MIN_WORDS and hashes[word] & CUT_MASK == 0:
-            yield match.end(), number
-            since = 0
+    if not text:
+        return [], [], []
+    data = text.encode()
+    words, _, starts, cuts = cut_words(data, np.zeros(1, np.int64))
+    chars = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    at = [0, *(chars[starts[cuts]] - 1).tolist(), len(text)]
+    counts = np.diff(np.concatenate([[0], cuts, [len(words)]])).tolist()
+    return list(zip(at[:-1], at[1:], strict=True)), counts, words
+
+
+def cut_words(data: bytes, texts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts that start at ``texts`` in ``data``, their hashes and starts, and the words that start a further paragraph of a text."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[raw], [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    words = data.translate(LOWER).split()
+    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    lines = np.append(0, np.cumsum(raw == 10, dtype=np.int32))
+    stop = STOP[raw[ends - 1]]
+    stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+    rank = np.zeros(len(words) + 1, np.uint64)
+    rank[2:] = mixed(hashes[1:] * np.uint64(0x9E3779B97F4A7C15) + hashes[:-1]) >> np.uint64(2) | np.uint64(1)
+    rank[1:][stop] |= np.uint64(1 << 63)
+    first = np.searchsorted(starts, texts)
+    near = (first[:, None] + np.arange(MIN_WORDS)).ravel()
+    rank[near[near <= len(words)]] = 0
+    last = (np.append(first[1:], len(words))[:, None] - np.arange(MIN_WORDS)).ravel()
+    last = last[last >= 0]
+    rank[last[rank[last] < np.uint64(1 << 63)]] = 0
+    rank[-1] = 0
+    rank[first] = 0
+    return words, hashes, starts, _chosen(rank)
+
+
+def _chosen(rank: np.ndarray) -> np.ndarray:
+    """Places in order of their rank, the first of equal ones first, ``MIN_WORDS`` apart at least; rank 0 is none."""
+    reach = MIN_WORDS - 1
+    left = np.pad(rank, reach)
+    chosen = np.zeros(len(left), bool)
+    around = np.arange(-reach, reach + 1)
+    for _ in range(CUT_ROUNDS):
+        most, width = left, 1
+        while width < reach:
+            step = min(width, reach - width)
+            most = np.maximum(most[:-step], most[step:])
+            width += step
+        own = left[reach:-reach]
+        taken = np.flatnonzero((own > most[: len(own)]) & (own >= most[reach + 1 :])) + reach
+        chosen[taken] = True
+        left[(taken[:, None] + around).ravel()] = 0
+    for place in (lambda at: at[np.lexsort((at, ~left[at]))])(np.flatnonzero(left)).tolist():
+        if left[place]:
+            chosen[place] = True
+            left[place - reach : place + reach + 1] = 0
+    return np.flatnonzero(chosen) - reach
 
 
 def paragraphs_of(text: str) -> list[tuple[int, int]]:
@@ -121,16 +143,16 @@ class Paragraphs:
 
 def paragraph_sets(texts: list[str | None], shingle: int) -> Paragraphs:
     """Paragraphs of a list of texts (about ``CHUNK_CHARS`` long in all); ``shingle`` is ``MIN_WORDS`` at most."""
-    words, counts, text, number = [], [], [], []
-    for at, content in enumerate(texts):
-        _, own, spelled = cut_text(content or "")
-        words += spelled
-        counts += own
-        text += [at] * len(own)
-        number += range(len(own))
-    counts, text, number = (np.array(x, np.int64) for x in (counts, text, number))
-    starts = np.cumsum(counts) - counts
-    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    data = [(content or "").encode() for content in texts]
+    begin = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
+    words, hashes, places, cuts = cut_words(b"\n".join(data), begin)
+    first = np.searchsorted(places, begin)
+    filled = np.diff(np.append(first, len(words))) > 0
+    starts = np.sort(np.concatenate([first[filled], cuts]))
+    counts = np.diff(np.append(starts, len(words)))
+    text = np.searchsorted(first[filled], starts, "right") - 1
+    number = np.arange(len(starts)) - np.searchsorted(text, text)
+    text = np.flatnonzero(filled)[text]
     made = np.full(max(0, len(words) - shingle + 1), shingle, np.uint64)
     for offset in range(shingle):
         made = mixed(made * np.uint64(0x9E3779B97F4A7C15) + hashes[offset : len(made) + offset])
@@ -182,8 +204,8 @@ FOUND = "row bigint, doc_id bigint, number int, class bigint, size int, tokens a
 
 def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """Paragraphs (of ``row, doc_id, text``) with a band that another document has too."""
-    n_words = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_bands = n_words // 100 * bands
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bands = n_bytes // 64 * bands
     n_buckets = bucket_count(n_bands)
 
     def owned_of(batch: pa.RecordBatch) -> Iterator[Owned]:

@@ -106,3 +106,50 @@ def test_sets_of_many_texts_at_once():
     assert list(zip(found.text.tolist(), found.number.tolist(), strict=True)) == list(wanted)
     assert all(np.array_equal(one, other) for one, other in zip(sets, wanted.values(), strict=True))
     assert any(len(text or "") > 1000 for text in texts) and len(P.cut_text(texts[3])[0]) > 5
+
+
+def planted(seed: int, lengths: range, ends: list[str], least: int, most: int) -> list[tuple]:
+    """Documents of own words, each with a passage of the one before it pasted at any word; lines or sentences of few words."""
+    chosen = random.Random(seed)
+    table = []
+
+    def spelled(n: int) -> list[str]:
+        out, left = [], chosen.randint(least, most)
+        for _ in range(n):
+            left -= 1
+            out.append(f"w{chosen.randrange(10**6)}" + (" " if left else chosen.choice(ends)))
+            left = left or chosen.randint(least, most)
+        return out
+
+    for k, size in enumerate(lengths):
+        source, other = spelled(400), spelled(300)
+        a, b = chosen.randrange(400 - size), chosen.randrange(300)
+        table += [(2 * k, "".join(source)), (2 * k + 1, "".join(other[:b] + source[a : a + size] + other[b:]))]
+    return table
+
+
+def common_stretch(one: str, other: str, size: int = 51) -> bool:
+    """Do the texts share a stretch of ``size`` words?"""
+    one, other = one.split(), other.split()
+    grams = {tuple(one[k : k + size]) for k in range(len(one) - size + 1)}
+    return any(tuple(other[k : k + size]) in grams for k in range(len(other) - size + 1))
+
+
+def removed_from(spark, table: list[tuple]) -> tuple[int, int, list[int]]:
+    """How many pairs share a stretch of 51 words before and after, and the words lost by each second document."""
+    found = P.remove_repeated_paragraphs(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    kept = {r.doc_id: r.text for r in found.collect()}
+    texts = dict(table)
+    pairs = [k for k in texts if k % 2]
+    assert all(kept[k - 1] == texts[k - 1] for k in pairs)
+    return (sum(common_stretch(texts[k - 1], texts[k]) for k in pairs),
+            sum(common_stretch(texts[k - 1], kept[k]) for k in pairs),
+            [len(texts[k].split()) - len(kept[k].split()) for k in pairs])
+
+
+def test_passages_of_short_lines_and_sentences_go(spark):
+    for seed, ends in enumerate((["\n"], [". "], ["\n", "! ", ".\n\n"])):
+        sizes = range(90, 210, 4)
+        before, after, lost = removed_from(spark, planted(seed, sizes, ends, 2, 6))
+        assert (before, after) == (len(sizes), 0)
+        assert all(size - 45 <= n <= size for size, n in zip(sizes, lost, strict=True))
