@@ -12,7 +12,9 @@ document alone has are left out without shuffling text; paragraphs that collide
 are compared by exact Jaccard similarity of word shingles, equal ones once, and
 linked ones are clustered by components. A cluster that lies in two documents or
 more stays in the document with the smallest id; in the others it is cut where
-enough repeated words lie together.
+enough repeated words lie together. Where they are too few, the words around them
+count too: windows of ``PASSAGE_WORDS`` words around them that a document with a
+smaller id has word by word are cut, parts of paragraphs included.
 
 Defined results: a null text stays null; rows without id lose nothing and count
 for nothing; rows with one id are one document; a document may become empty; an
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storegrain.llm.components import connected_components
@@ -36,6 +38,7 @@ from storegrain.llm.shared_hashes import Owned, bucket_count, shared_hashes, tok
 from storegrain.workspace import stage
 
 MIN_WORDS = 8
+PASSAGE_WORDS = 51
 CUT_ROUNDS = 3
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 STOP = np.isin(np.arange(256), list(b".!?"))
@@ -65,12 +68,17 @@ def cut_text(text: str) -> Cut:
         return [], [], []
     data = text.encode()
     words, _, starts, cuts = cut_words(data, np.zeros(1, np.int64))
-    chars = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    at = [0, *(chars[starts[cuts]] - 1).tolist(), len(text)]
+    at = [0, *_chars(data, starts[cuts]), len(text)]
     counts = np.diff(np.concatenate([[0], cuts, [len(words)]])).tolist()
     return list(zip(at[:-1], at[1:], strict=True)), counts, words
 
 
+def _chars(data: bytes, places: np.ndarray) -> list[int]:
+    """Characters before places in encoded text."""
+    chars = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    return (chars[places] - 1).tolist()
+
+
 def cut_words(data: bytes, texts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts that start at ``texts`` in ``data``, their hashes and starts, and the words that start a further paragraph of a text."""
     raw = np.frombuffer(data, np.uint8)
@@ -129,6 +137,7 @@ class Paragraphs:
 
     text: np.ndarray
     number: np.ndarray
+    words: np.ndarray
     flat: np.ndarray
     starts: np.ndarray
 
@@ -166,7 +175,7 @@ def paragraph_sets(texts: list[str | None], shingle: int) -> Paragraphs:
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (which[1:] != which[:-1])
     flat, which = flat[new], which[new]
-    return Paragraphs(text[kept], number[kept], flat, np.searchsorted(which, np.arange(len(kept))))
+    return Paragraphs(text[kept], number[kept], counts[kept], flat, np.searchsorted(which, np.arange(len(kept))))
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -199,7 +208,7 @@ def band_hashes(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
     return made
 
 
-FOUND = "row bigint, doc_id bigint, number int, class bigint, size int, tokens array<bigint>, bands array<bigint>"
+FOUND = "row bigint, doc_id bigint, number int, class bigint, words int, size int, tokens array<bigint>, bands array<bigint>"
 
 
 def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -240,7 +249,8 @@ def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(owners[at]), pa.array(docs[at]), pa.array(made.number[kept].astype(np.int32)),
-                        pa.array(made.classes()[kept]), pa.array(sizes[kept].astype(np.int32)),
+                        pa.array(made.classes()[kept]), pa.array(made.words[kept].astype(np.int32)),
+                        pa.array(sizes[kept].astype(np.int32)),
                         _lists(made.flat[inside].view(np.int64), sizes[kept]),
                         _lists(names[kept][hit[kept]], hit[kept].sum(axis=1)),
                     ],
@@ -257,14 +267,14 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 _FOUND_SCHEMA = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int32()), ("class", pa.int64()),
-    ("size", pa.int32()), ("tokens", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
+    ("words", pa.int32()), ("size", pa.int32()), ("tokens", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
 ])
 
 
 def repeated_paragraphs(
     texts: DataFrame, shingle: int = 5, percent: int = 80, recall: float = 0.998
 ) -> DataFrame:
-    """``row, doc_id, number, root, first_doc`` of paragraphs that lie in two documents or more."""
+    """``row, doc_id, number, words, root, first_doc`` of paragraphs that lie in two documents or more."""
     bands, rows = tune_bands(percent, recall)
     found = stage(colliding_paragraphs(texts, shingle, bands, rows), "colliding-paragraphs")
     classes = stage(
@@ -278,9 +288,9 @@ def repeated_paragraphs(
     members = classes.select(F.col("class").alias("group"), F.col("class").alias("owner"), "size", "tokens")
     roots = connected_components(links_at_hubs(posts, members, percent)).withColumnRenamed("node", "class")
     rooted = (
-        found.select("row", "doc_id", "number", "class")
+        found.select("row", "doc_id", "number", "words", "class")
         .join(roots, "class", "left")
-        .select("row", "doc_id", "number", F.coalesce("root", "class").alias("root"))
+        .select("row", "doc_id", "number", "words", F.coalesce("root", "class").alias("root"))
     )
     rooted = stage(rooted, "paragraph-roots")
     spread = rooted.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
@@ -300,20 +310,105 @@ def passages(words: list[int], repeated: set[int], min_run: int) -> set[int]:
     return taken
 
 
+WINDOWS = "row bigint, doc_id bigint, start int, code bigint, wanted boolean"
+
+
+def window_codes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each ``PASSAGE_WORDS`` words in a row, of the hashes of the words."""
+    if len(hashes) < PASSAGE_WORDS:
+        return np.empty(0, np.uint64)
+    factor = 0x9E3779B97F4A7C15
+    powers = np.full(len(hashes), factor, np.uint64).cumprod()
+    undone = np.full(len(hashes), pow(factor, -1, 1 << 64), np.uint64).cumprod()
+    sums = np.append(np.uint64(0), np.cumsum(hashes * powers, dtype=np.uint64))
+    return mixed((sums[PASSAGE_WORDS:] - sums[:-PASSAGE_WORDS]) * undone[: len(hashes) - PASSAGE_WORDS + 1])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows around the paragraphs ``numbers`` of a text, those in short runs (``short``) wanted."""
+    for batch in batches:
+        for row, doc_id, text, numbers, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words, hashes, _, cuts = cut_words(text.encode(), np.zeros(1, np.int64))
+            bounds = np.concatenate([[0], cuts, [len(words)]])
+            codes = window_codes(hashes)
+            state = np.zeros(len(codes), np.int8)
+            for value, chosen in ((1, numbers), (2, short)):
+                for number in chosen:
+                    state[max(0, bounds[number + 1] - PASSAGE_WORDS) : bounds[number] + 1] = value
+            at = np.flatnonzero(state)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(at), row)), pa.array(np.full(len(at), doc_id)), pa.array(at.astype(np.int32)),
+                    pa.array(codes[at].view(np.int64)), pa.array(state[at] == 2),
+                ],
+                names=[c.split()[0] for c in WINDOWS.split(", ")],
+            )
+
+
+def common_windows(texts: DataFrame, repeated: DataFrame, min_run: int) -> DataFrame:
+    """``row, starts, window_docs``: windows around too short runs that a smaller id has too.
+
+    A window is known by its first word. The other documents of such paragraphs
+    take part whatever the length of their runs.
+    """
+    later = repeated.where("doc_id <> first_doc").select("row", "number", "words", "root").distinct()
+    own = Window.partitionBy("row").orderBy("number")
+    runs = later.withColumn("run", F.col("number") - F.row_number().over(own))
+    length = F.sum("words").over(Window.partitionBy("row", "run"))
+    short = stage(runs.withColumn("length", length).where(F.col("length") < min_run).select("row", "number", "root"), "short-runs")
+    near = repeated.join(short.select("root").distinct(), "root", "left_semi").groupBy("row").agg(
+        F.collect_set("number").alias("numbers")
+    )
+    near = near.join(short.groupBy("row").agg(F.collect_set("number").alias("short")), "row", "left").select(
+        "row", "numbers", F.coalesce("short", F.array().cast("array<int>")).alias("short")
+    )
+    windows = texts.join(stage(near, "short-run-rows"), "row").select("row", "doc_id", "text", "numbers", "short")
+    windows = stage(windows.mapInArrow(_windows, WINDOWS), "windows")
+    shared = windows.groupBy("code").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = stage(shared.where("least < most").select("code", "least"), "shared-windows")
+    return windows.where("wanted").join(shared, "code").where("doc_id > least").groupBy("row").agg(
+        F.collect_set("start").alias("starts"), F.collect_set("least").alias("window_docs")
+    )
+
+
+def _left(text: str, gone: set[int], windows: list[int], cut: Cut) -> tuple[str, int]:
+    """The text without paragraphs ``gone`` and windows, and how many paragraphs lost words."""
+    bounds, counts, words = cut
+    if not windows:
+        return "".join(text[a:b] for k, (a, b) in enumerate(bounds) if k not in gone), len(gone)
+    data = text.encode()
+    places = [*_chars(data, cut_words(data, np.zeros(1, np.int64))[2]), len(text)]
+    covered = np.zeros(len(words) + 1, bool)
+    for start in windows:
+        covered[start : start + PASSAGE_WORDS] = True
+    kept, lost, first = [], len(gone), 0
+    for k, ((a, b), n) in enumerate(zip(bounds, counts, strict=True)):
+        own = covered[first : first + n]
+        if k not in gone and own.any():
+            at = [a, *places[first + 1 : first + n], b]
+            kept += [text[at[i] : at[i + 1]] for i in np.flatnonzero(~own)]
+            lost += 1
+        elif k not in gone:
+            kept.append(text[a:b])
+        first += n
+    return "".join(kept), lost
+
+
 def _without(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.schema.names
-        texts, numbers = (batch.column(names.index(n)) for n in ("__text", "__numbers"))
-        kept, removed = [], []
-        for text, repeated in zip(texts, numbers, strict=True):
-            text, repeated = text.as_py(), set(repeated.as_py() or ())
-            bounds, words, _ = cut_text(text) if repeated else ([], [], [])
-            gone = passages(words, repeated, min_run)
-            removed.append(len(gone))
-            kept.append("".join(text[a:b] for k, (a, b) in enumerate(bounds) if k not in gone) if gone else text)
+        columns = (batch.column(batch.schema.names.index(n)) for n in ("__text", "__numbers", "__starts"))
+        kept, removed, by_run = [], [], []
+        for text, repeated, windows in zip(*columns, strict=True):
+            text, repeated, windows = text.as_py(), set(repeated.as_py() or ()), windows.as_py() or []
+            cut = cut_text(text) if repeated else ([], [], [])
+            gone = passages(cut[1], repeated, min_run)
+            left, lost = _left(text, gone, windows, cut) if gone or windows else (text, 0)
+            kept.append(left)
+            removed.append(lost)
+            by_run.append(len(gone) > 0)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-2], pa.array(kept, pa.string()), pa.array(removed, pa.int64())],
-            names=[*names[:-2], "__kept", "__removed"],
+            [*batch.columns[:-3], pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(by_run, pa.bool_())],
+            names=[*batch.schema.names[:-3], "__kept", "__removed", "__by_run"],
         )
 
 
@@ -328,27 +423,34 @@ def remove_repeated_paragraphs(
 ) -> DataFrame:
     """Columns of ``docs`` with the text cut, and ``__removed, __first_docs``.
 
-    Repeated paragraphs go where ``min_run`` words or more of them lie together: a
-    stock phrase alone stays. ``__first_docs`` lists the documents that keep what
-    was removed here.
+    Repeated paragraphs go where ``min_run`` words or more of them lie together, and
+    with the words around them where those make ``PASSAGE_WORDS`` in common: a stock
+    phrase alone stays. ``__removed`` counts the paragraphs that lost words;
+    ``__first_docs`` lists the documents that keep what was removed here.
     """
     row = F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col))
     texts = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    repeated = repeated_paragraphs(texts.where("doc_id IS NOT NULL AND text IS NOT NULL"), shingle, percent, recall)
+    texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    repeated = stage(repeated_paragraphs(texts, shingle, percent, recall), "repeated-paragraphs")
     gone = repeated.where("doc_id <> first_doc").groupBy("row").agg(
         F.collect_set("number").alias("__numbers"), F.sort_array(F.collect_set("first_doc")).alias("__first_docs")
     )
-    gone = stage(gone.withColumnRenamed("row", "__row"), "removed-paragraphs")
+    windows = common_windows(texts, repeated, min_run).withColumnsRenamed({"starts": "__starts", "window_docs": "__window_docs"})
+    gone = stage(gone.join(windows, "row", "left").withColumnRenamed("row", "__row"), "removed-paragraphs")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    none = F.array().cast("array<bigint>")
     joined = docs.withColumn("__row", row).join(gone, "__row", "left").select(
-        *others, F.coalesce("__first_docs", F.array().cast("array<bigint>")).alias("__first_docs"),
-        F.col(text_col).alias("__text"), "__numbers",
+        *others, F.coalesce("__first_docs", none).alias("__first_docs"),
+        F.coalesce("__window_docs", none).alias("__window_docs"), F.col(text_col).alias("__text"), "__numbers", "__starts",
     )
     kinds = dict(joined.dtypes)
-    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in joined.columns[:-2])
-    cut = joined.mapInArrow(lambda batches: _without(batches, min_run), f"{ddl}, __kept string, __removed bigint")
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in joined.columns[:-3])
+    cut = joined.mapInArrow(
+        lambda batches: _without(batches, min_run), f"{ddl}, __kept string, __removed bigint, __by_run boolean"
+    )
+    by_run = F.when(F.col("__by_run"), F.col("__first_docs")).otherwise(none)
     return cut.select(
         *[F.col("__kept").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         "__removed",
-        F.when(F.col("__removed") > 0, F.col("__first_docs")).otherwise(F.array().cast("array<bigint>")).alias("__first_docs"),
+        F.sort_array(F.array_union(by_run, "__window_docs")).alias("__first_docs"),
     )

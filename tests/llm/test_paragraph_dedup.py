@@ -153,3 +153,23 @@ def test_passages_of_short_lines_and_sentences_go(spark):
         before, after, lost = removed_from(spark, planted(seed, sizes, ends, 2, 6))
         assert (before, after) == (len(sizes), 0)
         assert all(size - 45 <= n <= size for size, n in zip(sizes, lost, strict=True))
+
+
+def test_passages_of_51_to_80_words_go_from_any_place(spark):
+    for seed, (ends, least, most) in enumerate([([". "], 9, 25), ([" "], 5, 5)], 5):
+        sizes = [51 + k % 30 if k % 3 else 51 for k in range(90)]
+        before, after, lost = removed_from(spark, planted(seed, sizes, ends, least, most))
+        assert (before, after) == (len(sizes), 0)
+        # a paragraph of 13 words or more is similar still with one strange word at its outer end
+        assert all(30 <= n <= size + 2 for size, n in zip(sizes, lost, strict=True))
+        assert sum(n == size for size, n in zip(sizes, lost, strict=True)) >= 3
+
+
+def test_a_shared_stretch_of_less_than_51_words_without_long_run_stays(spark):
+    own = [f"w{k}" for k in range(900)]
+    for size, gone in ((28, 0), (51, 51)):
+        found = P.remove_repeated_paragraphs(spark.createDataFrame(
+            [(1, " ".join(own[:200])), (2, " ".join(own[300:400] + own[64 : 64 + size] + own[400:500]))], "doc_id long, text string"
+        )).collect()
+        lost = 200 + size - len({r.doc_id: r.text for r in found}[2].split())
+        assert lost == gone or size > 28 and 30 <= lost <= 51
