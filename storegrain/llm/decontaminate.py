@@ -141,7 +141,7 @@ def find_contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, text_hash, n_words, spans, n_hit, items`` for each distinct pair of id and text.
+    """``doc_id, text_hash, n_words, spans, n_hit, items`` of each row, also of rows equal in id and text.
 
     ``spans`` are the places (``start, length`` in words) where a window of an
     item lies, ``items`` the sorted ids of the items with such a window.
@@ -182,7 +182,7 @@ def find_contamination(
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
     found = spans.alias("found").join(items.alias("texts"), _same_row("found", "texts")).select("found.*", "items")
-    rows = worded.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")).distinct()
+    rows = worded.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
     no_spans = F.array().cast("array<struct<start:int,length:int>>")
     return (
         rows.alias("texts")

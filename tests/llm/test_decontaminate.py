@@ -61,3 +61,12 @@ def test_no_python_on_the_main_path(spark):
     plan = D.find_contamination(frame(spark), spark.createDataFrame(items(), "item_id long, text string"))
     assert "Python" not in plan._jdf.queryExecution().toString()
     assert SCHEMA  # the corpus has extra columns with clashing names
+
+
+def test_each_row_gives_one_row(spark):
+    """Rows equal in id and text too, with and without id and hits."""
+    table = [*rows(), rows()[5], rows()[5], (None, rows()[5][1], *rows()[5][2:])] + [(None, None, *rows()[0][2:])] * 2
+    benchmark = spark.createDataFrame(items(), "item_id long, text string")
+    got = D.find_contamination(spark.createDataFrame(table, SCHEMA).repartition(5), benchmark).collect()
+    wanted = [line for row in table for line in brute([row], items())]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in got), key=str) == sorted(wanted, key=str)
