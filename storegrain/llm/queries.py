@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from storegrain.llm import (
     decontaminate,
     host_quality,
+    importance,
     jaccard_join,
     length_buckets,
     oracles,
@@ -145,3 +146,12 @@ def op10_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op12_importance_resampling(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = importance.resample(
+        documents(spark, sf_dir), benchmark, percent=10, seed=2024, n_buckets=10_000, max_run=1, min_words=20
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
