@@ -21,7 +21,9 @@ from storegrain.llm import (
     token_counts,
     token_frames,
     toxicity,
+    warc_index,
 )
+from storegrain.workspace import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -148,6 +150,18 @@ def op10_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op11_warc_index(spark, sf_dir):
+    """Every page is looked up in the index by its URL and read from the archives."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index = warc_index.archive(pages, least_bytes=0)
+    found = warc_index.find_captures(index, pages.select("url"))
+    records = stage(warc_index.read_records(index, found, with_payload=False), "records")
+    return warc_index.resolve_revisits(index, records).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("original_page").alias("refers_to")
+    )
+
+
 @query
 def op12_importance_resampling(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
