@@ -87,3 +87,65 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (rid) LEFT JOIN named USING (rid)
 """
+
+OP11 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id DESC NULLS LAST) AS place,
+    first(page_id) OVER (PARTITION BY digest ORDER BY page_id DESC NULLS LAST) AS top
+  FROM p
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(digest, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN top END AS refers_to
+FROM r
+"""
+
+OP12 = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM documents
+), b AS (
+  SELECT list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM benchmark
+), in_docs AS (
+  SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(words) AS word FROM d) GROUP BY rid, word
+), in_target AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM b) GROUP BY word
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(encode(word))) // 2),
+      lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, byte: xor(c >> 8, steps[(xor(c, byte) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM in_docs UNION SELECT word FROM in_target), crc_table
+), counts AS (
+  SELECT bucket, sum(s) AS s, sum(t) AS t
+  FROM (SELECT word, n AS s, 0 AS t FROM in_docs UNION ALL SELECT word, 0, n FROM in_target) JOIN hashed USING (word)
+  GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * (sum(s) OVER () ::DOUBLE + 10000)
+    / ((s::DOUBLE + 1) * (sum(t) OVER () ::DOUBLE + 10000))))::BIGINT AS gain
+  FROM counts
+), weights AS (
+  SELECT rid, sum(n * gain)::BIGINT AS weight FROM in_docs JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+      + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (rid)
+), large AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, 10 * count(*) OVER () // 100 AS k
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END AS rank
+FROM scored LEFT JOIN large USING (rid)
+"""

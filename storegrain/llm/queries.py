@@ -22,6 +22,7 @@ from storegrain.llm import (
     token_frames,
     toxicity,
     warc_index,
+    whitening,
 )
 from storegrain.workspace import stage
 
@@ -30,6 +31,8 @@ REGISTERED: dict[str, Query] = {}
 ORACLES: dict[str, str] = {
     "op1_host_quality": oracles.OP1,
     "op10_decontamination": oracles.OP10,
+    "op11_warc_index": oracles.OP11,
+    "op12_importance_resampling": oracles.OP12,
 }
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -169,3 +172,9 @@ def op12_importance_resampling(spark, sf_dir):
         documents(spark, sf_dir), benchmark, percent=10, seed=2024, n_buckets=10_000, max_run=1, min_words=20
     )
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, count=8).withColumn("deviation", F.col("deviation").cast("bigint"))
