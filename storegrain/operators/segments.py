@@ -44,6 +44,15 @@ def not_exported(ids: DataFrame, exported: DataFrame, column: str) -> DataFrame:
     return ids.join(seen, ids["id"].cast("string") == seen["_seen"], "left_anti")
 
 
+def not_listed(ids: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ids (a written table) that a ledger of ids does not hold.
+
+    The ledger meets the ids first, so where these are few it is scanned only.
+    """
+    seen = keep_matching(ledger, ids, "id").select(F.col("id").alias("_seen"))
+    return ids.join(seen, ids["id"] == seen["_seen"], "left_anti")
+
+
 def segment_counts(values: DataFrame, customers: DataFrame, field: str, value: str) -> DataFrame:
     """One row: matching value rows, matched customers and customers found."""
     per_id = stage(

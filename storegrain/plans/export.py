@@ -3,14 +3,20 @@
 Layout under ``<out_dir>/<prefix>``::
 
     base/run=<run>/                                    full columns, keeps the customer id
+    ledger/columns=<hash>/run=<run>/                   the ids of the base alone, as Parquet
     clean/run_date=<day>/mode=<full|incremental>/run=<run>/   the columns asked for
 
-A run owns its two folders.  Repeating it under the same run id overwrites
+An increment is told from the ledger, so it reads eight bytes a customer exported
+before, not their cells; a base without ledger (or with other columns) is read as CSV.
+
+A run owns its folders.  Repeating it under the same run id overwrites
 them, so a run that died half-way is simply run again.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from dataclasses import dataclass, replace
 from datetime import UTC, date, datetime
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from storegrain.functions.cells import ID_COLUMN, ColumnList, cells, parse_columns, with_id
 from storegrain.functions.text import slug_of
 from storegrain.operators.fields import check_request
-from storegrain.operators.segments import customers_of, find_segment, not_exported
+from storegrain.operators.segments import customers_of, find_segment, not_exported, not_listed
 from storegrain.sources.csv_files import distinct_filled, read_csv, write_csv
 from storegrain.workspace import finished_folders, matching_paths, stage_counted
 
@@ -70,6 +76,11 @@ class ExportTarget:
     def base_path(self) -> str:
         return f"{self.base}/{RUN}{self.run}"
 
+    def ledger(self, full: ColumnList) -> str:
+        """Ledgers belong to one column list, as all runs of a base share one."""
+        columns = hashlib.sha256(json.dumps(list(full)).encode()).hexdigest()[:16]
+        return f"{self.root}/ledger/columns={columns}"
+
     @property
     def clean_path(self) -> str:
         return (
@@ -98,17 +109,26 @@ def full_columns_of(columns: ColumnList, full: str | None) -> ColumnList:
     return given if dict(given).get(ID_COLUMN[0]) == ID_COLUMN[1] else with_id(given)
 
 
-def exported_ids(spark: SparkSession, target: ExportTarget, full: ColumnList) -> DataFrame | None:
-    """Distinct ids in the base, other than what this very run wrote; None if no base.
+def unexported(ids: DataFrame, target: ExportTarget, full: ColumnList) -> tuple[DataFrame, int] | None:
+    """Ids that no finished run but this very one has in its base; None if there is no such run.
 
     All runs of a base share one column list; the read fails if headers differ.
     """
+    spark = ids.sparkSession
     finished = finished_folders(spark, target.base, RUN)
-    runs = [path for run, path in finished.items() if run != target.run]
+    runs = sorted(run for run in finished if run != target.run)
     if not runs:
         return None
-    rows = read_csv(spark, runs, trim=True, columns=list(dict(full)))
-    return distinct_filled(rows, ID_COLUMN[0])
+    ledgers = finished_folders(spark, target.ledger(full), RUN)
+    listed = [ledgers[run] for run in runs if run in ledgers]
+    unlisted = [finished[run] for run in runs if run not in ledgers]
+    new = ids
+    if listed:
+        new = not_listed(new, spark.read.schema("id BIGINT").parquet(*listed))
+    if unlisted:
+        rows = read_csv(spark, unlisted, trim=True, columns=list(dict(full)))
+        new = not_exported(new, distinct_filled(rows, ID_COLUMN[0]), ID_COLUMN[0])
+    return stage_counted(new, "new-ids")
 
 
 def settle(spark: SparkSession, target: ExportTarget) -> ExportTarget:
@@ -122,7 +142,7 @@ def settle(spark: SparkSession, target: ExportTarget) -> ExportTarget:
 
 def write_export(customers: DataFrame, ids: DataFrame, columns: ColumnList,
                  full: ColumnList, target: ExportTarget, write: bool) -> int:
-    """Project the customers of ``ids`` and write both outputs; returns the row count.
+    """Project the customers of ``ids`` and write all outputs; returns the row count.
 
     The cells of both column lists are computed once into a written table.  The
     base comes last: until it is there a repeated run finds the same customers.
@@ -130,8 +150,9 @@ def write_export(customers: DataFrame, ids: DataFrame, columns: ColumnList,
     found = customers_of(customers, ids)
     clean_cells = [c.alias(f"c{i}") for i, c in enumerate(cells(found, columns))]
     full_cells = [c.alias(f"f{i}") for i, c in enumerate(cells(found, full))]
-    staged, count = stage_counted(found.select(*clean_cells, *full_cells), "export")
+    staged, count = stage_counted(found.select("id", *clean_cells, *full_cells), "export")
     if write and count:
+        staged.select("id").write.mode("overwrite").parquet(f"{target.ledger(full)}/{RUN}{target.run}")
         for kind, names, path in (("c", dict(columns), target.clean_path),
                                   ("f", dict(full), target.base_path)):
             named = [F.col(f"{kind}{i}").alias(name) for i, name in enumerate(names)]
@@ -163,12 +184,9 @@ def export_segment(values: DataFrame, customers: DataFrame, *, key: str, field:
 def export_ids(ids: DataFrame, matched: int, customers: DataFrame, columns: ColumnList,
                full: ColumnList, target: ExportTarget, write: bool) -> ExportResult:
     """The part of an export after the match; ``ids`` are distinct."""
-    spark = ids.sparkSession
     fetched, new = matched, ids
     if target.mode == INCREMENTAL and matched:
-        before = exported_ids(spark, target, full)
-        if before is not None:
-            new, fetched = stage_counted(not_exported(ids, before, ID_COLUMN[0]), "new-ids")
+        new, fetched = unexported(ids, target, full) or (ids, matched)
     written = write_export(customers, new, columns, full, target, write) if fetched else 0
     return ExportResult(ids, matched, fetched, written, target.base_path,
                         target.clean_path, write and written > 0)

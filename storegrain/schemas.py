@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql.types import StructType
+
 
 def ddl(columns: dict[str, str]) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in columns.items())
 
 
+def struct_of(columns: str) -> StructType:
+    return StructType.fromDDL(columns)
+
+
 ADDRESS = "STRUCT<country STRING, extra VARIANT>"
 
 CUSTOMERS = ddl({

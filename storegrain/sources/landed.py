@@ -32,9 +32,9 @@ def read_pages(spark: SparkSession, path: str, *, multiline: bool = True,
 
 
 def stream_pages(spark: SparkSession, path: str, *, multiline: bool = True,
-                 files_per_batch: int | None = None) -> DataFrame:
+                 files_per_batch: int | None = None, strict: bool = True) -> DataFrame:
     """The same as a stream; ``files_per_batch`` bounds the work of one batch."""
-    reader = spark.readStream.schema("page VARIANT").options(**_json_options(multiline, True))
+    reader = spark.readStream.schema("page VARIANT").options(**_json_options(multiline, strict))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     pages = reader.json(path)
@@ -76,11 +76,11 @@ def _form_field(field: Column) -> Column:
     )
 
 
-def type_customers(rows: DataFrame) -> DataFrame:
-    """Typed customers from VARIANT rows; the raw object stays in ``extra``."""
+def customer_columns() -> list[Column]:
+    """The columns of a customer, of a VARIANT ``row``; the raw object stays in ``extra``."""
     addresses = F.try_variant_get("row", "$.addresses", "array<variant>")
     form_fields = F.try_variant_get("row", "$.form_fields", "array<variant>")
-    return rows.select(
+    return [
         _whole("id").alias("id"),
         *[_text(c).alias(c) for c in ("email", "first_name", "last_name", "phone", "company")],
         _whole("customer_group_id").alias("customer_group_id"),
@@ -90,15 +90,23 @@ def type_customers(rows: DataFrame) -> DataFrame:
         F.transform(addresses, _address).alias("addresses"),
         F.transform(form_fields, _form_field).alias("form_fields"),
         F.col("row").alias("extra"),
-    )
+    ]
 
 
-def type_field_values(rows: DataFrame) -> DataFrame:
-    return rows.select(
+def type_customers(rows: DataFrame) -> DataFrame:
+    return rows.select(*customer_columns())
+
+
+def field_value_columns() -> list[Column]:
+    return [
         _whole("customer_id").alias("customer_id"),
         _text("name").alias("name"),
         _text("value").alias("value"),
-    )
+    ]
+
+
+def type_field_values(rows: DataFrame) -> DataFrame:
+    return rows.select(*field_value_columns())
 
 
 def _read_checked(spark, path, multiline, mode, rules, typed, what):
@@ -147,19 +155,19 @@ def list_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(listed).alias("row"), "file")
 
 
-def _typed(columns: str):
-    """A function that types VARIANT rows; the whole object stays in ``extra``."""
-    kinds = [c.split() for c in columns.split(", ")]
+def list_columns(columns: str) -> list[Column]:
+    """The given columns of a VARIANT ``row``; the whole object stays in ``extra``."""
+    return [
+        F.col("row").alias(name) if name == "extra"
+        else _time(name).alias(name) if kind == "TIMESTAMP"
+        else F.try_variant_get("row", f"$.{name}", kind).alias(name)
+        for name, kind in (c.split() for c in columns.split(", "))
+    ]
 
-    def typed(rows: DataFrame) -> DataFrame:
-        return rows.select(*[
-            F.col("row").alias(name) if name == "extra"
-            else _time(name).alias(name) if kind == "TIMESTAMP"
-            else F.try_variant_get("row", f"$.{name}", kind).alias(name)
-            for name, kind in kinds
-        ])
 
-    return typed
+def _typed(columns: str):
+    """A function that types VARIANT rows."""
+    return lambda rows: rows.select(*list_columns(columns))
 
 
 def _read_list(spark, path, columns, rules, multiline, mode, what):
@@ -184,8 +192,8 @@ def read_order_fees(spark: SparkSession, path: str, *, multiline: bool = True, m
                       multiline, mode, "order fee")
 
 
-def type_carts(rows: DataFrame) -> DataFrame:
-    return rows.select(
+def cart_columns() -> list[Column]:
+    return [
         _text("id").alias("id"),
         _whole("customer_id").alias("customer_id"),
         _time("created_time").alias("created_time"),
@@ -195,7 +203,16 @@ def type_carts(rows: DataFrame) -> DataFrame:
             F.array().cast(schemas.CART_ITEMS),
         ).alias("physical_items"),
         F.col("row").alias("extra"),
-    )
+    ]
+
+
+def type_carts(rows: DataFrame) -> DataFrame:
+    return rows.select(*cart_columns())
+
+
+def cart_rows(pages: DataFrame) -> DataFrame:
+    """One VARIANT ``row`` per cart, taken out of its envelope."""
+    return pages.select(F.coalesce(F.try_variant_get("page", "$.data", "variant"), "page").alias("row"), "file")
 
 
 def read_carts(spark: SparkSession, path: str, *, multiline: bool = True, mode: str = FAIL):
@@ -204,8 +221,7 @@ def read_carts(spark: SparkSession, path: str, *, multiline: bool = True, mode:
     Modes as :func:`read_customers`: a cart without an id fails the job or is set aside.
     """
     pages = read_pages(spark, path, multiline=multiline, strict=mode == FAIL)
-    rows = pages.select(F.coalesce(F.try_variant_get("page", "$.data", "variant"), "page").alias("row"), "file")
-    return _checked_rows(rows, mode, schemas.CART_RULES, type_carts, "cart")
+    return _checked_rows(cart_rows(pages), mode, schemas.CART_RULES, type_carts, "cart")
 
 
 def _checked_rows(rows, mode, rules, typed, what):

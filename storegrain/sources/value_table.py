@@ -10,34 +10,18 @@ checkpoint, hence another feed id) never meets the folders of the one before.
 Applying a batch costs as much as the batch, not the table.  Reading merges the
 batches newer than the newest base, and :func:`compact` folds them into a new
 base.  A folder counts only once its write has finished, so nothing that is
-being read is ever overwritten.
+being read is ever overwritten. What no reader needs any more goes with
+:func:`storegrain.sources.batches.vacuum`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from storegrain import schemas
 from storegrain.operators.values import last_writes, upsert_values
-from storegrain.workspace import empty_table, finished_folders, list_folder
-
-BASE, BATCH = "upto=", "batch="
-
-
-def batch_name(spark: SparkSession, root: str, feed: str, batch: int) -> str:
-    """The folder of a batch: its own from an earlier attempt, or the next number.
-
-    One writer at a time is taken for granted, as for any table of a feed.
-    """
-    ending = f"-{feed}-{batch}"
-    names = [name for name, _, _ in list_folder(spark, f"{root}/changes") if name.startswith(BATCH)]
-    own = [name for name in names if name.endswith(ending)]
-    if own:
-        return own[0]
-    taken = [_number(name.removeprefix(BATCH)) for name in names]
-    taken += _numbered(spark, f"{root}/base", BASE)
-    return f"{BATCH}{max(taken, default=-1) + 1}{ending}"
+from storegrain.sources.batches import BASE, batch_name, batch_number, newest_base, pending_batches
+from storegrain.workspace import empty_table
 
 
 def append_changes(changes: DataFrame, root: str, batch: int, feed: str = "table") -> str:
@@ -51,31 +35,18 @@ def append_changes(changes: DataFrame, root: str, batch: int, feed: str = "table
     return name
 
 
-def _number(name: str) -> int:
-    return int(name.split("-")[0])
-
-
-def _numbered(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
-    return {_number(n): folder for n, folder in finished_folders(spark, path, prefix).items()}
-
-
 def _newest_base(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
-    bases = _numbered(spark, f"{root}/base", BASE)
+    upto, folder = newest_base(spark, root)
     schema = schemas.FORM_FIELD_VALUES
-    if not bases:
-        return -1, empty_table(spark, schema)
-    upto = max(bases)
-    return upto, spark.read.schema(schema).parquet(bases[upto])
+    return upto, spark.read.schema(schema).parquet(folder) if folder else empty_table(spark, schema)
 
 
 def _pending(spark: SparkSession, root: str, after: int) -> tuple[int, DataFrame | None]:
-    batches = _numbered(spark, f"{root}/changes", BATCH)
-    newer = {n: path for n, path in batches.items() if n > after}
+    newer = pending_batches(spark, root, after)
     if not newer:
         return after, None
     changes = spark.read.schema(schemas.CHANGES).parquet(*newer.values())
-    number = F.regexp_extract(F.col("_metadata.file_path"), f"/{BATCH}([0-9]+)-", 1)
-    return max(newer), changes.withColumn("batch", number.cast("bigint"))
+    return max(newer), changes.withColumn("batch", batch_number())
 
 
 def read_values(spark: SparkSession, root: str) -> DataFrame:

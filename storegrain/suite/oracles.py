@@ -471,4 +471,33 @@ ORACLES: dict[str, str] = {
                CASE WHEN p_size % 3 = 0 THEN p_brand || '|' || p_type END AS options,
                CAST(0 AS BIGINT) AS position
         FROM part""",
+    "stored_segment_export": with_tables(CUSTOMERS, VALS, SEGMENT)
+    + f" SELECT {EXPORT_CELLS} FROM customers WHERE id IN (SELECT id FROM segment)",
+    "stored_values_by_field": with_tables(VALS)
+    + """ SELECT name, count(*) AS n_rows, count(DISTINCT customer_id) AS n_customers FROM vals GROUP BY name
+        UNION ALL
+        SELECT name || ' alone', count(*), count(DISTINCT customer_id) FROM vals
+        WHERE name = 'purchase' GROUP BY name""",
+    "stored_orders_latest": with_tables(SHOP_ORDERS)
+    + """ SELECT id, customer_id, status || CASE WHEN id % 6 = 0 THEN '3' WHEN id % 3 = 0 THEN '2' ELSE '1' END AS status
+        FROM shop_orders""",
+    "stored_products_replaced": with_tables(PRODUCTS)
+    + """ SELECT order_id, CASE WHEN order_id % 4 = 0 THEN 1 ELSE count(*) END AS n_products,
+          CAST(CASE WHEN order_id % 4 = 0 THEN 1 ELSE sum(quantity) END AS BIGINT) AS quantity, min(sku) AS first_sku
+        FROM products GROUP BY order_id""",
+    "stored_rejects": with_tables(VALS)
+    + """ SELECT CAST(customer_id + CASE WHEN seq % 9 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS customer_id,
+          concat_ws('; ', CASE WHEN seq % 7 = 0 THEN 'name: string' END,
+                    CASE WHEN seq % 9 = 0 THEN 'customer_id: whole' END) AS problems, count(*) AS n_rows
+        FROM vals GROUP BY ALL""",
+    "values_vacuumed": with_tables(VALS)
+    + """ SELECT customer_id, name, value, CAST(2 AS BIGINT) AS n_deleted FROM (
+          SELECT *, row_number() OVER (PARTITION BY customer_id, name
+                                       ORDER BY ts DESC, seq DESC) AS rn
+          FROM vals WHERE customer_id > 0
+        ) WHERE rn = 1""",
+    "export_ledger": with_tables(CUSTOMERS, VALS)
+    + """ SELECT id, CASE min(seq % 3) WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS run
+        FROM customers JOIN vals ON customer_id = id
+        WHERE name = 'purchase' AND value = '7' AND id > 0 GROUP BY id""",
 }

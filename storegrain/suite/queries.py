@@ -17,11 +17,14 @@ from storegrain.plans.export import export_segment
 from storegrain.plans.registry import publish_registry
 from storegrain.plans.status import run_report
 from storegrain.sources import landed
+from storegrain.sources.batches import vacuum
 from storegrain.sources.csv_files import column_values, read_csv, write_csv
+from storegrain.sources.landing_store import compact_store, read_rejects, read_store
 from storegrain.sources.registry import read_registry, read_registry_file, registry_problems
 from storegrain.sources.run_states import parse_run_states
 from storegrain.sources.value_table import compact, read_values
 from storegrain.streaming.export_feed import run_export_feed
+from storegrain.streaming.landing_feed import run_landing_feed
 from storegrain.streaming.segment_feed import collect_segment
 from storegrain.streaming.value_feed import run_value_feed, stream_changes
 from storegrain.suite import standins as tables
@@ -761,3 +764,110 @@ def registry_file(spark, sf_dir):
     )).alias("value"))
     rows = read_registry_file(spark, tables.land(lines, "registry"), multiline=False)
     return _flat_options(rows).select("name", "type", "options", F.col("position").cast("bigint").alias("position"))
+
+
+# Landing stores: pages are taken in once and then read as Parquet.
+
+
+def _take_in(spark: SparkSession, kind: str, waves: list[DataFrame], fold_after: int | None = None) -> str:
+    """The store that a feed makes of waves of landed lines."""
+    pages, root, state = (new_folder(spark, x) for x in ("pages", "store", "feed"))
+    for number, wave in enumerate(waves):
+        tables.land_more(wave, pages)
+        run_landing_feed(spark, pages, root, kind, checkpoint=state, multiline=False)
+        if number == fold_after:
+            compact_store(spark, root, kind)
+    return root
+
+
+def _as_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+@query
+def stored_segment_export(spark, sf_dir):
+    """The segment export from stores of values and customers, the first wave of values folded into a base."""
+    waves = [tables.value_pages(wave) for wave in _two_waves(tables.values(spark, sf_dir))]
+    held = read_store(spark, _take_in(spark, "field_values", waves, fold_after=0), "field_values", key=FIELD)
+    people = _take_in(spark, "customers", [tables.customer_pages(tables.customers(spark, sf_dir))])
+    ids, _ = segments.find_segment(held, FIELD, VALUE)
+    found = segments.customers_of(read_store(spark, people, "customers"), ids)
+    return export_rows(found, parse_columns(COLUMNS))
+
+
+@query
+def stored_values_by_field(spark, sf_dir):
+    """All stored values, counted by field; those of one field asked for by its key."""
+    waves = [tables.value_pages(wave) for wave in _two_waves(tables.values(spark, sf_dir))]
+    root = _take_in(spark, "field_values", waves)
+    whole = read_store(spark, root, "field_values").groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("customer_id").alias("n_customers"))
+    one = read_store(spark, root, "field_values", key=FIELD).groupBy(F.concat("name", F.lit(" alone")).alias("name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("customer_id").alias("n_customers"))
+    return whole.unionByName(one)
+
+
+@query
+def stored_orders_latest(spark, sf_dir):
+    """Orders landed three times, with less and less of them; the last landing of an order counts."""
+    held = tables.orders(spark, sf_dir)
+    waves = [_as_lines(held.select("id", "customer_id", F.concat("status", F.lit(mark)).alias("status")).where(which))
+             for mark, which in (("1", "true"), ("2", "id % 3 = 0"), ("3", "id % 6 = 0"))]
+    return read_store(spark, _take_in(spark, "orders", waves, fold_after=1), "orders").select("id", "customer_id", "status")
+
+
+@query
+def stored_products_replaced(spark, sf_dir):
+    """Products of an order that is landed again replace all it had before."""
+    held = tables.products(spark, sf_dir).select("order_id", "sku", "quantity")
+    again = held.where("order_id % 4 = 0").groupBy("order_id").agg(F.min("sku").alias("sku"), F.lit(1).alias("quantity"))
+    root = _take_in(spark, "order_products", [_as_lines(held), _as_lines(again)])
+    return read_store(spark, root, "order_products").groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("n_products"), F.sum("quantity").alias("quantity"), F.min("sku").alias("first_sku"))
+
+
+@query
+def stored_rejects(spark, sf_dir):
+    """Rows that break a rule are set aside with their problems, from the pass that stores the others."""
+    held = tables.values(spark, sf_dir).select(
+        F.when(F.col("seq") % 9 == 0, F.col("customer_id") + 0.5).otherwise(F.col("customer_id")).alias("customer_id"),
+        F.when(F.col("seq") % 7 > 0, F.col("name")).alias("name"), "value",
+    )
+    root = _take_in(spark, "field_values", [tables.value_pages(held)])
+    bad = read_rejects(spark, root, "field_values").select(
+        F.try_variant_get("row", "$.customer_id", "double").alias("customer_id"), F.array_join("problems", "; ").alias("problems"))
+    good = read_store(spark, root, "field_values").select(F.col("customer_id").cast("double"), F.lit("").alias("problems"))
+    return bad.unionByName(good).groupBy("customer_id", "problems").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def values_vacuumed(spark, sf_dir):
+    """Current values after both waves were folded and the folders no longer needed deleted."""
+    root, state = new_folder(spark, "values"), new_folder(spark, "feed")
+    landing = new_folder(spark, "changes")
+    deleted = []
+    for wave in _two_waves(tables.values(spark, sf_dir)):
+        tables.land_more(_as_lines(wave.select(
+            F.col("customer_id").cast("string").alias("customer_id"), "name", "value",
+            F.col("ts").cast("string").alias("ts"), "seq",
+        )), landing)
+        run_value_feed(stream_changes(spark, landing), root, state)
+        compact(spark, root)
+        deleted += vacuum(spark, root)
+    return read_values(spark, root).withColumn("n_deleted", F.lit(len(deleted)).cast("bigint"))
+
+
+@query
+def export_ledger(spark, sf_dir):
+    """Ledgers of a full run and of two increments: who was exported when."""
+    held, out = tables.values(spark, sf_dir), new_folder(spark, "exports")
+    found = None
+    for run, which in (("first", "seq % 3 = 0"), ("second", "seq % 3 < 2"), ("third", "true")):
+        result = export_segment(
+            held.where(which), tables.customers(spark, sf_dir), key="ledger", field=FIELD, value=VALUE,
+            columns="Email:email", out_dir=out, run_date=RUN_DATE, run=run, incremental=run != "first", write=True,
+        )
+        if result.written:
+            rows = spark.read.schema("id BIGINT").parquet(f"{out}/ledger/ledger/*/run={run}").withColumn("run", F.lit(run))
+            found = rows if found is None else found.unionByName(rows)
+    return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -98,8 +99,29 @@ def feed_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").head()["id"].replace("-", "")
 
 
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder and what it holds; False if it was not there."""
+    fs, hadoop_path = _file_system(spark, path)
+    return bool(fs.delete(hadoop_path, True))
+
+
+def expire_staged(spark: SparkSession, hours: float) -> list[str]:
+    """Delete what other applications staged and did not touch for so many hours; returns their ids.
+
+    An application that failed leaves its staged tables behind; call this from time
+    to time with more hours than any application runs.
+    """
+    root = f"{shared_root(spark)}/storegrain"
+    oldest = (time.time() - 3600 * hours) * 1000
+    gone = []
+    for name, path, modified in list_folder(spark, root):
+        if name != spark.sparkContext.applicationId and modified < oldest:
+            delete_folder(spark, path)
+            gone.append(name)
+    return sorted(gone)
+
+
 def drop_staged(spark: SparkSession) -> bool:
     """Delete what this application staged; call it when its results are no longer read."""
     app = spark.sparkContext.applicationId
-    fs, hadoop_path = _file_system(spark, f"{shared_root(spark)}/storegrain/{app}")
-    return bool(fs.delete(hadoop_path, True))
+    return delete_folder(spark, f"{shared_root(spark)}/storegrain/{app}")

@@ -1,3 +1,4 @@
+import shutil
 from datetime import date
 from pathlib import Path
 
@@ -126,3 +127,28 @@ def test_requests_are_checked_first(spark, people, tmp_path):
         export_segment(held(spark, 1), people, registry=registry.where("name = 'Other'"), **ask)
     with pytest.raises(ColumnListError):
         export_segment(held(spark, 1), people, **{**ask, "columns": "X:nope"})
+
+
+def test_increments_are_told_from_the_ledger(spark, people, tmp_path):
+    """The cells of the base are not read again; a base without ledger is."""
+    ask = dict(out_dir=str(tmp_path), incremental=True, write=True, **ASK)
+    first = export_segment(held(spark, 1, 2), people, run="a", **ask)
+    (ledger,) = (tmp_path / "my-key" / "ledger").glob("columns=*")
+    assert sorted(r.id for r in spark.read.parquet(f"{ledger}/run=a").collect()) == [1, 2]
+    for part in Path(first.base_path).glob("part-*.csv"):
+        part.write_text("spoilt")
+    second = export_segment(held(spark, 1, 2, 3), people, run="b", **ask)
+    assert counts(second) == (3, 1, 1, True)
+    # Runs of before the ledger: their base is read.
+    shutil.rmtree(ledger / "run=b")
+    shutil.rmtree(first.base_path)
+    third = export_segment(held(spark, 1, 3, 4), people, run="c", **ask)
+    assert sorted(r[0] for r in read_csv(spark, third.base_path).collect()) == ["1", "4"]
+
+
+def test_a_ledger_without_its_base_counts_for_nothing(spark, people, tmp_path):
+    ask = dict(out_dir=str(tmp_path), incremental=True, write=True, **ASK)
+    first = export_segment(held(spark, 1), people, run="a", **ask)
+    (Path(first.base_path) / "_SUCCESS").unlink()
+    again = export_segment(held(spark, 1), people, run="b", **ask)
+    assert counts(again) == (1, 1, 1, True)

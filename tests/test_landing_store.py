@@ -1,0 +1,181 @@
+import json
+from pathlib import Path
+
+import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from test_feeds import forget_last_commit
+
+from storegrain.plans.export import export_segment
+from storegrain.sources.batches import vacuum
+from storegrain.sources.csv_files import read_csv
+from storegrain.sources.landing_store import SLOTS, compact_store, read_rejects, read_store, slot_of
+from storegrain.streaming.landing_feed import run_landing_feed
+
+
+def land(folder: Path, name: str, payload) -> None:
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(payload if isinstance(payload, str) else json.dumps(payload))
+
+
+def page(*rows: dict) -> dict:
+    return {"data": list(rows), "meta": {}}
+
+
+def value(customer_id, name, held) -> dict:
+    return {"customer_id": customer_id, "name": name, "value": held}
+
+
+def person(number: int, mail: str) -> dict:
+    return {"id": number, "email": mail, "first_name": "P", "last_name": str(number), "phone": "1",
+            "addresses": [{"country": "Chad", "zip": "00"}], "form_fields": [{"name": "Hue", "value": ["red", "blue"]}]}
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    pages, root = tmp_path / "pages", str(tmp_path / "store")
+
+    def run(kind, *payloads, checkpoint="state", **options):
+        count = len(list(pages.iterdir())) if pages.exists() else 0
+        for number, payload in enumerate(payloads, count):
+            land(pages, f"{number}.json", payload)
+        run_landing_feed(spark, str(pages), root, kind, checkpoint=str(tmp_path / checkpoint), **options)
+        return root
+
+    return run
+
+
+def rows(df) -> list[tuple]:
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_values_of_odd_names_come_back_unchanged(spark, feed):
+    names = ["", " ", "a/b=c:d", "a/b=c:D", "é" * 200, "50%", "__HIVE_DEFAULT_PARTITION__"]
+    held = [value(n, name, None if n % 2 else "v") for n, name in enumerate(names, 1)]
+    root = feed("field_values", page(*held[:4]))
+    feed("field_values", page(*held[4:]))
+    wanted = sorted([(h["customer_id"], h["name"], h["value"]) for h in held], key=str)
+    assert rows(read_store(spark, root, "field_values")) == wanted
+    assert compact_store(spark, root, "field_values") and not compact_store(spark, root, "field_values")
+    assert rows(read_store(spark, root, "field_values")) == wanted
+    for name in names:
+        found = read_store(spark, root, "field_values", key=name)
+        assert rows(found) == [r for r in wanted if r[1] == name]
+
+
+def test_asking_for_one_field_opens_its_slot_only(spark, feed):
+    held = [value(n, f"field {n % 90}", "v") for n in range(1, 900)]
+    root = feed("field_values", page(*held))
+    whole, one = read_store(spark, root, "field_values"), read_store(spark, root, "field_values", key="field 7")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "(slot#" in plan and "EqualTo(name,field 7)" in plan
+    assert one.count() == 10 and 0 < len(one.inputFiles()) <= len(whole.inputFiles())
+    slot = spark.range(1).select(slot_of(F.lit("field 7"))).first()[0]
+    opened = {r[0] for r in one.select(F.col("_metadata.file_path")).distinct().collect()}
+    assert opened and all(f"/slot={slot}/" in path for path in opened) and slot < SLOTS
+
+
+def test_bad_rows_and_pages_are_set_aside(spark, feed):
+    good = value(1, "F", "Y")
+    root = feed("field_values", page(good, value(1.5, "F", "Y"), {"name": "F"}), {"data": 3, "meta": {}}, "no json at all")
+    assert rows(read_store(spark, root, "field_values")) == [(1, "F", "Y")]
+    rejects = read_rejects(spark, root, "field_values")
+    assert sorted(len(r.problems) for r in rejects.collect()) == [1, 1, 2, 2]
+    assert {r[0] for r in rejects.select(F.try_variant_get("row", "$.customer_id", "double")).collect()} == {1.5, None}
+    assert {Path(r.file).name for r in rejects.collect()} == {"0.json", "1.json", "2.json"}
+
+
+def test_a_strict_feed_stores_nothing_of_a_bad_batch(spark, feed, tmp_path):
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        feed("field_values", page(value(1, "F", "Y"), {"name": "F"}), mode="fail")
+    assert rows(read_store(spark, str(tmp_path / "store"), "field_values")) == []
+    with pytest.raises(ValueError):
+        feed("people")
+
+
+def test_a_replayed_batch_and_a_new_checkpoint(spark, feed, tmp_path):
+    root = feed("field_values", page(value(1, "F", "Y")))
+    feed("field_values", page(value(2, "F", "Y")))
+    forget_last_commit(tmp_path / "state")
+    feed("field_values")
+    assert rows(read_store(spark, root, "field_values")) == [(1, "F", "Y"), (2, "F", "Y")]
+    # Another checkpoint reads all pages again: values are the union of what was landed.
+    feed("field_values", checkpoint="other")
+    assert len(rows(read_store(spark, root, "field_values"))) == 4
+
+
+def test_the_last_landed_row_of_a_key_counts(spark, feed):
+    def mails():
+        return rows(read_store(spark, root, "customers").select("id", "email"))
+
+    root = feed("customers", page(person(1, "a@x"), person(2, "b@x")))
+    feed("customers", page(person(2, "c@x"), person(3, "d@x"), person(3, "d@x")))
+    wanted = [(1, "a@x"), (2, "c@x"), (3, "d@x")]
+    assert mails() == wanted
+    assert compact_store(spark, root, "customers")
+    assert mails() == wanted
+    feed("customers", page(person(1, "e@x")))
+    feed("customers", page(person(1, "f@x")))
+    assert mails() == [(1, "f@x"), (2, "c@x"), (3, "d@x")]
+    assert rows(read_store(spark, root, "customers", key=1).select("email")) == [("f@x",)]
+    [row] = read_store(spark, root, "customers", key=2).select(
+        F.try_variant_get(F.col("addresses")[0]["extra"], "$.zip", "string").alias("zip"), "form_fields"
+    ).collect()
+    assert row.zip == "00" and row.form_fields[0].value == ["red", "blue"]
+
+
+def test_products_of_an_order_are_replaced_together(spark, feed):
+    def product(order, sku):
+        return {"order_id": order, "sku": sku, "name": sku, "quantity": 1, "price": "1.5"}
+
+    root = feed("order_products", [product(1, "a"), product(1, "b"), product(2, "c"), product(2, "c")])
+    feed("order_products", [product(1, "z")])
+    held = read_store(spark, root, "order_products").select("order_id", "sku")
+    assert rows(held) == [(1, "z"), (2, "c"), (2, "c")]
+
+
+def test_carts_and_orders(spark, feed, tmp_path):
+    root = feed("carts", {"data": {"id": "c1", "line_items": {"physical_items": [{"name": "n", "quantity": 2, "sku": "s"}]}}}, {"data": {}})
+    assert rows(read_store(spark, root, "carts").select("id", F.size("physical_items"))) == [("c1", 1)]
+    assert read_rejects(spark, root, "carts").count() == 1
+
+
+def test_vacuum_keeps_what_is_read(spark, feed, tmp_path):
+    root = feed("customers", page(person(1, "a@x")))
+    assert vacuum(spark, root) == []
+    feed("customers", page(person(2, "b@x")))
+    compact_store(spark, root, "customers")
+    feed("customers", page(person(3, "c@x")))
+    compact_store(spark, root, "customers")
+    wanted = rows(read_store(spark, root, "customers").select("id"))
+    assert len(vacuum(spark, root, keep=2)) == 2
+    gone = vacuum(spark, root)
+    assert len(gone) == 1 and "/base/upto=1" in gone[0]
+    assert rows(read_store(spark, root, "customers").select("id")) == wanted == [(1,), (2,), (3,)]
+    # The newest batch stays, so a replay finds its own folder.
+    forget_last_commit(tmp_path / "state")
+    feed("customers")
+    assert rows(read_store(spark, root, "customers").select("id")) == wanted
+    feed("customers", page(person(4, "d@x")))
+    assert len(rows(read_store(spark, root, "customers").select("id"))) == 4
+    with pytest.raises(ValueError):
+        vacuum(spark, root, keep=0)
+
+
+def test_an_empty_store(spark, tmp_path):
+    root = str(tmp_path / "none")
+    assert read_store(spark, root, "orders").count() == 0
+    assert read_rejects(spark, root, "orders").count() == 0
+    assert not compact_store(spark, root, "orders")
+
+
+def test_export_from_stores(spark, tmp_path):
+    for kind, payload in (("customers", page(person(1, "a@x"), person(2, "b@x"))), ("field_values", page(value(2, "F", "Y"), value(1, "F", "N")))):
+        land(tmp_path / kind, "1.json", payload)
+        run_landing_feed(spark, str(tmp_path / kind), str(tmp_path / f"{kind}-store"), kind, checkpoint=str(tmp_path / f"{kind}-state"))
+    held = read_store(spark, str(tmp_path / "field_values-store"), "field_values", key="F")
+    people = read_store(spark, str(tmp_path / "customers-store"), "customers")
+    result = export_segment(held, people, key="k", field="F", value="Y", columns="Mail:email,Zip:addresses[0].zip,Hue:form_field:Hue",
+                            out_dir=str(tmp_path / "out"), write=True)
+    assert rows(read_csv(spark, result.clean_path)) == [("b@x", "00", "red, blue")]

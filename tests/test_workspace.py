@@ -1,3 +1,7 @@
+import os
+import time
+from pathlib import Path
+
 from storegrain import workspace
 
 
@@ -27,3 +31,14 @@ def test_shared_root_is_the_sessions(spark):
 def test_empty_table(spark):
     df = workspace.empty_table(spark, "`a b` STRING, n ARRAY<INT>")
     assert df.columns == ["a b", "n"] and df.count() == 0
+
+
+def test_staged_tables_of_applications_long_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_root", lambda _: str(tmp_path))
+    for name, hours in (("app-old", 30), ("app-new", 1), (spark.sparkContext.applicationId, 99)):
+        folder = tmp_path / "storegrain" / name
+        (folder / "table").mkdir(parents=True)
+        os.utime(folder, (time.time() - 3600 * hours,) * 2)
+    assert workspace.expire_staged(spark, hours=24) == ["app-old"]
+    left = sorted(p.name for p in Path(tmp_path / "storegrain").iterdir())
+    assert left == sorted(["app-new", spark.sparkContext.applicationId])
