@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _fallback_roots: dict[str, str] = {}
 
 
@@ -48,10 +52,29 @@ def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     path = new_folder(spark, label)
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    with shuffles_dropped(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it ends, as its table is written.
+
+    Else they stay on the executors' disks until the driver happens to collect garbage.
+    The session's own setting is put back.
+    """
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def empty_table(spark: SparkSession, ddl: str) -> DataFrame:
     """No rows of the given columns, known to the planner as empty."""
     columns = T.StructType.fromDDL(ddl).fields

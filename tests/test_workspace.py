@@ -42,3 +42,13 @@ def test_staged_tables_of_applications_long_gone(spark, tmp_path, monkeypatch):
     assert workspace.expire_staged(spark, hours=24) == ["app-old"]
     left = sorted(p.name for p in Path(tmp_path / "storegrain").iterdir())
     assert left == sorted(["app-new", spark.sparkContext.applicationId])
+
+
+def test_staging_keeps_the_sessions_setting(spark):
+    for own in (None, "false", "true"):
+        if own is not None:
+            spark.conf.set(workspace.DROP_SHUFFLES, own)
+        before = spark.conf.get(workspace.DROP_SHUFFLES, None)
+        staged = workspace.stage(spark.range(1000).repartition(7, "id").groupBy("id").count(), "numbers")
+        assert staged.count() == 1000 and spark.conf.get(workspace.DROP_SHUFFLES, None) == before
+    spark.conf.unset(workspace.DROP_SHUFFLES)
