@@ -21,7 +21,6 @@ hash; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import string
 from collections.abc import Iterator
 
@@ -32,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storegrain.llm.components import connected_components
+from storegrain.llm.memos import only
 from storegrain.llm.shared_hashes import Owned, shared_hashes
 from storegrain.workspace import stage
 
@@ -50,9 +50,8 @@ class WordHashes(dict):
         return made
 
 
-@functools.cache
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return only("word-hashes", WordHashes)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -264,7 +265,7 @@ SPANS = "shard int, rows binary, lows binary, highs binary"
 
 
 def _packed_pieces(texts, keys, docs, numbers, starts, counts, shards, length) -> pa.RecordBatch:
-    """One row a shard: its distinct stretches, and for each where it lies."""
+    """One row a shard: its distinct stretches (compressed), and for each where it lies."""
     rows = []
     order = np.argsort(shards, kind="stable")
     bounds = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-1))
@@ -277,7 +278,7 @@ def _packed_pieces(texts, keys, docs, numbers, starts, counts, shards, length) -
         at = np.array([a for found in places.values() for a in found])
         rows.append((
             int(shards[order[low]]),
-            b"".join(places),
+            zstandard.compress(b"".join(places), 1),
             np.array([len(p) for p in places], np.int32).tobytes(),
             np.array([len(a) for a in places.values()], np.int32).tobytes(),
             keys[numbers[at]].tobytes(),
@@ -294,9 +295,48 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+def _taken_runs(least: list[np.ndarray], number: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For places of stretches (``number``) in documents: place, first and last start of each run that a smaller id has.
+
+    Which starts are taken depends only on how many of a stretch's owners are below
+    the document, so runs are found once for each stretch and such number, and not
+    start by start for each place.
+    """
+    sizes = np.array([len(x) for x in least], np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    flat = np.concatenate(least)
+    values, rank = np.unique(flat, return_inverse=True)
+    width = len(values) + 1
+    owners = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + rank)
+    first = np.searchsorted(owners, np.arange(len(sizes)) * width)
+    at = np.searchsorted(owners, number * width + np.searchsorted(values, docs))
+    below = at - first[number]
+    hit = np.flatnonzero(below)
+    if not len(hit):
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    case, of = np.unique(number[hit] * (int(below.max()) + 1) + below[hit], return_inverse=True)
+    example = hit[np.unique(of, return_index=True)[1]]
+    piece, most = number[example], values[owners[at[example] - 1] % width]
+    reps = sizes[piece]
+    inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    taken = np.flatnonzero(flat[np.repeat(offsets[piece], reps) + inside] <= np.repeat(most, reps))
+    begin, begin_case = inside[taken], np.repeat(np.arange(len(case)), reps)[taken]
+    new = np.concatenate([[True], (begin_case[1:] != begin_case[:-1]) | (begin[1:] != begin[:-1] + 1)])
+    low = np.flatnonzero(new)
+    last = np.append(low[1:], len(begin)) - 1
+    low, high, run_case = begin[low], begin[last], begin_case[low]
+    # Each place gets the runs of its case.
+    n_runs = np.bincount(run_case, minlength=len(case))
+    start = np.cumsum(n_runs) - n_runs
+    count = n_runs[of]
+    run = np.repeat(start[of], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(hit, count), low[run], high[run]
+
+
 def _shard_spans(table: pa.Table, length: int, n_shards: int) -> pa.Table:
     """What the strings of a shard cover, packed by part of the rows."""
-    text, lengths = b"".join(table.column("pieces").to_pylist()), _joined(table, "lengths", np.int32)
+    text = b"".join(zstandard.decompress(piece) for piece in table.column("pieces").to_pylist())
+    lengths = _joined(table, "lengths", np.int32)
     counts, rows = _joined(table, "counts", np.int32), _joined(table, "rows", np.int64)
     docs, starts = _joined(table, "docs", np.int64), _joined(table, "starts", np.int32).astype(np.int64)
     ends = np.cumsum(lengths, dtype=np.int64)
@@ -306,27 +346,16 @@ def _shard_spans(table: pa.Table, length: int, n_shards: int) -> pa.Table:
     first = np.full(len(known), NEVER)
     np.minimum.at(first, number, docs)
     least = covered_starts(list(known), first, length)
-    sizes = np.array([len(x) for x in least], np.int64)
-    offsets = np.cumsum(sizes) - sizes
-    flat = np.concatenate(least)
-    # Each place of a stretch, string by string.
-    reps = sizes[number]
-    inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    taken = flat[np.repeat(offsets[number], reps) + inside] < np.repeat(docs, reps)
-    begin = (np.repeat(starts, reps) + inside)[taken]
-    place = np.repeat(np.arange(len(number)), reps)[taken]
-    if not len(begin):
+    place, low, high = _taken_runs(least, number, docs)
+    if not len(place):
         return pa.Table.from_batches([], schema=_SPAN_SCHEMA)
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (begin[1:] != begin[:-1] + 1)])
-    low = np.flatnonzero(new)
-    last = np.append(low[1:], len(begin)) - 1
-    owner = rows[place[low]]
+    low, high = low + starts[place], high + starts[place] + length
+    owner = rows[place]
     parts = (owner.view(np.uint64) >> np.uint64(33)).astype(np.int64) % n_shards
     order = np.argsort(parts, kind="stable")
     bounds = np.flatnonzero(np.diff(parts[order], prepend=-1, append=-1))
     made = [
-        (int(parts[order[a]]), owner[order[a:b]].tobytes(), begin[low][order[a:b]].tobytes(),
-         (begin[last] + length)[order[a:b]].tobytes())
+        (int(parts[order[a]]), owner[order[a:b]].tobytes(), low[order[a:b]].tobytes(), high[order[a:b]].tobytes())
         for a, b in zip(bounds[:-1], bounds[1:], strict=True)
     ]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), _SPAN_SCHEMA, strict=True)], schema=_SPAN_SCHEMA)

@@ -12,7 +12,6 @@ text count as the tokenizer's own single token; each row gives one row.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from storegrain.llm.memos import only
+
 #: Pieces in a generation of a worker's memory.
 REMEMBERED = 300_000
 
@@ -157,10 +158,9 @@ class PieceCounts(PieceMemo):
         return 1 if spelled in self.proven else len(self.model.tokenize(spelled))
 
 
-@functools.cache
 def _counts(path: str) -> PieceCounts:
-    """One per Python worker: the proven set and the remembered pieces outlive a batch."""
-    return PieceCounts(path)
+    """The proven set and the remembered pieces of a Python worker outlive a batch."""
+    return only(("piece-counts", path), lambda: PieceCounts(path))
 
 
 def count_tokens(

@@ -16,7 +16,6 @@ empty table gives an empty index and no file.
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 from array import array
@@ -30,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storegrain.llm.memos import only
 from storegrain.llm.token_counts import PieceMemo
 from storegrain.workspace import new_folder, stage
 
@@ -56,9 +56,8 @@ class PieceIds(PieceMemo):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@functools.cache
 def _ids(path: str) -> PieceIds:
-    return PieceIds(path)
+    return only(("piece-ids", path), lambda: PieceIds(path))
 
 
 class FrameWriter:

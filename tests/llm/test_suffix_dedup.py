@@ -87,3 +87,22 @@ def test_equal_strings_have_equal_names():
         text = bytes(chosen.choice(b"abcd ") for _ in range(chosen.randint(0, 90))) + passage
         names.append(list(S.least_hashes(text, 50)[-31:]))
     assert all(n == names[0] for n in names)
+
+
+def test_runs_of_places_are_those_of_each_start():
+    chosen = random.Random(9)
+    for _ in range(60):
+        least = [np.array([chosen.randint(0, 6) for _ in range(chosen.randint(1, 9))], np.int64) for _ in range(chosen.randint(1, 5))]
+        number = np.array([chosen.randrange(len(least)) for _ in range(chosen.randint(1, 12))], np.int64)
+        docs = np.array([chosen.randint(0, 7) for _ in number], np.int64)
+        wanted = []
+        for place, (n, doc) in enumerate(zip(number.tolist(), docs.tolist(), strict=True)):
+            starts = [k for k, owner in enumerate(least[n].tolist()) if owner < doc]
+            for k in starts:
+                if k - 1 not in starts:
+                    end = k
+                    while end + 1 in starts:
+                        end += 1
+                    wanted.append((place, k, end))
+        got = S._taken_runs(least, number, docs)
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == wanted
