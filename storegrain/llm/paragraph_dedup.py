@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storegrain.llm.components import connected_components
-from storegrain.llm.jaccard_join import LOWER, word_hashes, links_at_hubs, mixed
+from storegrain.llm.jaccard_join import LOWER, links_at_hubs, mixed
 from storegrain.llm.shared_hashes import Owned, bucket_count, shared_hashes, token_names
+from storegrain.llm.suffix_dedup import words_at
 from storegrain.workspace import stage
 
 MIN_WORDS = 8
@@ -59,18 +60,18 @@ def tune_bands(percent: int = 80, recall: float = 0.998, noise: float = 0.1) ->
     raise ValueError("no bands give that recall with so little noise")
 
 
-Cut = tuple[list[tuple[int, int]], list[int], list[bytes]]
+Cut = tuple[list[tuple[int, int]], list[int], int]
 
 
 def cut_text(text: str) -> Cut:
-    """Bounds and word counts of the paragraphs, which make up the text, and all words in lower case."""
+    """Bounds and word counts of the paragraphs, which make up the text, and the number of all words."""
     if not text:
-        return [], [], []
+        return [], [], 0
     data = text.encode()
-    words, _, starts, cuts = cut_words(data, np.zeros(1, np.int64))
+    hashes, starts, cuts = cut_words(data, np.zeros(1, np.int64))
     at = [0, *_chars(data, starts[cuts]), len(text)]
-    counts = np.diff(np.concatenate([[0], cuts, [len(words)]])).tolist()
-    return list(zip(at[:-1], at[1:], strict=True)), counts, words
+    counts = np.diff(np.concatenate([[0], cuts, [len(hashes)]])).tolist()
+    return list(zip(at[:-1], at[1:], strict=True)), counts, len(hashes)
 
 
 def _chars(data: bytes, places: np.ndarray) -> list[int]:
@@ -79,28 +80,41 @@ def _chars(data: bytes, places: np.ndarray) -> list[int]:
     return (chars[places] - 1).tolist()
 
 
-def cut_words(data: bytes, texts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of texts that start at ``texts`` in ``data``, their hashes and starts, and the words that start a further paragraph of a text."""
-    raw = np.frombuffer(data, np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[raw], [True]]).view(np.int8)))
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words (A-Z as a-z), eight bytes of all of them at a time."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[np.frombuffer(data, np.uint8)], [True]]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    words = data.translate(LOWER).split()
-    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    eight = words_at(data.translate(LOWER) + b"\0" * 8)
+    left = ends - starts
+    hashes = left.astype(np.uint64)
+    live, at = np.arange(len(starts)), starts
+    while len(live):
+        unused = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+        hashes[live] = mixed(hashes[live] * np.uint64(0x9E3779B97F4A7C15) + (eight[at] >> unused))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return starts, ends, hashes
+
+
+def cut_words(data: bytes, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of texts that start at ``texts`` in ``data``, and the words that start a further paragraph of a text."""
+    raw = np.frombuffer(data, np.uint8)
+    starts, ends, hashes = hashed_words(data)
     lines = np.append(0, np.cumsum(raw == 10, dtype=np.int32))
     stop = STOP[raw[ends - 1]]
     stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
-    rank = np.zeros(len(words) + 1, np.uint64)
+    rank = np.zeros(len(hashes) + 1, np.uint64)
     rank[2:] = mixed(hashes[1:] * np.uint64(0x9E3779B97F4A7C15) + hashes[:-1]) >> np.uint64(2) | np.uint64(1)
     rank[1:][stop] |= np.uint64(1 << 63)
     first = np.searchsorted(starts, texts)
     near = (first[:, None] + np.arange(MIN_WORDS)).ravel()
-    rank[near[near <= len(words)]] = 0
-    last = (np.append(first[1:], len(words))[:, None] - np.arange(MIN_WORDS)).ravel()
+    rank[near[near <= len(hashes)]] = 0
+    last = (np.append(first[1:], len(hashes))[:, None] - np.arange(MIN_WORDS)).ravel()
     last = last[last >= 0]
     rank[last[rank[last] < np.uint64(1 << 63)]] = 0
     rank[-1] = 0
     rank[first] = 0
-    return words, hashes, starts, _chosen(rank)
+    return hashes, starts, _chosen(rank)
 
 
 def _chosen(rank: np.ndarray) -> np.ndarray:
@@ -133,7 +147,11 @@ def paragraphs_of(text: str) -> list[tuple[int, int]]:
 
 @dataclass
 class Paragraphs:
-    """The paragraphs of ``MIN_WORDS`` words or more of some texts, with their shingle sets end to end."""
+    """The paragraphs of ``MIN_WORDS`` words or more of some texts, with their shingles end to end.
+
+    As they are cut, shingles stand in the order of the text and may repeat; ``picked``
+    makes sets of them.
+    """
 
     text: np.ndarray
     number: np.ndarray
@@ -144,38 +162,46 @@ class Paragraphs:
     def sizes(self) -> np.ndarray:
         return np.diff(np.append(self.starts, len(self.flat)))
 
+    def picked(self, kept: np.ndarray) -> Paragraphs:
+        """Some of the paragraphs, the shingles of each a sorted set."""
+        sizes = self.sizes()[kept]
+        which = np.repeat(np.arange(len(kept)), sizes)
+        flat = self.flat[np.repeat(self.starts[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(which))]
+        order = np.lexsort((flat, which))
+        flat, which = flat[order], which[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (which[1:] != which[:-1])
+        flat, which = flat[new], which[new]
+        return Paragraphs(
+            self.text[kept], self.number[kept], self.words[kept], flat, np.searchsorted(which, np.arange(len(kept)))
+        )
+
     def classes(self) -> np.ndarray:
-        """A name for each set, equal for equal sets."""
+        """A name for each (picked) set, equal for equal sets."""
         sizes = self.sizes().astype(np.uint64)
         return np.add.reduceat(mixed(self.flat + np.repeat(sizes, self.sizes())), self.starts).view(np.int64)
 
 
-def paragraph_sets(texts: list[str | None], shingle: int) -> Paragraphs:
+def paragraph_shingles(texts: list[str | None], shingle: int) -> Paragraphs:
     """Paragraphs of a list of texts (about ``CHUNK_CHARS`` long in all); ``shingle`` is ``MIN_WORDS`` at most."""
     data = [(content or "").encode() for content in texts]
     begin = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
-    words, hashes, places, cuts = cut_words(b"\n".join(data), begin)
+    hashes, places, cuts = cut_words(b"\n".join(data), begin)
     first = np.searchsorted(places, begin)
-    filled = np.diff(np.append(first, len(words))) > 0
+    filled = np.diff(np.append(first, len(hashes))) > 0
     starts = np.sort(np.concatenate([first[filled], cuts]))
-    counts = np.diff(np.append(starts, len(words)))
+    counts = np.diff(np.append(starts, len(hashes)))
     text = np.searchsorted(first[filled], starts, "right") - 1
     number = np.arange(len(starts)) - np.searchsorted(text, text)
     text = np.flatnonzero(filled)[text]
-    made = np.full(max(0, len(words) - shingle + 1), shingle, np.uint64)
+    made = np.full(max(0, len(hashes) - shingle + 1), shingle, np.uint64)
     for offset in range(shingle):
         made = mixed(made * np.uint64(0x9E3779B97F4A7C15) + hashes[offset : len(made) + offset])
     kept = np.flatnonzero(counts >= MIN_WORDS)
     sizes = counts[kept] - shingle + 1
     which = np.repeat(np.arange(len(kept)), sizes)
     at = np.repeat(starts[kept], sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    flat = made[at]
-    order = np.lexsort((flat, which))
-    flat, which = flat[order], which[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (which[1:] != which[:-1])
-    flat, which = flat[new], which[new]
-    return Paragraphs(text[kept], number[kept], counts[kept], flat, np.searchsorted(which, np.arange(len(kept))))
+    return Paragraphs(text[kept], number[kept], counts[kept], made[at], np.cumsum(sizes) - sizes)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -220,7 +246,7 @@ def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int)
     def owned_of(batch: pa.RecordBatch) -> Iterator[Owned]:
         owners = batch.column(0).to_pylist()
         for first, chunk in _chunks(batch.column(1).to_pylist()):
-            found = paragraph_sets(chunk, shingle)
+            found = paragraph_shingles(chunk, shingle)
             codes = band_hashes(found.flat, found.starts, bands, rows)
             cuts = np.searchsorted(found.text, np.arange(len(chunk) + 1))
             for at in range(len(chunk)):
@@ -234,7 +260,7 @@ def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int)
             owners, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
             for first, chunk in _chunks(batch.column(2).to_pylist()):
-                made = paragraph_sets(chunk, shingle)
+                made = paragraph_shingles(chunk, shingle)
                 codes = band_hashes(made.flat, made.starts, bands, rows)
                 names = token_names(codes.reshape(-1), n_buckets).reshape(-1, bands)
                 cuts = np.searchsorted(made.text, np.arange(len(chunk) + 1))
@@ -243,15 +269,14 @@ def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int)
                     own = slice(cuts[at], cuts[at + 1])
                     hit[own] = np.isin(names[own], lists[first + at].values.to_numpy())
                 kept = np.flatnonzero(hit.any(axis=1))
-                sizes = made.sizes()
-                inside = np.repeat(hit.any(axis=1), sizes)
-                at = made.text[kept] + first
+                sets = made.picked(kept)
+                at = sets.text + first
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(owners[at]), pa.array(docs[at]), pa.array(made.number[kept].astype(np.int32)),
-                        pa.array(made.classes()[kept]), pa.array(made.words[kept].astype(np.int32)),
-                        pa.array(sizes[kept].astype(np.int32)),
-                        _lists(made.flat[inside].view(np.int64), sizes[kept]),
+                        pa.array(owners[at]), pa.array(docs[at]), pa.array(sets.number.astype(np.int32)),
+                        pa.array(sets.classes()), pa.array(sets.words.astype(np.int32)),
+                        pa.array(sets.sizes().astype(np.int32)),
+                        _lists(sets.flat.view(np.int64), sets.sizes()),
                         _lists(names[kept][hit[kept]], hit[kept].sum(axis=1)),
                     ],
                     schema=_FOUND_SCHEMA,
@@ -328,8 +353,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows around the paragraphs ``numbers`` of a text, those in short runs (``short``) wanted."""
     for batch in batches:
         for row, doc_id, text, numbers, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words, hashes, _, cuts = cut_words(text.encode(), np.zeros(1, np.int64))
-            bounds = np.concatenate([[0], cuts, [len(words)]])
+            hashes, _, cuts = cut_words(text.encode(), np.zeros(1, np.int64))
+            bounds = np.concatenate([[0], cuts, [len(hashes)]])
             codes = window_codes(hashes)
             state = np.zeros(len(codes), np.int8)
             for value, chosen in ((1, numbers), (2, short)):
@@ -373,12 +398,12 @@ def common_windows(texts: DataFrame, repeated: DataFrame, min_run: int) -> DataF
 
 def _left(text: str, gone: set[int], windows: list[int], cut: Cut) -> tuple[str, int]:
     """The text without paragraphs ``gone`` and windows, and how many paragraphs lost words."""
-    bounds, counts, words = cut
+    bounds, counts, n_words = cut
     if not windows:
         return "".join(text[a:b] for k, (a, b) in enumerate(bounds) if k not in gone), len(gone)
     data = text.encode()
-    places = [*_chars(data, cut_words(data, np.zeros(1, np.int64))[2]), len(text)]
-    covered = np.zeros(len(words) + 1, bool)
+    places = [*_chars(data, cut_words(data, np.zeros(1, np.int64))[1]), len(text)]
+    covered = np.zeros(n_words + 1, bool)
     for start in windows:
         covered[start : start + PASSAGE_WORDS] = True
     kept, lost, first = [], len(gone), 0
@@ -400,7 +425,7 @@ def _without(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Rec
         kept, removed, by_run = [], [], []
         for text, repeated, windows in zip(*columns, strict=True):
             text, repeated, windows = text.as_py(), set(repeated.as_py() or ()), windows.as_py() or []
-            cut = cut_text(text) if repeated else ([], [], [])
+            cut = cut_text(text) if repeated else ([], [], 0)
             gone = passages(cut[1], repeated, min_run)
             left, lost = _left(text, gone, windows, cut) if gone or windows else (text, 0)
             kept.append(left)

@@ -8,7 +8,7 @@ import numpy as np
 from corpora import SCHEMA, components, frame, rows, shingles
 
 from storegrain.llm import paragraph_dedup as P
-from storegrain.llm.jaccard_join import shingle_set
+from storegrain.llm.jaccard_join import LOWER
 
 
 def brute(table: list[tuple], min_run: int = 30) -> list[tuple]:
@@ -93,18 +93,30 @@ def test_sets_of_many_texts_at_once():
     chosen = random.Random(9)
     texts = [None, "", "few words.", " ".join(f"W{chosen.randrange(50)}" for _ in range(400))]
     texts += [" ".join(chosen.choice(["ab", "Cd", "e.", "f\n", "g!  "]) for _ in range(chosen.randint(0, 120))) for _ in range(60)]
-    found = P.paragraph_sets(texts, 5)
-    sets = np.split(found.flat, found.starts[1:])
+    found = P.paragraph_shingles(texts, 5)
+    lists = np.split(found.flat, found.starts[1:])
     wanted = {}
     for at, text in enumerate(texts):
-        bounds, counts, words = P.cut_text(text or "")
-        assert sum(counts) == len(words) == len((text or "").encode().split())
+        bounds, counts, n_words = P.cut_text(text or "")
+        assert sum(counts) == n_words == len((text or "").encode().split())
         for number, ((a, b), n) in enumerate(zip(bounds, counts, strict=True)):
-            assert len(text[a:b].encode().split()) == n
+            words = text[a:b].encode().translate(LOWER).split()
+            assert len(words) == n
             if n >= P.MIN_WORDS:
-                wanted[at, number] = shingle_set(text[a:b], 5)
+                wanted[at, number] = [tuple(words[k : k + 5]) for k in range(n - 4)]
     assert list(zip(found.text.tolist(), found.number.tolist(), strict=True)) == list(wanted)
-    assert all(np.array_equal(one, other) for one, other in zip(sets, wanted.values(), strict=True))
+    # One hash for each shingle, another for another, wherever it stands.
+    names = {}
+    for hashes, shingles in zip(lists, wanted.values(), strict=True):
+        assert [names.setdefault(s, h) for s, h in zip(shingles, hashes.tolist(), strict=True)] == hashes.tolist()
+    assert len(set(names.values())) == len(names)
+    kept = np.arange(0, len(lists), 3)
+    sets = found.picked(kept)
+    assert [x.tolist() for x in np.split(sets.flat, sets.starts[1:])] == [sorted(set(lists[k].tolist())) for k in kept]
+    assert np.array_equal(sets.words, found.words[kept])
+    same = {}
+    for k, name in zip(kept.tolist(), sets.classes().tolist(), strict=True):
+        assert same.setdefault(frozenset(list(wanted.values())[k]), name) == name
     assert any(len(text or "") > 1000 for text in texts) and len(P.cut_text(texts[3])[0]) > 5
 
 
@@ -173,3 +185,12 @@ def test_a_shared_stretch_of_less_than_51_words_without_long_run_stays(spark):
         )).collect()
         lost = 200 + size - len({r.doc_id: r.text for r in found}[2].split())
         assert lost == gone or size > 28 and 30 <= lost <= 51
+
+
+def test_word_hashes_tell_words_apart():
+    words = [b"a", b"A", b"b", b"aaaaaaaa", b"aaaaaaaaa", b"aaaaaaaab", b"x" * 4000, b"x" * 3999, "é".encode(), b"12345678\x01", b"12345678"]
+    starts, ends, hashes = P.hashed_words(b" \n".join(words) + b"  ")
+    data = b" \n".join(words)
+    assert [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == words
+    assert hashes[0] == hashes[1] and len(set(hashes.tolist())) == len(words) - 1
+    assert [len(x) for x in P.hashed_words(b"")] == [0, 0, 0]
