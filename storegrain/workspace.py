@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _fallback_roots: dict[str, str] = {}
+_staged_at: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,7 +56,19 @@ def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
     with shuffles_dropped(spark):
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    staged = spark.read.schema(df.schema).parquet(path)
+    _staged_at[staged] = path
+    return staged, seen.get["rows"]
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables (as :func:`stage` gave them) that nothing still to run reads.
+
+    What was made of them must have been staged itself, so that a lost executor
+    never asks for them again.
+    """
+    for df in staged:
+        delete_folder(df.sparkSession, _staged_at.pop(df))
 
 
 @contextmanager

@@ -52,3 +52,11 @@ def test_staging_keeps_the_sessions_setting(spark):
         staged = workspace.stage(spark.range(1000).repartition(7, "id").groupBy("id").count(), "numbers")
         assert staged.count() == 1000 and spark.conf.get(workspace.DROP_SHUFFLES, None) == before
     spark.conf.unset(workspace.DROP_SHUFFLES)
+
+
+def test_released_tables_are_deleted(spark):
+    kept, gone = (workspace.stage(spark.range(3), label) for label in ("kept", "gone"))
+    folder = gone.inputFiles()[0].rsplit("/", 1)[0]
+    assert workspace.path_exists(spark, folder)
+    workspace.release(gone)
+    assert not workspace.path_exists(spark, folder) and kept.count() == 3
