@@ -21,6 +21,7 @@ hash; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 
@@ -38,6 +39,7 @@ from storegrain.workspace import stage
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 REMEMBERED_WORDS = 500_000
 TILE = 2000
+SHARD_TOKENS = 1_000_000
 
 
 class WordHashes(dict):
@@ -93,14 +95,11 @@ def document_classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.mapInArrow(classed, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, class bigint")
 
 
-def _hub_links(table: pa.Table, percent: int) -> pa.Table:
-    """Members of a hub with the least member that they reach by links among them."""
-    owners = table.column("owner").to_numpy()
-    order = np.unique(owners, return_index=True)[1]
-    table = table.take(order)
-    owners, sizes = owners[order], table.column("size").to_numpy().astype(np.int64)
-    lists = table.column("tokens").combine_chunks()
-    tokens, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+Edges = tuple[np.ndarray, np.ndarray]
+
+
+def _hub_links(owners: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, percent: int) -> Edges:
+    """Members (distinct) of a hub with the least member that they reach by links among them."""
     lengths = np.diff(offsets)
     holders = np.repeat(np.arange(len(owners)), lengths)
     by_token = np.argsort(tokens, kind="stable")
@@ -127,7 +126,39 @@ def _hub_links(table: pa.Table, percent: int) -> pa.Table:
         if len(touched) > 1:
             roots[np.isin(roots, touched)] = touched[0]
     away = roots != np.arange(len(owners))
-    return pa.table({"u": owners[away], "v": owners[roots[away]]})
+    return owners[away], owners[roots[away]]
+
+
+def _shard_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links at all hubs of a shard; those of two members are compared all at once."""
+    keys = [table.column(c).to_numpy() for c in ("hub", "a", "b", "owner")]
+    order = np.lexsort(keys[::-1])
+    changes = [np.diff(key[order]) != 0 for key in keys]
+    new_hub = np.concatenate([[True], changes[0] | changes[1] | changes[2]])
+    single = new_hub | np.concatenate([[True], changes[3]])
+    order, new_hub = order[single], new_hub[single]
+    owners, sizes = keys[3][order], table.column("size").to_numpy()[order].astype(np.int64)
+    lists = table.column("tokens").combine_chunks()
+    flat, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    lengths = np.diff(bounds)[order]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    tokens = flat[np.repeat(bounds[:-1][order] - bounds[0] - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    first = np.flatnonzero(new_hub)
+    count = np.diff(np.append(first, len(owners)))
+    # Two members: what both have stands twice among the tokens of the hub.
+    pair = first[count == 2]
+    hub = np.repeat(np.cumsum(new_hub) - 1, lengths)
+    paired = np.flatnonzero(count[hub] == 2)
+    by = paired[np.lexsort((tokens[paired], hub[paired]))]
+    twice = (tokens[by[1:]] == tokens[by[:-1]]) & (hub[by[1:]] == hub[by[:-1]])
+    common = np.bincount(hub[by[1:]][twice], minlength=len(first))[count == 2]
+    linked = 100 * common >= percent * (sizes[pair] + sizes[pair + 1] - common)
+    found = [(owners[pair + 1][linked], owners[pair][linked])]
+    for low, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+        own = offsets[low : low + n + 1]
+        found.append(_hub_links(owners[low : low + n], sizes[low : low + n], tokens[own[0] : own[-1]], own - own[0], percent))
+    u, v = (np.concatenate(side) for side in zip(*found, strict=True))
+    return pa.table({"u": u, "v": v})
 
 
 def class_links(docs: DataFrame, n_shingles: int | None, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -157,14 +188,18 @@ def links_at_hubs(posts: DataFrame, members: DataFrame, percent: int) -> DataFra
     """Edges ``u, v`` that connect all members which link and meet at a token.
 
     ``posts`` (``token, group, closeness, members``) says which groups hold a
-    token, ``members`` (``group, owner, size, tokens``) who belongs to a group.
-    Groups of a token gather at its closest group, the hub.
+    token, ``members`` (``group, owner, size, tokens``, quick to read) who belongs to
+    a group. Groups of a token gather at its closest group, the hub. Most hubs are
+    small, so a task takes shards of many hubs, of about ``SHARD_TOKENS`` tokens.
     """
     hubs = posts.groupBy("token").agg(
         F.max_by("group", F.struct("closeness", "group")).alias("hub"), F.sum("members").alias("met")
     ).where("met > 1")
     stars = stage(posts.join(hubs, "token").select("hub", "group", "members").distinct(), "hub-groups")
     tiles = stars.groupBy("hub").agg(F.ceil(F.sum("members") / TILE).alias("tiles"), F.sum("members").alias("met"))
+    rows = tiles.where("met > 1").agg(F.sum(F.col("met") * F.col("tiles"))).first()[0] or 0
+    mean = members.agg(F.avg(F.size("tokens"))).first()[0] or 0
+    n_shards = max(1, math.ceil(rows * mean / SHARD_TOKENS))
     met = (
         stars.join(tiles.where("met > 1").select("hub", "tiles"), "hub")
         .join(members, "group")
@@ -173,9 +208,8 @@ def links_at_hubs(posts: DataFrame, members: DataFrame, percent: int) -> DataFra
         .select("hub", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"),
                 "owner", "size", "tokens")
     )
-    return met.groupBy("hub", "a", "b").applyInArrow(
-        lambda table: _hub_links(table, percent), "u bigint, v bigint"
-    )
+    shard = F.pmod(F.xxhash64("hub", "a", "b"), F.lit(n_shards)).alias("shard")
+    return met.groupBy(shard).applyInArrow(lambda table: _shard_links(table, percent), "u bigint, v bigint")
 
 
 def similar_documents(

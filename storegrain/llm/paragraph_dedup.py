@@ -36,7 +36,7 @@ from storegrain.llm.components import connected_components
 from storegrain.llm.jaccard_join import LOWER, links_at_hubs, mixed
 from storegrain.llm.shared_hashes import Owned, bucket_count, shared_hashes, token_names
 from storegrain.llm.suffix_dedup import words_at
-from storegrain.workspace import stage
+from storegrain.workspace import release, stage
 
 MIN_WORDS = 8
 PASSAGE_WORDS = 51
@@ -253,7 +253,7 @@ def colliding_paragraphs(texts: DataFrame, shingle: int, bands: int, rows: int)
                 own = np.unique(codes[cuts[at] : cuts[at + 1]])
                 yield owners[first + at], len(own), own
 
-    shared = shared_hashes(texts.select("row", "text"), owned_of, n_bands)
+    shared = stage(shared_hashes(texts.select("row", "text"), owned_of, n_bands), "shared-bands")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,6 +318,7 @@ def repeated_paragraphs(
         .select("row", "doc_id", "number", "words", F.coalesce("root", "class").alias("root"))
     )
     rooted = stage(rooted, "paragraph-roots")
+    release(found, classes)
     spread = rooted.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     return rooted.join(spread.where("first_doc < last_doc").drop("last_doc"), "root")
 

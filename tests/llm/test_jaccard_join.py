@@ -39,18 +39,41 @@ def test_members_of_a_hub_that_miss_its_centre_still_meet():
     chosen = random.Random(4)
     sets = [frozenset(chosen.sample(range(30), chosen.randint(5, 25))) for _ in range(150)]
     sets += [sets[0] | {99}, sets[1] - set(list(sets[1])[:1])]
-    table = pa.table({
-        "owner": pa.array(range(len(sets)), pa.int64()),
-        "size": pa.array(map(len, sets), pa.int32()),
-        "tokens": pa.array([sorted(s) for s in sets], pa.list_(pa.int64())),
-    })
-    links = J._hub_links(table, 80).to_pydict()
+    links = J._shard_links(hub_table([(0, 0, 0, k, s) for k, s in enumerate(sets)]), 80).to_pydict()
     root = list(range(len(sets)))
     for u, v in zip(links["u"], links["v"], strict=True):
         root[u] = v
     assert root == components(sets)
 
 
+def hub_table(members: list[tuple]) -> pa.Table:
+    """Members as (hub, a, b, owner, set)."""
+    hub, a, b, owner, sets = zip(*members, strict=True)
+    return pa.table({
+        "hub": pa.array(hub, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
+        "owner": pa.array(owner, pa.int64()), "size": pa.array(map(len, sets), pa.int32()),
+        "tokens": pa.array([sorted(s) for s in sets], pa.list_(pa.int64())),
+    })
+
+
+def test_hubs_of_a_shard_stay_apart():
+    """Hubs of one, two and more members, some members met twice, in any order."""
+    chosen = random.Random(6)
+    members, wanted = [], []
+    for hub in range(200):
+        base = set(chosen.sample(range(60), 20))
+        owners = chosen.sample(range(1000), chosen.choice([1, 2, 2, 2, 3, 5]))
+        sets = [frozenset(base - set(chosen.sample(sorted(base), chosen.randint(0, 3)))) for _ in owners]
+        own = [(hub % 50, hub // 50, 0, o, s) for o, s in zip(owners, sets, strict=True)]
+        members += own + own[: chosen.randint(0, 1)]
+        order = sorted(range(len(owners)), key=owners.__getitem__)
+        roots = components([sets[k] for k in order])
+        wanted += [(owners[order[k]], owners[order[r]]) for k, r in enumerate(roots) if r != k]
+    chosen.shuffle(members)
+    links = J._shard_links(hub_table(members), 80).to_pydict()
+    assert sorted(zip(links["u"], links["v"], strict=True)) == sorted(wanted)
+
+
 def test_short_and_empty_sets():
     assert len(J.shingle_set(None, 5)) == len(J.shingle_set(" \n", 5)) == 0
     assert len(J.shingle_set("a b c", 5)) == len(J.shingle_set("a b c d e", 5)) == 1
