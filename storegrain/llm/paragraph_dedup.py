@@ -320,7 +320,9 @@ def repeated_paragraphs(
     rooted = stage(rooted, "paragraph-roots")
     release(found, classes)
     spread = rooted.groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return rooted.join(spread.where("first_doc < last_doc").drop("last_doc"), "root")
+    # Staged, so that the join stands right above its exchanges and a hot root can be split.
+    spread = stage(spread.where("first_doc < last_doc").drop("last_doc"), "root-spread")
+    return rooted.join(spread, "root")
 
 
 def passages(words: list[int], repeated: set[int], min_run: int) -> set[int]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 FP_BITS = 40
 FP_BYTES = FP_BITS // 8
 FP_MASK = np.uint64((1 << FP_BITS) - 1)
-BUCKET_ENTRIES = 3_000_000
+BUCKET_ENTRIES = 2_000_000
 FLUSH_ENTRIES = 600_000
 PACKED = "bucket int, owners binary, sizes binary, runs binary, tokens binary, seen binary"
 

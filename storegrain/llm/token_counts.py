@@ -110,6 +110,8 @@ class PieceMemo(dict):
 
     def made_of(self, piece: str):
         """Of a blank and ``piece``; most are a word, or a word and a mark."""
+        if piece.isascii() and piece.isalpha():
+            return self.word_value(" " + piece)
         plain = WORD_AND_MARK.fullmatch(piece)
         if not plain:
             return self.made_of_text(" " + piece)
@@ -133,6 +135,9 @@ class PieceMemo(dict):
         return self.joined(values)
 
     def spelled(self, word: str) -> str:
+        """The word's bytes as letters of the vocabulary; A-Z and a-z stand for themselves."""
+        if word[0] == " " and word[1:].isascii() and word[1:].isalpha():
+            return self.letters[32] + word[1:]
         return "".join(map(self.letters.__getitem__, word.encode()))
 
     def of_text(self, text: str):
