@@ -45,6 +45,19 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs: one, two or four."""
+    most = int(values.max(initial=0))
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int32).tobytes()
+
+
+def _wide(packed: list[bytes], counts: list[int]) -> np.ndarray:
+    """The counts of several rows, of which each has so many."""
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.int32}
+    parts = [np.frombuffer(p, kinds[len(p) // n]).astype(np.int32) for p, n in zip(packed, counts, strict=True)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+
 def _packed(keys: np.ndarray, owners, sizes, tokens: np.ndarray, seen) -> Iterator[tuple]:
     """One row for each run of ``keys``; within it owners are in runs."""
     starts, lengths = _runs(keys)
@@ -56,10 +69,10 @@ def _packed(keys: np.ndarray, owners, sizes, tokens: np.ndarray, seen) -> Iterat
         yield (
             int(keys[at]),
             owners[part][first].tobytes(),
-            sizes[part][first].astype(np.int32).tobytes(),
-            runs.astype(np.int32).tobytes(),
+            _narrow(sizes[part][first]),
+            _narrow(runs),
             np.ascontiguousarray(low[:, :width]).tobytes(),
-            b"" if seen is None else seen[part].astype(np.int32).tobytes(),
+            b"" if seen is None else _narrow(seen[part]),
         )
 
 
@@ -104,9 +117,10 @@ def _column(table: pa.Table, name: str) -> list[bytes]:
 
 def _unpacked(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     """Owners, sizes and tokens, each owner's first run only where ``width`` is that of a bucket."""
-    owners = np.frombuffer(b"".join(_column(table, "owners")), np.int64)
-    sizes = np.frombuffer(b"".join(_column(table, "sizes")), np.int32)
-    runs = np.frombuffer(b"".join(_column(table, "runs")), np.int32)
+    packed = _column(table, "owners")
+    counts = [len(p) // 8 for p in packed]
+    owners = np.frombuffer(b"".join(packed), np.int64)
+    sizes, runs = (_wide(_column(table, name), counts) for name in ("sizes", "runs"))
     raw = np.frombuffer(b"".join(_column(table, "tokens")), np.uint8).reshape(-1, width)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :width] = raw
@@ -145,7 +159,7 @@ def _gathered(table: pa.Table, least_percent: int) -> pa.Table:
     """Each owner of a part with its shared hashes, rarest first."""
     owners, sizes, runs, tokens = _unpacked(table, 8)
     owners, sizes = np.repeat(owners, runs), np.repeat(sizes, runs)
-    seen = np.frombuffer(b"".join(_column(table, "seen")), np.int32)
+    seen = _wide(_column(table, "seen"), [len(p) // 8 for p in _column(table, "tokens")])
     order = np.lexsort((tokens, seen, owners))
     starts, counts = _runs(owners[order])
     enough = 100 * counts >= least_percent * sizes[order][starts].astype(np.int64)
