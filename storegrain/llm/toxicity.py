@@ -6,13 +6,14 @@ features of later ones; in training they are out-of-fold predictions, so a later
 model sees an earlier one as it does on new texts.
 
 The models are fitted on a sample of labelled rows of at most ``sample`` rows,
-those with the smallest hashes of their ids; every document is then scored in one
-scan without a shuffle.
+those with the smallest hashes of their ids. Their features are made and counted in
+tasks, and the driver gathers the chosen ones alone; every document is then scored in
+one scan without a shuffle.
 
 Defined results: null and empty texts get the models' intercepts; a category
 without both kinds of labels predicts its share of ones (0 without labels);
 labels of ids without document and null labels are not used; rows with one id are
-scored each; an empty table gives no rows.
+scored each, and the least of their texts is that to learn from; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storegrain.workspace import stage
+
 SPACE_BITS = 22
 WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
+ROWS_OUT = 200
 
 
 def features_of_word(word: str) -> set[int]:
@@ -118,35 +122,12 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
-def telling_features(rows: list[np.ndarray], labels: np.ndarray, most: int, least_rows: int = 4) -> list[int]:
-    """Features whose presence says most about any category, by the size of the z-score."""
-    held = np.zeros(1 << SPACE_BITS, np.int32)
-    ones = np.zeros((labels.shape[1], len(held)), np.int32)
-    for row, values in zip(rows, labels, strict=True):
-        held[row] += 1
-        for column in np.flatnonzero(values):
-            ones[column, row] += 1
-    names = np.flatnonzero(held >= least_rows)
-    best = np.zeros(len(names))
-    for column, share in enumerate(labels.mean(axis=0)):
-        if 0 < share < 1:
-            expected = held[names] * share
-            best = np.maximum(best, np.abs(ones[column, names] - expected) / np.sqrt(expected * (1 - share) + 1))
-    order = np.lexsort((names, -best))
-    return names[order[best[order] > 2][:most]].tolist()
-
-
-def fit_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...],
-              most_features: int = 4096) -> Chain:
-    """Fit the chain; ``folds`` says in which fold each text lies."""
-    if not len(texts):
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, categories: tuple[str, ...],
+              known: dict[int, int]) -> Chain:
+    """Fit the chain on rows of ``known`` features' numbers; ``folds`` says in which fold each row lies."""
+    if not len(rows):
         constant = [Linear(np.zeros(1), np.zeros(k), -20.0) for k in range(len(categories))]
         return Chain(categories, {}, constant)
-    raw = WordFeatures()
-    all_rows = [raw.of_text(text) for text in texts]
-    known = {f: k for k, f in enumerate(telling_features(all_rows, labels, most_features))}
-    rows = [np.array([known[f] for f in row.tolist() if f in known], np.int32) for row in all_rows]
-    del all_rows, raw
     n_features, models, outside = max(1, len(known)), [], np.zeros((len(rows), 0))
     for column in labels.T:
         models.append(fit_linear(rows, outside, column, n_features))
@@ -160,25 +141,70 @@ def fit_chain(texts: list[str | None], labels: np.ndarray, folds: np.ndarray, ca
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int, seed: int = 0) -> DataFrame:
-    """At most ``sample`` labelled texts, those with the smallest hashes of id and text."""
+    """At most ``sample`` labelled texts, those with the smallest hashes of their ids; an id gives its least text."""
     picked = labels.select(F.col("doc_id").alias("labelled"), *[F.col(c).cast("double").alias(f"is_{c}") for c in categories])
     whole = picked.dropna().dropDuplicates(["labelled"])
     chosen = whole.withColumn("place", F.xxhash64(F.lit(seed), "labelled")).orderBy("place", "labelled").limit(sample)
     met = docs.join(chosen, F.col("doc_id") == F.col("labelled"))
-    return met.select("place", "text", *[f"is_{c}" for c in categories])
+    return met.groupBy("place", "labelled", *[f"is_{c}" for c in categories]).agg(F.min("text").alias("text"))
+
+
+def with_features(texts: DataFrame) -> DataFrame:
+    """``features`` (ascending) in place of ``text``, made where the texts lie."""
+    others = [c for c in texts.columns if c != "text"]
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordFeatures()
+        for batch in batches:
+            for low in range(0, len(batch), ROWS_OUT):
+                part = batch.slice(low, ROWS_OUT)
+                made = [words.of_text(text.as_py()) for text in part.column("text")]
+                kept = [part.column(c) for c in others]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.list_(pa.int32()))], names=[*others, "features"])
+
+    kinds = dict(texts.dtypes)
+    ddl = ", ".join([*(f"{c} {kinds[c]}" for c in others), "features array<int>"])
+    return texts.select(*others, "text").mapInArrow(featured, ddl)
+
+
+def telling_features(rows: DataFrame, categories: tuple[str, ...], most: int, least_rows: int = 4) -> list[int]:
+    """Features whose presence says most about any category, by the size of the z-score: ``most`` at most."""
+    shares = rows.agg(*[F.avg(f"is_{c}").alias(c) for c in categories]).first()
+    telling = [c for c in categories if shares[c] is not None and 0 < shares[c] < 1]
+    if not telling:
+        return []
+    held = rows.select(F.explode("features").alias("feature"), *[f"is_{c}" for c in telling]).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("held"), *[F.count_if(F.col(f"is_{c}") != 0).alias(f"ones_{c}") for c in telling]
+    )
+    scores = [F.lit(0.0)]
+    for c in telling:
+        expected = F.col("held") * F.lit(shares[c])
+        scores.append(F.abs(F.col(f"ones_{c}") - expected) / F.sqrt(expected * F.lit(1 - shares[c]) + 1))
+    best = held.where(F.col("held") >= least_rows).select("feature", F.greatest(*scores).alias("score"))
+    top = best.where("score > 2").orderBy(F.desc("score"), "feature").limit(most)
+    return [r["feature"] for r in top.collect()]
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"),
-                sample: int = 6000, seed: int = 0) -> Chain:
-    """The chain fitted on a bounded sample, which the driver gathers.
+                sample: int = 6000, seed: int = 0, most_features: int = 4096) -> Chain:
+    """The chain fitted on a bounded sample.
 
     ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and a 0/1 column for each category.
+    Texts stay in tasks, and so does the count of rows a feature; the driver gathers at most
+    ``sample`` rows of at most ``most_features`` numbers of four bytes.
     """
-    rows = labelled_sample(docs.select("doc_id", "text"), labels, categories, sample, seed).collect()
-    rows.sort(key=lambda r: (r["place"], r["text"] or ""))
-    values = np.array([[r[f"is_{c}"] for c in categories] for r in rows], float).reshape(-1, len(categories))
-    folds = np.array([r["place"] % FOLDS for r in rows], np.int64)
-    return fit_chain([r["text"] for r in rows], values, folds, categories)
+    sampled = labelled_sample(docs.select("doc_id", "text"), labels, categories, sample, seed)
+    rows = stage(with_features(sampled), "sample-features")
+    chosen = telling_features(rows, categories, most_features)
+    known = F.array_intersect("features", F.lit(np.array(chosen, np.int32))) if chosen else F.array().cast("array<int>")
+    table = rows.select("place", "labelled", *[f"is_{c}" for c in categories], known.alias("known")).toArrow()
+    table = table.sort_by([("place", "ascending"), ("labelled", "ascending")]).combine_chunks()
+    numbers = np.argsort(np.array(chosen, np.int32)).astype(np.int32)  # of the chosen features, in ascending order
+    ascending = np.array(chosen, np.int32)[numbers]
+    fitted = [numbers[np.searchsorted(ascending, row.values.to_numpy())] for row in table["known"]]
+    values = np.column_stack([table[f"is_{c}"].to_numpy() for c in categories])
+    folds = table["place"].to_numpy() % FOLDS
+    return fit_chain(fitted, values, folds, categories, {f: k for k, f in enumerate(chosen)})
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from storegrain.llm import toxicity as T
 
@@ -25,9 +27,26 @@ def labelled(n: int, seed: int) -> list[tuple]:
     return out
 
 
-def fitted(rows: list[tuple]) -> T.Chain:
+def telling(rows: list[np.ndarray], labels: np.ndarray, most: int) -> list[int]:
+    """Brute force: the largest z-scores over all features, ties to the smaller."""
+    scores = {}
+    for feature in {f for row in rows for f in row.tolist()}:
+        holds = np.array([feature in row for row in rows])
+        if holds.sum() >= 4:
+            shares = labels.mean(axis=0)
+            z = [abs(labels[holds, k].sum() - holds.sum() * s) / np.sqrt(holds.sum() * s * (1 - s) + 1)
+                 for k, s in enumerate(shares) if 0 < s < 1]
+            scores[feature] = max(z, default=0.0)
+    return sorted((f for f, z in scores.items() if z > 2), key=lambda f: (-scores[f], f))[:most]
+
+
+def fitted(rows: list[tuple], folds: np.ndarray | None = None, most: int = 4096) -> T.Chain:
     values = np.array([[g, t] for _, g, t in rows], float).reshape(-1, 2)
-    return T.fit_chain([r[0] for r in rows], values, np.arange(len(rows)) % T.FOLDS, ("quality", "toxic"))
+    words = T.WordFeatures()
+    made = [words.of_text(r[0]) for r in rows]
+    known = {f: k for k, f in enumerate(telling(made, values, most))}
+    numbers = [np.array([known[f] for f in row.tolist() if f in known], np.int32) for row in made]
+    return T.fit_chain(numbers, values, np.arange(len(rows)) % T.FOLDS if folds is None else folds, ("quality", "toxic"), known)
 
 
 def test_held_out_accuracy():
@@ -54,6 +73,29 @@ def test_one_kind_of_label_and_none():
     assert fitted([]).probabilities([np.empty(0, np.int64)])[0, 1] < 0.01
 
 
+@pytest.mark.parametrize("most", [4096, 7])
+def test_training_gives_what_plain_python_gives(spark, most):
+    rows = labelled(90, 11)
+    docs = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, g, t) for k, (_, g, t) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    places = {r.doc_id: r.place for r in labels.select("doc_id", F.xxhash64(F.lit(0), "doc_id").alias("place")).collect()}
+    sample = sorted(places, key=places.get)[:70]
+    wanted = fitted([rows[k] for k in sample], np.array([places[k] % T.FOLDS for k in sample]), most)
+    got = T.train_chain(docs, labels, sample=70, most_features=most)
+    assert got.known == wanted.known and 0 < len(got.known) <= most
+    for one, other in zip(got.models, wanted.models, strict=True):
+        assert np.allclose(one.weights, other.weights) and np.allclose(one.earlier, other.earlier)
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = T.labelled_sample(docs, labels, ("quality", "toxic"), 10).select("labelled", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (2, None)]
+    chain = T.train_chain(docs, labels)
+    assert chain.known == {} and T.score(docs, chain).count() == 4
+
+
 def test_scores_and_sample(spark):
     rows = [(k, *r) for k, r in enumerate(labelled(300, 5))]
     docs = spark.createDataFrame([(k, t, "x", 1.0) for k, t, *_ in rows] + [(None, "horrid", "x", 1.0), (5, None, None, None), (7, "", "", 0.0)],
