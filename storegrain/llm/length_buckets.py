@@ -4,9 +4,11 @@ The lengths of all documents give one histogram. Dynamic programming over it
 chooses the upper bounds of the buckets that need the least padding; documents of
 a bucket are then put into batches of as many as a token budget holds.
 
-Up to ``FINE`` every length can be a bound; beyond, those with eight significant
-bits, so the histogram has a bounded number of cells at any size. Padding is
-counted exactly, from the sum of the lengths in each cell.
+Up to ``FINE`` every length is a cell of the histogram; beyond, cells end at numbers
+with eight significant bits, so there is a bounded number of them at any size. A
+bucket ends at the longest length of a cell, and padding is counted exactly, from
+the sum of the lengths in each cell: buckets are the best of all whose ends do not
+part a cell.
 
 Numbering a bucket, which may hold most rows, goes by cells of rows with equal
 hashes: counts of the cells give each its first number, so that no task numbers a
@@ -29,8 +31,8 @@ FINE = 2048
 CELL_ROWS = 20_000
 
 
-def upper_bound(length: Column) -> Column:
-    """The least possible bucket bound at or above a length (1 at least)."""
+def cell_end(length: Column) -> Column:
+    """The end of the cell of a length (1 at least)."""
     low_bits = F.greatest(F.length(F.bin(length)) - 8, F.lit(0))
     step = F.call_function("shiftleft", F.lit(1).cast("bigint"), low_bits)
     coarse = F.ceil(length / step).cast("bigint") * step
@@ -79,10 +81,11 @@ def optimal_bounds(bounds: np.ndarray, rows: np.ndarray, tokens: np.ndarray, n_b
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """``bound, rows, tokens`` of the cells of ``n_tokens``."""
-    return lengths.groupBy(upper_bound(F.col("n_tokens")).alias("bound")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens")
-    )
+    """``bound`` (the longest length, 1 at least), ``rows`` and ``tokens`` of the cells of ``n_tokens``."""
+    return lengths.groupBy(cell_end(F.col("n_tokens")).alias("cell")).agg(
+        F.greatest(F.max("n_tokens"), F.lit(1)).cast("bigint").alias("bound"),
+        F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"),
+    ).drop("cell")
 
 
 def pack(lengths: DataFrame, n_buckets: int = 16, budget: int = 65_536, seed: int = 0) -> DataFrame:
@@ -92,7 +95,7 @@ def pack(lengths: DataFrame, n_buckets: int = 16, budget: int = 65_536, seed: in
     batch is within ``budget``.
     """
     lengths, n_rows = stage_counted(lengths.select("doc_id", "n_tokens"), "lengths")
-    cells = length_histogram(lengths).orderBy("bound").collect()  # bounded: see upper_bound
+    cells = length_histogram(lengths).orderBy("bound").collect()  # bounded: see cell_end
     bounds, _ = optimal_bounds(*(np.array([c[k] for c in cells], np.int64) for k in ("bound", "rows", "tokens")), n_buckets)
     bucket, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 1)
     for number, upper in reversed(list(enumerate(bounds[:-1]))):

@@ -88,9 +88,20 @@ def test_batches_hold_the_budget(spark, monkeypatch):
     assert B.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).collect() == []
 
 
+def test_long_buckets_end_at_lengths_that_occur(spark):
+    """One length a cell beyond the fine ones, so brute force over all lengths must agree."""
+    lengths = [3, 900, 2051, 2051, 2100, 4099, 4099, 4099, 9001, 70_001, 70_001]
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    for k in (1, 2, 3, 5):
+        got = B.pack(docs, n_buckets=k).collect()
+        cells = sorted(set(lengths))
+        best = min(padding(lengths, (*c, cells[-1])) for c in itertools.combinations(cells[:-1], k - 1))
+        assert sum(r.padding for r in got) == best and {r.bound for r in got} <= set(lengths)
+
+
 def test_cells_bound_their_lengths(spark):
     table = spark.range(0, 200_000, 37).withColumnRenamed("id", "n_tokens")
-    bounds = table.select("n_tokens", B.upper_bound(table.n_tokens).alias("b")).collect()
+    bounds = table.select("n_tokens", B.cell_end(table.n_tokens).alias("b")).collect()
     assert all(r.n_tokens <= r.b <= max(1, r.n_tokens) * 1.01 for r in bounds)
     assert len({r.b for r in bounds if r.n_tokens > B.FINE}) < 1000
     assert SCHEMA
