@@ -27,15 +27,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones, that with the smallest id.
 
-    Rows that repeat an id and its set of shingles are one document as well.
-    Documents without words, and those without id, all stay.
+    Where ids repeat, a document is known by its id and the hash of its text: each text
+    under an id is judged by itself, of similar ones under the smallest id one stays, and
+    rows equal in id and text are one document. Documents without words, and those
+    without id, all stay.
     """
-    found = jaccard_join.similar_documents(docs).where("doc_id IS NOT NULL AND n_shingles > 0")
-    similar = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(stage(similar, "similar-documents"), docs["doc_id"] == F.col("__gone"), "left_anti")
-    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("doc_id IS NOT NULL AND __rows > 1")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("doc_id IS NOT NULL AND __rows > 1")
     again = stage(again.select(F.col("doc_id").alias("__again")), "repeated-ids")
-    if again.isEmpty():
+    repeats = not again.isEmpty()
+    key = docs["doc_id"]
+    if repeats:
+        key = F.when(key.isNotNull(), F.struct(key.alias("id"), F.xxhash64(docs["text"]).alias("text_hash")))
+    found = jaccard_join.similar_documents(docs.select(key.alias("__key"), "text"), id_col="__key")
+    similar = found.where("doc_id IS NOT NULL AND n_shingles > 0 AND doc_id <> component_id")
+    similar = similar.select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(stage(similar, "similar-documents"), key == F.col("__gone"), "left_anti")
+    if not repeats:
         return kept
     single = kept.join(again, kept["doc_id"] == F.col("__again"), "left_anti")
     repeated = kept.join(again, kept["doc_id"] == F.col("__again"), "left_semi")
