@@ -49,6 +49,23 @@ def test_one_document_of_each_group_stays(spark):
     assert len([r for r in kept if r.doc_id is not None]) == len([w for w in wanted if w[0] is not None])
 
 
+def test_texts_under_one_id_are_judged_by_themselves(spark):
+    own, other, third = (" ".join(f"{w}{k}" for k in range(60)) for w in ("a", "b", "c"))
+    table = [
+        (1, own), (2, f"{own} more"), (2, other), (2, other),  # the first text of 2 goes, the other stays once
+        (3, third), (3, f"{third} more"), (3, f"{third} again"),  # similar texts under one id: one stays
+        (4, f"{other} more"), (5, "no shingle"), (5, None), (5, ""), (None, own), (None, own),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash", 1) for i, t in table], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_similar(spark, docs, SF_DIR)
+    assert kept.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    thirds = [t for i, t in got if i == 3]
+    assert len(thirds) == 1 and thirds[0].startswith(third)
+    rest = [(1, own), (2, other), (5, "no shingle"), (5, None), (5, ""), (None, own), (None, own)]
+    assert sorted((g for g in got if g[0] != 3), key=str) == sorted(rest, key=str)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_awkward_and_empty_tables(spark, stage):
     name, job = corpus_pipeline.STAGES[stage]
