@@ -12,6 +12,7 @@ text count as the tokenizer's own single token; each row gives one row.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections.abc import Iterator
@@ -25,8 +26,9 @@ from tokenizers import Tokenizer
 
 from storegrain.llm.memos import only
 
-#: Pieces in a generation of a worker's memory.
-REMEMBERED = 300_000
+#: Pieces in a generation of a worker's memory, and the longest that is kept there.
+REMEMBERED = 450_000
+LONGEST_KEPT = 200
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,15 +77,18 @@ def pieces_of(text: str) -> tuple[str, list[str]]:
     return parts[0], parts[1:]
 
 
-#: A word, then at most one mark that is no letter, digit or white space.
-WORD_AND_MARK = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']?)")
+#: A word, then marks that are no letter, digit, white space or apostrophe: two pre-tokens.
+WORD_AND_MARKS = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']*)")
+
+#: Runs of marks remembered at a time.
+MARKS = 4096
 
 
 class PieceMemo(dict):
     """What is made of a blank and a piece of text, worked out when first asked for.
 
     Two generations of ``REMEMBERED`` pieces bound the memory: a full one becomes
-    the old one, from which pieces still in use are taken over. ``word_value``
+    the old one, from which pieces still in use are taken over. Long ones are not kept. ``word_value``
     gives what is made of one pre-token and ``joined`` puts such values together.
     """
 
@@ -91,17 +96,20 @@ class PieceMemo(dict):
         super().__init__()
         tokenizer = load_tokenizer(path)
         self.model = tokenizer.model
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
         self.special = {t.content: n for n, t in tokenizer.get_added_tokens_decoder().items()}
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.old: dict = {}
-        self.marks: dict = {"": self.joined([])}
+        self.marks: dict = {}
 
     def __missing__(self, piece: str):
         made = self.old.get(piece)
         if made is None:
             made = self.made_of(piece)
+            if len(piece) > LONGEST_KEPT:
+                return made
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -109,17 +117,24 @@ class PieceMemo(dict):
         return made
 
     def made_of(self, piece: str):
-        """Of a blank and ``piece``; most are a word, or a word and a mark."""
+        """Of a blank and ``piece``; most are a word, or a word that is looked up and marks."""
         if piece.isascii() and piece.isalpha():
             return self.word_value(" " + piece)
-        plain = WORD_AND_MARK.fullmatch(piece)
+        plain = WORD_AND_MARKS.fullmatch(piece)
         if not plain:
             return self.made_of_text(" " + piece)
-        word, mark = plain.groups()
-        if mark not in self.marks:
-            self.marks[mark] = self.word_value(mark)
-        value = self.word_value(" " + word)
-        return value + self.marks[mark] if mark else value
+        word, marks = plain.groups()
+        return self[word] + self.of_marks(marks) if marks else self.word_value(" " + piece)
+
+    def of_marks(self, marks: str):
+        made = self.marks.get(marks)
+        if made is None:
+            made = self.word_value(marks)
+            if len(self.marks) >= MARKS:
+                self.marks.clear()
+            if len(marks) <= LONGEST_KEPT:
+                self.marks[marks] = made
+        return made
 
     def made_of_text(self, text: str):
         if not self.special_pattern.search(text):
@@ -135,10 +150,8 @@ class PieceMemo(dict):
         return self.joined(values)
 
     def spelled(self, word: str) -> str:
-        """The word's bytes as letters of the vocabulary; A-Z and a-z stand for themselves."""
-        if word[0] == " " and word[1:].isascii() and word[1:].isalpha():
-            return self.letters[32] + word[1:]
-        return "".join(map(self.letters.__getitem__, word.encode()))
+        """The word's bytes as letters of the vocabulary."""
+        return codecs.charmap_decode(word.encode(), "strict", self.letters)[0]
 
     def of_text(self, text: str):
         first, rest = pieces_of(text)

@@ -17,6 +17,7 @@ empty table gives an empty index and no file.
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
@@ -52,8 +53,10 @@ class PieceIds(PieceMemo):
         return struct.pack("<I", number)
 
     def word_value(self, word: str) -> bytes:
-        ids = [token.id for token in self.model.tokenize(self.spelled(word))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = array("I", [token.id for token in self.model.tokenize(self.spelled(word))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def _ids(path: str) -> PieceIds:

@@ -62,6 +62,17 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
         assert len(counts) <= 5
 
 
+def test_long_pieces_are_not_kept_and_marks_stay_few(monkeypatch):
+    monkeypatch.setattr(token_counts, "MARKS", 3)
+    counts, ids = token_counts.PieceCounts(PATH), token_frames.PieceIds(PATH)
+    texts = ["a " + "é" * 5000 + "!" * 5000, "one " + "w" * 201 + " word... word!? word;; word-- word, wörd,, it's' end"]
+    for text in texts + texts[::-1]:
+        assert counts.of_text(text) == len(library_ids(text))
+        assert ids.of_text(text) == np.array(library_ids(text), dtype="<u4").tobytes()
+    for memo in (counts, ids):
+        assert max(map(len, memo)) <= token_counts.LONGEST_KEPT and len(memo.marks) <= 3
+
+
 def test_files_hold_the_ids_in_order(docs, tmp_path):
     index = token_frames.with_starts(
         token_frames.write_token_files(docs, PATH, 2, folder=str(tmp_path / "files"), frame_bytes=1000)
