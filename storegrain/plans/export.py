@@ -3,7 +3,7 @@
 Layout under ``<out_dir>/<prefix>``::
 
     base/run=<run>/                                    full columns, keeps the customer id
-    ledger/columns=<hash>/run=<run>/                   the ids of the base alone, as Parquet
+    ledger/columns=<hash>/                             the ids of the base alone (see ``ledger``)
     clean/run_date=<day>/mode=<full|incremental>/run=<run>/   the columns asked for
 
 An increment is told from the ledger, so it reads eight bytes a customer exported
@@ -28,6 +28,7 @@ from storegrain.functions.cells import ID_COLUMN, ColumnList, cells, parse_colum
 from storegrain.functions.text import slug_of
 from storegrain.operators.fields import check_request
 from storegrain.operators.segments import customers_of, find_segment, not_exported, not_listed
+from storegrain.plans.ledger import open_ledger
 from storegrain.sources.csv_files import distinct_filled, read_csv, write_csv
 from storegrain.workspace import finished_folders, matching_paths, stage_counted
 
@@ -119,12 +120,12 @@ def unexported(ids: DataFrame, target: ExportTarget, full: ColumnList) -> tuple[
     runs = sorted(run for run in finished if run != target.run)
     if not runs:
         return None
-    ledgers = finished_folders(spark, target.ledger(full), RUN)
-    listed = [ledgers[run] for run in runs if run in ledgers]
-    unlisted = [finished[run] for run in runs if run not in ledgers]
+    ledger = open_ledger(spark, target.ledger(full))
+    listed = ledger.rows(spark, set(runs))
+    unlisted = [finished[run] for run in runs if run not in ledger.runs]
     new = ids
-    if listed:
-        new = not_listed(new, spark.read.schema("id BIGINT").parquet(*listed))
+    if listed is not None:
+        new = not_listed(new, listed.select("id"))
     if unlisted:
         rows = read_csv(spark, unlisted, trim=True, columns=list(dict(full)))
         new = not_exported(new, distinct_filled(rows, ID_COLUMN[0]), ID_COLUMN[0])

@@ -501,3 +501,5 @@ ORACLES: dict[str, str] = {
         FROM customers JOIN vals ON customer_id = id
         WHERE name = 'purchase' AND value = '7' AND id > 0 GROUP BY id""",
 }
+
+ORACLES["export_ledger_folded"] = ORACLES["export_ledger"]

@@ -14,6 +14,7 @@ from storegrain.operators import fields, orders, segments, values
 from storegrain.operators.masking import mask_columns
 from storegrain.operators.search import SORTS, SearchFilters, search_customers
 from storegrain.plans.export import export_segment
+from storegrain.plans.ledger import compact_ledgers, exported_when
 from storegrain.plans.registry import publish_registry
 from storegrain.plans.status import run_report
 from storegrain.sources import landed
@@ -871,3 +872,17 @@ def export_ledger(spark, sf_dir):
             rows = spark.read.schema("id BIGINT").parquet(f"{out}/ledger/ledger/*/run={run}").withColumn("run", F.lit(run))
             found = rows if found is None else found.unionByName(rows)
     return found
+
+
+@query
+def export_ledger_folded(spark, sf_dir):
+    """The same runs told from the ledger, folded after the first and after the second."""
+    held, out = tables.values(spark, sf_dir), new_folder(spark, "exports")
+    for run, which in (("first", "seq % 3 = 0"), ("second", "seq % 3 < 2"), ("third", "true")):
+        export_segment(
+            held.where(which), tables.customers(spark, sf_dir), key="ledger", field=FIELD, value=VALUE,
+            columns="Email:email", out_dir=out, run_date=RUN_DATE, run=run, incremental=run != "first", write=True,
+        )
+        if run != "third":
+            compact_ledgers(spark, f"{out}/ledger")
+    return exported_when(spark, f"{out}/ledger")

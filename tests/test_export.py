@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storegrain.functions.cells import ColumnListError
 from storegrain.operators.fields import FieldRequestError
 from storegrain.plans.export import export_segment, export_target
+from storegrain.plans.ledger import compact_ledgers, exported_when
 from storegrain.sources.csv_files import column_values, read_csv
 
 DAY = date(2026, 4, 24)
@@ -152,3 +153,53 @@ def test_a_ledger_without_its_base_counts_for_nothing(spark, people, tmp_path):
     (Path(first.base_path) / "_SUCCESS").unlink()
     again = export_segment(held(spark, 1), people, run="b", **ask)
     assert counts(again) == (1, 1, 1, True)
+
+
+def test_ledgers_fold(spark, people, tmp_path):
+    """Later increments find in the fold what they found in the folders of the runs."""
+    out, root = str(tmp_path), str(tmp_path / "my-key")
+
+    def export(run, *ids, incremental=True):
+        found = export_segment(held(spark, *ids), people, out_dir=out, run=run, incremental=incremental, write=True, **ASK)
+        return found.written
+
+    def when():
+        return sorted((r.id, r.run) for r in exported_when(spark, root).collect())
+
+    assert compact_ledgers(spark, root) == 0 and when() == []
+    assert export("a", 1, 2, incremental=False) == 2 and export("007", 1, 2, 3) == 1
+    (ledger,) = (tmp_path / "my-key" / "ledger").glob("columns=*")
+    before = when()
+    assert before == [(1, "a"), (2, "a"), (3, "007")]
+    assert compact_ledgers(spark, root) == 2 and when() == before
+    assert not list(ledger.glob("run=*")) and compact_ledgers(spark, root) == 0
+    assert export("c", 1, 2, 3, 4) == 1
+    assert when() == [*before, (4, "c")]
+    # A folded run is repeated: its own ids count as new, and its folder in place of the fold's rows.
+    assert export("007", 1, 2, 3, 5) == 2
+    assert when() == [(1, "a"), (2, "a"), (3, "007"), (4, "c"), (5, "007")]
+    assert compact_ledgers(spark, root) == 2 and compact_ledgers(spark, root) == 0
+    assert when() == [(1, "a"), (2, "a"), (3, "007"), (4, "c"), (5, "007")]
+    # A base that is gone takes its rows along, in reading and in the next fold.
+    shutil.rmtree(tmp_path / "my-key" / "base" / "run=a")
+    assert export("d", 1, 2, 3) == 2
+    assert when() == [(1, "d"), (2, "d"), (3, "007"), (4, "c"), (5, "007")]
+    assert compact_ledgers(spark, root) == 1
+    assert when() == [(1, "d"), (2, "d"), (3, "007"), (4, "c"), (5, "007")]
+    assert sorted(p.name for p in (ledger / "folds").iterdir()) == ["runs=1", "runs=2", "upto=1", "upto=2"]
+
+
+def test_a_fold_that_died_changes_nothing(spark, people, tmp_path):
+    for run, ids in (("a", [1]), ("b", [1, 2])):
+        export_segment(held(spark, *ids), people, out_dir=str(tmp_path), run=run, incremental=True, write=True, **ASK)
+    root = str(tmp_path / "my-key")
+    (ledger,) = (tmp_path / "my-key" / "ledger").glob("columns=*")
+    shutil.copytree(ledger / "run=a", tmp_path / "kept")
+    assert compact_ledgers(spark, root) == 2
+    shutil.copytree(tmp_path / "kept", ledger / "run=a")  # died before this folder went
+    (ledger / "folds" / "upto=1").mkdir()  # and another time before the ids were written
+    assert sorted((r.id, r.run) for r in exported_when(spark, root).collect()) == [(1, "a"), (2, "b")]
+    again = export_segment(held(spark, 1, 2, 3), people, out_dir=str(tmp_path), incremental=True, **ASK)
+    assert (again.matched, again.fetched, again.exported) == (3, 1, False)
+    assert compact_ledgers(spark, root) == 1
+    assert sorted((r.id, r.run) for r in exported_when(spark, root).collect()) == [(1, "a"), (2, "b")]
