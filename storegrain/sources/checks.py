@@ -6,8 +6,7 @@ VARIANT and are checked against the rules in ``schemas`` before typing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import partial
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from storegrain.schemas import Rule
 
 FAIL, QUARANTINE = "fail", "quarantine"
-NUMBER_SHAPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+NUMBER_SHAPES = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
 def read_time(text: Column) -> Column:
@@ -26,6 +25,27 @@ def read_time(text: Column) -> Column:
     )
 
 
+def fields_of(row: Column | str, kinds: Mapping[str, str]) -> Column:
+    """Struct of the values that an object holds at the given keys, each of the type given.
+
+    Null where the key is missing or the value of another type. One pass over the
+    object takes them all; a path a key searches anew each time, and Spark leaves
+    the search for a missing key by an exception.
+    """
+    return F.try_variant_get(row, "$", _struct(kinds))
+
+
+def _struct(kinds: Mapping[str, str]) -> str:
+    return f"struct<{', '.join(f'`{key}`: {kind}' for key, kind in kinds.items())}>"
+
+
+def _is_number(shape: Column) -> Column:
+    number = F.lit(False)
+    for name in NUMBER_SHAPES:
+        number = number | F.startswith(shape, F.lit(name))
+    return number
+
+
 def _has_kind(value: Column, kind: str) -> Column:
     if kind == "array":
         return F.try_variant_get(value, "$", "array<variant>").isNotNull()
@@ -35,10 +55,10 @@ def _has_kind(value: Column, kind: str) -> Column:
     if kind == "string":
         return shape == "STRING"
     if kind == "number":
-        return shape.rlike(NUMBER_SHAPES)
+        return _is_number(shape)
     if kind == "whole":
         number = F.try_variant_get(value, "$", "decimal(38,9)")
-        return shape.rlike(NUMBER_SHAPES) & (number == F.try_variant_get(value, "$", "bigint"))
+        return (shape == "BIGINT") | (_is_number(shape) & (number == F.try_variant_get(value, "$", "bigint")))
     if kind == "money":
         exact = F.try_variant_get(value, "$", "decimal(18,4)")
         return exact == F.try_variant_get(value, "$", "decimal(38,18)")
@@ -48,17 +68,26 @@ def _has_kind(value: Column, kind: str) -> Column:
     return shape.isin("STRING", "ARRAY<STRING>", "ARRAY<VOID>")
 
 
-def _broken(row: Column, rule: Rule) -> Column:
-    """True where the row breaks the rule (never null)."""
-    value = F.try_variant_get(row, f"$.{rule.path}", "variant")
+def _variants(rules: Sequence[Rule]) -> dict[str, str]:
+    return {rule.path: "variant" for rule in rules}
+
+
+def _any_broken(held: Column, rules: Sequence[Rule]) -> Column:
+    broken = F.lit(False)
+    for rule in rules:
+        broken = broken | _broken(held[rule.path], rule)
+    return broken
+
+
+def _broken(value: Column, rule: Rule) -> Column:
+    """True where what a row holds at the rule's path breaks the rule (never null)."""
     good = F.coalesce(_has_kind(value, rule.kind), F.lit(False))
     if rule.items:
-        elements = F.try_variant_get(row, f"$.{rule.path}", "array<variant>")
-        for inner in rule.items:
-            bad_element = F.exists(elements, partial(_broken_element, inner))
-            good = good & F.coalesce(~bad_element, F.lit(False))
-    for member in rule.members:
-        good = good & ~_broken(value, member)
+        elements = F.try_variant_get(value, "$", f"array<{_struct(_variants(rule.items))}>")
+        bad_element = F.exists(elements, lambda element: _any_broken(element, rule.items))
+        good = good & F.coalesce(~bad_element, F.lit(False))
+    if rule.members:
+        good = good & ~_any_broken(fields_of(value, _variants(rule.members)), rule.members)
     if rule.nullable:
         good = good | F.coalesce(F.schema_of_variant(value) == "VOID", F.lit(False))
     if not rule.required:
@@ -66,14 +95,11 @@ def _broken(row: Column, rule: Rule) -> Column:
     return ~good
 
 
-def _broken_element(rule: Rule, element: Column) -> Column:
-    return _broken(element, rule)
-
-
 def problems(row: Column, rules: Sequence[Rule]) -> Column:
     """Array of the broken rules' paths; empty for a sound row."""
-    found = [F.when(_broken(row, r), F.lit(f"{r.path}: {r.kind}")) for r in rules]
-    return F.array_compact(F.array(*found))
+    held, none = fields_of(row, _variants(rules)), F.array().cast("array<string>")
+    found = [F.when(_broken(held[r.path], r), F.array(F.lit(f"{r.path}: {r.kind}"))).otherwise(none) for r in rules]
+    return F.flatten(F.array(*found))
 
 
 def require(df: DataFrame, row: str, rules: Sequence[Rule], what: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from storegrain import schemas
 from storegrain.functions.text import truthy_variant
-from storegrain.sources.checks import FAIL, QUARANTINE, read_time, require, split_rows
+from storegrain.sources.checks import FAIL, QUARANTINE, fields_of, read_time, require, split_rows
 
 
 def _json_options(multiline: bool, strict: bool) -> dict[str, str]:
@@ -47,18 +47,6 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(data).alias("row"), "file")
 
 
-def _text(path: str, row: str = "row") -> Column:
-    return F.try_variant_get(row, f"$.{path}", "string")
-
-
-def _whole(path: str, row: str = "row") -> Column:
-    return F.try_variant_get(row, f"$.{path}", "bigint")
-
-
-def _time(path: str) -> Column:
-    return read_time(_text(path))
-
-
 def _address(address: Column) -> Column:
     return F.struct(
         F.try_variant_get(address, "$.country", "string").alias("country"),
@@ -78,17 +66,21 @@ def _form_field(field: Column) -> Column:
 
 def customer_columns() -> list[Column]:
     """The columns of a customer, of a VARIANT ``row``; the raw object stays in ``extra``."""
-    addresses = F.try_variant_get("row", "$.addresses", "array<variant>")
-    form_fields = F.try_variant_get("row", "$.form_fields", "array<variant>")
+    texts = ("email", "first_name", "last_name", "phone", "company")
+    held = fields_of("row", {
+        "id": "bigint", **dict.fromkeys(texts, "string"), "customer_group_id": "bigint",
+        "registration_ip_address": "string", "date_created": "string", "date_modified": "string",
+        "addresses": "array<variant>", "form_fields": "array<variant>",
+    })
     return [
-        _whole("id").alias("id"),
-        *[_text(c).alias(c) for c in ("email", "first_name", "last_name", "phone", "company")],
-        _whole("customer_group_id").alias("customer_group_id"),
-        _text("registration_ip_address").alias("registration_ip"),
-        _time("date_created").alias("date_created"),
-        _time("date_modified").alias("date_modified"),
-        F.transform(addresses, _address).alias("addresses"),
-        F.transform(form_fields, _form_field).alias("form_fields"),
+        held["id"].alias("id"),
+        *[held[c].alias(c) for c in texts],
+        held["customer_group_id"].alias("customer_group_id"),
+        held["registration_ip_address"].alias("registration_ip"),
+        read_time(held["date_created"]).alias("date_created"),
+        read_time(held["date_modified"]).alias("date_modified"),
+        F.transform(held["addresses"], _address).alias("addresses"),
+        F.transform(held["form_fields"], _form_field).alias("form_fields"),
         F.col("row").alias("extra"),
     ]
 
@@ -98,11 +90,9 @@ def type_customers(rows: DataFrame) -> DataFrame:
 
 
 def field_value_columns() -> list[Column]:
-    return [
-        _whole("customer_id").alias("customer_id"),
-        _text("name").alias("name"),
-        _text("value").alias("value"),
-    ]
+    kinds = dict(c.split() for c in schemas.FORM_FIELD_VALUES.split(", "))
+    held = fields_of("row", kinds)
+    return [held[name].alias(name) for name in kinds]
 
 
 def type_field_values(rows: DataFrame) -> DataFrame:
@@ -157,11 +147,13 @@ def list_rows(pages: DataFrame) -> DataFrame:
 
 def list_columns(columns: str) -> list[Column]:
     """The given columns of a VARIANT ``row``; the whole object stays in ``extra``."""
+    kinds = dict(c.split() for c in columns.split(", "))
+    held = fields_of("row", {n: "string" if k == "TIMESTAMP" else k for n, k in kinds.items() if n != "extra"})
     return [
         F.col("row").alias(name) if name == "extra"
-        else _time(name).alias(name) if kind == "TIMESTAMP"
-        else F.try_variant_get("row", f"$.{name}", kind).alias(name)
-        for name, kind in (c.split() for c in columns.split(", "))
+        else read_time(held[name]).alias(name) if kind == "TIMESTAMP"
+        else held[name].alias(name)
+        for name, kind in kinds.items()
     ]
 
 
@@ -193,11 +185,14 @@ def read_order_fees(spark: SparkSession, path: str, *, multiline: bool = True, m
 
 
 def cart_columns() -> list[Column]:
+    held = fields_of("row", {
+        "id": "string", "customer_id": "bigint", "created_time": "string", "updated_time": "string",
+    })
     return [
-        _text("id").alias("id"),
-        _whole("customer_id").alias("customer_id"),
-        _time("created_time").alias("created_time"),
-        _time("updated_time").alias("updated_time"),
+        held["id"].alias("id"),
+        held["customer_id"].alias("customer_id"),
+        read_time(held["created_time"]).alias("created_time"),
+        read_time(held["updated_time"]).alias("updated_time"),
         F.coalesce(
             F.try_variant_get("row", "$.line_items.physical_items", schemas.CART_ITEMS),
             F.array().cast(schemas.CART_ITEMS),

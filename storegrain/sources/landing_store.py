@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from storegrain import schemas
 from storegrain.operators.keys import one_per_key
 from storegrain.sources import landed
-from storegrain.sources.batches import BASE, batch_name, batch_number, newest_base, pending_batches
+from storegrain.sources.batches import BASE, batch_name, newest_base, pending_batches
 from storegrain.sources.checks import FAIL, QUARANTINE, problems
-from storegrain.workspace import empty_table, stage
+from storegrain.workspace import empty_table, session_settings, stage
 
 SLOTS = 64
 SOUND, REJECTED = "sound", "rejected"
+# Objects are stored as they are: taking their keys apart into columns of their own, as
+# Spark does by itself, repeats the typed columns beside them.
+WHOLE_OBJECTS = {"spark.sql.variant.inferShreddingSchema": "false"}
 STORED = "problems ARRAY<STRING>, raw STRING, file STRING, state STRING, slot INT"
 
 
@@ -126,12 +129,13 @@ def store_batch(pages: DataFrame, root: str, kind_name: str, batch: int, feed: s
 
 def _write(rows: DataFrame, kind: Kind, path: str) -> None:
     laid_out = rows.hint("rebalance", "state", "slot").sortWithinPartitions("state", "slot", kind.key)
-    laid_out.write.partitionBy("state", "slot").mode("overwrite").parquet(path)
+    with session_settings(rows.sparkSession, WHOLE_OBJECTS):
+        laid_out.write.partitionBy("state", "slot").mode("overwrite").parquet(path)
 
 
-def _scan(spark: SparkSession, folders: list[str], kind: Kind, state: str) -> DataFrame:
+def _scan(spark: SparkSession, folders: list[str], kind: Kind, state: str, *more: str) -> DataFrame:
     within = folders[0].rsplit("/", 1)[0]
-    rows = spark.read.schema(f"{kind.schema}, {STORED}").option("basePath", within).parquet(*folders)
+    rows = spark.read.schema(", ".join([kind.schema, STORED, *more])).option("basePath", within).parquet(*folders)
     return rows.where(F.col("state") == state)
 
 
@@ -145,11 +149,26 @@ def _names(kind: Kind) -> list[str]:
     return [c.name for c in schemas.struct_of(kind.schema).fields]
 
 
-def _newest_rows(changes: DataFrame, kind: Kind) -> DataFrame:
-    """Of pending rows with their ``batch``, those of each key's newest batch."""
-    newest = changes.groupBy(F.col(kind.key).alias("_key")).agg(F.max("batch").alias("_batch"))
-    same = (changes[kind.key] == F.col("_key")) & (changes["batch"] == F.col("_batch"))
-    rows = changes.join(newest, same, "left_semi").select(*_names(kind))
+def _pending_rows(spark: SparkSession, folders: list[str], kind: Kind, key: object | None) -> DataFrame:
+    """Sound rows of batches with the ``batch`` they came with, a constant of each folder."""
+    rows = _asked(_scan(spark, folders, kind, SOUND, "batch STRING"), kind, key)
+    return rows.withColumn("batch", F.substring_index("batch", "-", 1).cast("bigint"))
+
+
+def _newest_rows(spark: SparkSession, pending: dict[int, str], kind: Kind, key: object | None) -> DataFrame:
+    """Of pending rows those of each key's newest batch.
+
+    Only batches after the first replace others, so their keys alone are gathered;
+    the join above them is the one exchange of the rows, by their key.
+    """
+    first, *later = [pending[n] for n in sorted(pending)]
+    rows = _pending_rows(spark, [first, *later], kind, key)
+    if later:
+        replaced = _pending_rows(spark, later, kind, key).groupBy(F.col(kind.key).alias("_key"))
+        newest = stage(replaced.agg(F.max("batch").alias("_batch")), "newest-batches")
+        rows = rows.join(newest, rows[kind.key] == newest["_key"], "left")
+        rows = rows.where(F.col("_batch").isNull() | (F.col("batch") == F.col("_batch")))
+    rows = rows.select(*_names(kind))
     return one_per_key(rows, kind.key).select(*_names(kind)) if kind.single else rows
 
 
@@ -169,7 +188,7 @@ def read_store(spark: SparkSession, root: str, kind_name: str, key: object | Non
     if not kind.latest:
         rows = changes.select(*names)
         return rows if base is None else base.unionByName(rows)
-    rows = _newest_rows(changes.withColumn("batch", batch_number()), kind)
+    rows = _newest_rows(spark, pending, kind, key)
     if base is None:
         return rows
     changed = stage(changes.select(F.col(kind.key).alias("_key")).distinct(), "changed-keys")

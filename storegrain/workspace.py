@@ -6,7 +6,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -72,21 +72,28 @@ def release(*staged: DataFrame) -> None:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+def session_settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings while something runs inside; its own are put back."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
     """Shuffle files of what runs inside go as soon as it ends, as its table is written.
 
     Else they stay on the executors' disks until the driver happens to collect garbage.
     The session's own setting is put back.
     """
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(DROP_SHUFFLES)
-        else:
-            spark.conf.set(DROP_SHUFFLES, before)
+    return session_settings(spark, {DROP_SHUFFLES: "true"})
 
 
 def empty_table(spark: SparkSession, ddl: str) -> DataFrame:

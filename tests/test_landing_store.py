@@ -1,6 +1,7 @@
 import json
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -10,7 +11,8 @@ from test_feeds import forget_last_commit
 from storegrain.plans.export import export_segment
 from storegrain.sources.batches import vacuum
 from storegrain.sources.csv_files import read_csv
-from storegrain.sources.landing_store import SLOTS, compact_store, read_rejects, read_store, slot_of
+from storegrain.sources.landed import read_pages
+from storegrain.sources.landing_store import KINDS, SLOTS, checked_rows, compact_store, read_rejects, read_store, slot_of
 from storegrain.streaming.landing_feed import run_landing_feed
 
 
@@ -135,6 +137,48 @@ def test_products_of_an_order_are_replaced_together(spark, feed):
     assert rows(held) == [(1, "z"), (2, "c"), (2, "c")]
 
 
+def test_a_row_is_taken_apart_in_one_pass(spark, tmp_path):
+    # A path a key is searched anew each time, and a missing key left by an exception inside Spark.
+    land(tmp_path / "pages", "1.json", {"order_id": 1, "sku": 3})
+    for name, kind in KINDS.items():
+        pages = read_pages(spark, str(tmp_path / "pages"), strict=False)
+        plan = checked_rows(pages, kind)._jdf.queryExecution().optimizedPlan().toString()
+        keys = {rule.path for rule in kind.rules} - {"line_items"}
+        assert not [key for key in keys if f"$.{key}," in plan], name
+    found = checked_rows(read_pages(spark, str(tmp_path / "pages"), strict=False), KINDS["order_products"])
+    assert "array_compact" not in found._jdf.queryExecution().optimizedPlan().toString()
+    [row] = found.select("order_id", "sku", "name", "price", "problems").collect()
+    assert tuple(row) == (1, "3", None, None, ["sku: string"])
+
+
+def test_whole_objects_are_stored_as_they_are(spark, feed, tmp_path):
+    root = feed("order_products", [{"order_id": n, "sku": f"s{n}", "quantity": 1, "gift": True} for n in range(9)])
+    before = spark.conf.get("spark.sql.variant.inferShreddingSchema", None)
+    for part in Path(root).rglob("state=sound/*/*.parquet"):
+        assert pq.read_schema(part).field("extra").type.num_fields == 2
+    gifts = read_store(spark, root, "order_products").select(F.try_variant_get("extra", "$.gift", "boolean").alias("gift"))
+    assert rows(gifts) == [(True,)] * 9
+    compact_store(spark, root, "order_products")
+    assert spark.conf.get("spark.sql.variant.inferShreddingSchema", None) == before
+
+
+def test_only_keys_of_later_batches_are_gathered(spark, feed):
+    def product(order, sku):
+        return {"order_id": order, "sku": sku, "quantity": 1}
+
+    root = feed("order_products", [product(order, sku) for order in range(1, 9) for sku in "ab"])
+    held = read_store(spark, root, "order_products")
+    assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
+    feed("order_products", [product(1, "c"), product(2, "c"), product(2, "c"), product(9, "c")])
+    feed("order_products", [product(2, "d"), product(3, "d")])
+    held = read_store(spark, root, "order_products").groupBy("order_id").agg(F.sort_array(F.collect_list("sku")).alias("skus"))
+    assert {r.order_id: "".join(r.skus) for r in held.collect()} == {
+        1: "c", 2: "d", 3: "d", **dict.fromkeys(range(4, 9), "ab"), 9: "c"}
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("Relation [") == 2
+    assert rows(read_store(spark, root, "order_products", key=2).select("sku")) == [("d",)]
+
+
 def test_carts_and_orders(spark, feed, tmp_path):
     root = feed("carts", {"data": {"id": "c1", "line_items": {"physical_items": [{"name": "n", "quantity": 2, "sku": "s"}]}}}, {"data": {}})
     assert rows(read_store(spark, root, "carts").select("id", F.size("physical_items"))) == [("c1", 1)]
