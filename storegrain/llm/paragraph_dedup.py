@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ CUT_ROUNDS = 3
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 STOP = np.isin(np.arange(256), list(b".!?"))
 CHUNK_CHARS = 1 << 20
+MOST_SPANS = 4
 
 
 def tune_bands(percent: int = 80, recall: float = 0.998, noise: float = 0.1) -> tuple[int, int]:
@@ -65,19 +67,32 @@ Cut = tuple[list[tuple[int, int]], list[int], int]
 
 def cut_text(text: str) -> Cut:
     """Bounds and word counts of the paragraphs, which make up the text, and the number of all words."""
-    if not text:
-        return [], [], 0
-    data = text.encode()
-    hashes, starts, cuts = cut_words(data, np.zeros(1, np.int64))
-    at = [0, *_chars(data, starts[cuts]), len(text)]
-    counts = np.diff(np.concatenate([[0], cuts, [len(hashes)]])).tolist()
-    return list(zip(at[:-1], at[1:], strict=True)), counts, len(hashes)
-
-
-def _chars(data: bytes, places: np.ndarray) -> list[int]:
-    """Characters before places in encoded text."""
-    chars = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return (chars[places] - 1).tolist()
+    return next(cut_texts([text]))[0]
+
+
+def cut_texts(texts: list[str]) -> Iterator[tuple[Cut, np.ndarray]]:
+    """For each text its :func:`cut_text` and where its words start."""
+    for _, chunk in _chunks(texts):
+        data, begin = _joined(chunk)
+        hashes, starts, cuts = cut_words(data, begin)
+        first = np.searchsorted(starts, begin)
+        last = np.append(first[1:], len(hashes))
+        chars = (np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1)[starts]
+        before = np.cumsum([0, *(len(text) + 1 for text in chunk)])
+        inner = np.searchsorted(cuts, np.append(first, len(hashes)))
+        for k, text in enumerate(chunk):
+            own = cuts[inner[k] : inner[k + 1]]
+            places = chars[first[k] : last[k]] - before[k]
+            at = [0, *places[own - first[k]].tolist(), len(text)]
+            counts = np.diff(np.concatenate([first[k : k + 1], own, last[k : k + 1]])).tolist()
+            bounds = list(zip(at[:-1], at[1:], strict=True))
+            yield (bounds, counts, len(places)) if text else ([], [], 0), places
+
+
+def _joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The encoded texts as lines, and where each starts."""
+    data = [(text or "").encode() for text in texts]
+    return b"\n".join(data), np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
 
 
 def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,9 +199,8 @@ class Paragraphs:
 
 def paragraph_shingles(texts: list[str | None], shingle: int) -> Paragraphs:
     """Paragraphs of a list of texts (about ``CHUNK_CHARS`` long in all); ``shingle`` is ``MIN_WORDS`` at most."""
-    data = [(content or "").encode() for content in texts]
-    begin = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
-    hashes, places, cuts = cut_words(b"\n".join(data), begin)
+    data, begin = _joined(texts)
+    hashes, places, cuts = cut_words(data, begin)
     first = np.searchsorted(places, begin)
     filled = np.diff(np.append(first, len(hashes))) > 0
     starts = np.sort(np.concatenate([first[filled], cuts]))
@@ -224,16 +238,43 @@ def band_hashes(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
     """The band hashes of each (non-empty) set, one line a set; sets lie end to end in ``flat``."""
     factors, shifts = _permutations(bands * rows)
     made = np.empty((len(starts), bands), np.uint64)
+    if not len(starts):
+        return made
     high = flat ^ (flat >> np.uint64(29))
+    spans = _spans(starts, len(flat))
     for band in range(bands):
         code = np.full(len(starts), band + 1, np.uint64)
         for at in range(band * rows, (band + 1) * rows):
-            least = np.minimum.reduceat(high * factors[at] + shifts[at], starts) if len(starts) else code
+            least = _least(high * factors[at] + shifts[at], starts, spans)
             code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + least)
         made[:, band] = code
     return made
 
 
+def _spans(starts: np.ndarray, end: int) -> tuple[int, list[np.ndarray]]:
+    """The size of the smallest set, and where so many values in a row start that cover each set; none if that takes more than ``MOST_SPANS``."""
+    sizes = np.diff(np.append(starts, end))
+    width = int(sizes.min())
+    n_spans = -(-int(sizes.max()) // width)
+    return width, [starts + np.minimum(k * width, sizes - width) for k in range(n_spans if n_spans <= MOST_SPANS else 0)]
+
+
+def _least(values: np.ndarray, starts: np.ndarray, spans: tuple[int, list[np.ndarray]]) -> np.ndarray:
+    """The least value of each set: of sets alike in size by minima of all ``width`` values in a row, as sets are short."""
+    width, covers = spans
+    if not covers:
+        return np.minimum.reduceat(values, starts)
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = np.minimum(values[:-step], values[step:])
+        done += step
+    least = values[covers[0]]
+    for cover in covers[1:]:
+        np.minimum(least, values[cover], out=least)
+    return least
+
+
 FOUND = "row bigint, doc_id bigint, number int, class bigint, words int, size int, tokens array<bigint>, bands array<bigint>"
 
 
@@ -352,22 +393,37 @@ def window_codes(hashes: np.ndarray) -> np.ndarray:
     return mixed((sums[PASSAGE_WORDS:] - sums[:-PASSAGE_WORDS]) * undone[: len(hashes) - PASSAGE_WORDS + 1])
 
 
+def _covered(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in a range from ``low`` to before ``high``."""
+    filled = low < high
+    return np.cumsum(np.bincount(low[filled], minlength=n + 1) - np.bincount(high[filled], minlength=n + 1))[:n] > 0
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows around the paragraphs ``numbers`` of a text, those in short runs (``short``) wanted."""
     for batch in batches:
-        for row, doc_id, text, numbers, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes, _, cuts = cut_words(text.encode(), np.zeros(1, np.int64))
-            bounds = np.concatenate([[0], cuts, [len(hashes)]])
+        rows, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for at, chunk in _chunks(batch.column(2).to_pylist()):
+            data, begin = _joined(chunk)
+            hashes, places, cuts = cut_words(data, begin)
+            first = np.searchsorted(places, begin)
+            last = np.append(first[1:], len(hashes))
+            bounds = np.append(np.unique(np.concatenate([first, cuts])), len(hashes))
             codes = window_codes(hashes)
-            state = np.zeros(len(codes), np.int8)
-            for value, chosen in ((1, numbers), (2, short)):
-                for number in chosen:
-                    state[max(0, bounds[number + 1] - PASSAGE_WORDS) : bounds[number] + 1] = value
-            at = np.flatnonzero(state)
+
+            def around(lists: pa.ListArray) -> np.ndarray:
+                text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                own = np.searchsorted(bounds, first)[text] + lists.flatten().to_numpy()
+                low = np.maximum(first[text], bounds[own + 1] - PASSAGE_WORDS)
+                return _covered(len(codes), low, np.minimum(bounds[own], last[text] - PASSAGE_WORDS) + 1)
+
+            wanted = around(batch.column(4).slice(at, len(chunk)))
+            found = np.flatnonzero(wanted | around(batch.column(3).slice(at, len(chunk))))
+            text = np.searchsorted(first, found, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(at), row)), pa.array(np.full(len(at), doc_id)), pa.array(at.astype(np.int32)),
-                    pa.array(codes[at].view(np.int64)), pa.array(state[at] == 2),
+                    pa.array(rows[at + text]), pa.array(docs[at + text]), pa.array((found - first[text]).astype(np.int32)),
+                    pa.array(codes[found].view(np.int64)), pa.array(wanted[found]),
                 ],
                 names=[c.split()[0] for c in WINDOWS.split(", ")],
             )
@@ -384,7 +440,9 @@ def common_windows(texts: DataFrame, repeated: DataFrame, min_run: int) -> DataF
     runs = later.withColumn("run", F.col("number") - F.row_number().over(own))
     length = F.sum("words").over(Window.partitionBy("row", "run"))
     short = stage(runs.withColumn("length", length).where(F.col("length") < min_run).select("row", "number", "root"), "short-runs")
-    near = repeated.join(short.select("root").distinct(), "root", "left_semi").groupBy("row").agg(
+    # Staged, so that few roots are broadcast and ``repeated`` is not dealt by root, where one may be hot.
+    roots = stage(short.select("root").distinct(), "short-roots")
+    near = repeated.join(roots, "root", "left_semi").groupBy("row").agg(
         F.collect_set("number").alias("numbers")
     )
     near = near.join(short.groupBy("row").agg(F.collect_set("number").alias("short")), "row", "left").select(
@@ -399,13 +457,11 @@ def common_windows(texts: DataFrame, repeated: DataFrame, min_run: int) -> DataF
     )
 
 
-def _left(text: str, gone: set[int], windows: list[int], cut: Cut) -> tuple[str, int]:
-    """The text without paragraphs ``gone`` and windows, and how many paragraphs lost words."""
+def _left(text: str, gone: set[int], windows: list[int], cut: Cut, places: np.ndarray) -> tuple[str, int]:
+    """The text without paragraphs ``gone`` and windows, and how many paragraphs lost words; its words start at ``places``."""
     bounds, counts, n_words = cut
     if not windows:
         return "".join(text[a:b] for k, (a, b) in enumerate(bounds) if k not in gone), len(gone)
-    data = text.encode()
-    places = [*_chars(data, cut_words(data, np.zeros(1, np.int64))[1]), len(text)]
     covered = np.zeros(n_words + 1, bool)
     for start in windows:
         covered[start : start + PASSAGE_WORDS] = True
@@ -413,7 +469,7 @@ def _left(text: str, gone: set[int], windows: list[int], cut: Cut) -> tuple[str,
     for k, ((a, b), n) in enumerate(zip(bounds, counts, strict=True)):
         own = covered[first : first + n]
         if k not in gone and own.any():
-            at = [a, *places[first + 1 : first + n], b]
+            at = [a, *places[first + 1 : first + n].tolist(), b]
             kept += [text[at[i] : at[i + 1]] for i in np.flatnonzero(~own)]
             lost += 1
         elif k not in gone:
@@ -424,18 +480,20 @@ def _left(text: str, gone: set[int], windows: list[int], cut: Cut) -> tuple[str,
 
 def _without(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(batch.schema.names.index(n)) for n in ("__text", "__numbers", "__starts"))
-        kept, removed, by_run = [], [], []
-        for text, repeated, windows in zip(*columns, strict=True):
-            text, repeated, windows = text.as_py(), set(repeated.as_py() or ()), windows.as_py() or []
-            cut = cut_text(text) if repeated else ([], [], 0)
-            gone = passages(cut[1], repeated, min_run)
-            left, lost = _left(text, gone, windows, cut) if gone or windows else (text, 0)
+        texts, numbers, starts = (batch.column(batch.schema.names.index(n)) for n in ("__text", "__numbers", "__starts"))
+        touched = np.asarray(numbers.is_valid())
+        removed, by_run = np.zeros(len(touched), np.int64), np.zeros(len(touched), bool)
+        kept, rows = [], np.flatnonzero(touched).tolist()
+        cut = texts.filter(numbers.is_valid()).to_pylist()
+        for at, text, (own, places) in zip(rows, cut, cut_texts(cut), strict=True):
+            windows = starts[at].as_py() or []
+            gone = passages(own[1], set(numbers[at].as_py()), min_run)
+            left, removed[at] = _left(text, gone, windows, own, places) if gone or windows else (text, 0)
             kept.append(left)
-            removed.append(lost)
-            by_run.append(len(gone) > 0)
+            by_run[at] = len(gone) > 0
+        left_over = pc.replace_with_mask(texts, pa.array(touched), pa.array(kept, texts.type))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-3], pa.array(kept, pa.string()), pa.array(removed, pa.int64()), pa.array(by_run, pa.bool_())],
+            [*batch.columns[:-3], left_over, pa.array(removed), pa.array(by_run)],
             names=[*batch.schema.names[:-3], "__kept", "__removed", "__by_run"],
         )
 
@@ -461,10 +519,13 @@ def remove_repeated_paragraphs(
     texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     repeated = stage(repeated_paragraphs(texts, shingle, percent, recall), "repeated-paragraphs")
     gone = repeated.where("doc_id <> first_doc").groupBy("row").agg(
-        F.collect_set("number").alias("__numbers"), F.sort_array(F.collect_set("first_doc")).alias("__first_docs")
+        F.collect_set("number").alias("__numbers"), F.sort_array(F.collect_set("first_doc")).alias("__first_docs"),
+        F.sum("words").alias("__words"),
     )
     windows = common_windows(texts, repeated, min_run).withColumnsRenamed({"starts": "__starts", "window_docs": "__window_docs"})
-    gone = stage(gone.join(windows, "row", "left").withColumnRenamed("row", "__row"), "removed-paragraphs")
+    # Texts with too few repeated words for any run, and without windows, stay as they are.
+    gone = gone.join(windows, "row", "left").where((F.col("__words") >= min_run) | F.col("__starts").isNotNull())
+    gone = stage(gone.drop("__words").withColumnRenamed("row", "__row"), "removed-paragraphs")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     none = F.array().cast("array<bigint>")
     joined = docs.withColumn("__row", row).join(gone, "__row", "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from corpora import SCHEMA, components, frame, rows, shingles
 
 from storegrain.llm import paragraph_dedup as P
@@ -194,3 +195,67 @@ def test_word_hashes_tell_words_apart():
     assert [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] == words
     assert hashes[0] == hashes[1] and len(set(hashes.tolist())) == len(words) - 1
     assert [len(x) for x in P.hashed_words(b"")] == [0, 0, 0]
+
+
+def texts_of_words(chosen: random.Random, sizes: list[int]) -> list[str]:
+    return [" ".join(chosen.choice(["é", "ab.", "c\n"]) + str(chosen.randrange(300)) for _ in range(n)) for n in sizes]
+
+
+def test_windows_of_many_texts_are_found_at_once():
+    chosen = random.Random(4)
+    texts = texts_of_words(chosen, [chosen.randint(8, 200) for _ in range(60)] + [50, 51, 52, 8])
+    numbers = [sorted(chosen.sample(range(len(counts)), chosen.randint(1, len(counts)))) for counts in (P.cut_text(t)[1] for t in texts)]
+    short = [[k for k in own if chosen.random() < 0.4] for own in numbers]
+    lists = [pa.array(x, pa.list_(pa.int32())) for x in (numbers, short)]
+    ids = [pa.array([f * k for k in range(len(texts))], pa.int64()) for f in (3, 5)]
+    batch = pa.record_batch([*ids, pa.array(texts), *lists], names=["row", "doc_id", "text", "numbers", "short"])
+    wanted, words_at, names = [], [], {}
+    for at, text in enumerate(texts):
+        words, counts = text.translate(str.maketrans("ABC", "abc")).encode().split(), P.cut_text(text)[1]
+        first = [sum(counts[:k]) for k in range(len(counts) + 1)]
+        for start in range(len(words) - 50):
+            held = {k for k in range(len(counts)) if start <= first[k] and first[k + 1] <= start + 51}
+            if held & set(numbers[at]):
+                wanted.append((3 * at, 5 * at, start, bool(held & set(short[at]))))
+                words_at.append(tuple(words[start : start + 51]))
+    for part in ([batch], [batch.slice(0, 20), batch.slice(20)]):
+        found = list(P._windows(iter(part)))
+        assert len(found) == len(part)  # one batch of windows a chunk of texts, not one a text
+        rows_ = [r for f in found for r in f.to_pylist()]
+        assert [(r["row"], r["doc_id"], r["start"], r["wanted"]) for r in rows_] == wanted
+        assert all(names.setdefault(w, r["code"]) == r["code"] for w, r in zip(words_at, rows_, strict=True))
+    assert len(set(names.values())) == len(names) > 100
+
+
+def test_texts_are_cut_at_once_as_one_by_one():
+    chosen = random.Random(6)
+    texts = ["", *texts_of_words(chosen, [chosen.randint(0, 90) for _ in range(50)]), "  ", "\n", "é" * 30, ""]
+    for text, (cut, places) in zip(texts, P.cut_texts(texts), strict=True):
+        assert cut == P.cut_text(text)
+        assert [text[a:].split()[0] for a in places.tolist()] == text.split()
+
+
+def test_least_values_of_short_and_long_sets():
+    chosen = np.random.default_rng(2)
+    for low, high in ((1, 2), (4, 12), (4, 17), (1, 40), (7, 8)):
+        sizes = chosen.integers(low, high, 50)
+        starts = np.cumsum(sizes) - sizes
+        values = chosen.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64)
+        spans = P._spans(starts, len(values))
+        assert len(spans[1]) <= P.MOST_SPANS
+        assert P._least(values, starts, spans).tolist() == [values[a : a + n].min() for a, n in zip(starts, sizes, strict=True)]
+
+
+def test_only_texts_that_may_lose_words_are_cut(spark, monkeypatch):
+    """A stock phrase that two texts have is repeated, but no text with it alone is taken apart for removal."""
+    own = [f"w{k}" for k in range(400)]
+    staged = {}
+    keep = P.stage
+    monkeypatch.setattr(P, "stage", lambda df, label: staged.setdefault(label, keep(df, label)))
+    phrase = "ends. One two three four five six seven eight nine ten eleven."
+    table = [(k, " ".join([*own[100 * k : 100 * k + 60], phrase, *own[100 * k + 60 : 100 * k + 100]])) for k in range(3)]
+    table.append((9, table[0][1]))
+    found = P.remove_repeated_paragraphs(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == dict(table[:3]) | {9: ""}
+    assert len({r.row for r in staged["repeated-paragraphs"].where("doc_id <> first_doc").collect()}) > 1
+    assert staged["removed-paragraphs"].count() == 1
